@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import small_frame
 
-COLUMN_PATTERN = "^[A-Za-z_][A-Za-z0-9_]{0,99}$"
+COLUMN_PATTERN = "[A-Za-z_][A-Za-z0-9_]{0,99}"
 COLUMN_SCHEMA = "source string, position int, column string, type string, nullable boolean"
 
 
@@ -26,7 +26,7 @@ def bad_columns(columns: DataFrame) -> DataFrame:
     names = columns.groupBy("source", F.lower("column").alias("_name")).agg(
         F.count("*").alias("_copies"), F.min("column").alias("column")
     )
-    problem = F.when(~F.col("column").rlike(COLUMN_PATTERN), "not an identifier").when(
+    problem = F.when(~F.col("column").rlike(f"^{COLUMN_PATTERN}$"), "not an identifier").when(
         F.col("_copies") > 1, "not unique"
     )
     return names.select("source", "column", problem.alias("problem")).where("problem is not null")

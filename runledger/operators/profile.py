@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.text import bounded, row_json
 from ..session import small_frame
 
-PROFILE_ROWS = 30
 SAMPLE_ROWS = 20
-PROFILE_SCHEMA = (
-    "position int, column string, type string, nullable boolean, rows bigint, missing bigint, "
-    "nans bigint, distinct bigint, min string, max string, mean double"
+PROFILE_FIELDS = (
+    "position: int, column: string, type: string, nullable: boolean, rows: bigint, missing: bigint, "
+    "nans: bigint, distinct: bigint, min: string, max: string, mean: double"
 )
 
 

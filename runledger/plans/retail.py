@@ -31,9 +31,10 @@ def cents(amount: str) -> Column:
 
 
 def item_key() -> Column:
-    return F.concat_ws(
-        "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd")
-    )
+    day = F.date_format("l_shipdate", "yyyyMMdd")
+    parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    dash = F.lit("-")
+    return F.concat(*[x for part in parts for x in (F.col(part), dash)], day)
 
 
 def retail_inputs(spark: SparkSession, folder: str, batch: int = 1) -> Frames:

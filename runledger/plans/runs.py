@@ -17,7 +17,7 @@ from ..operators.findings import evidence_row, top_finding
 from ..operators.profile import preview
 from ..operators.status import CONTRACT_STEP, current_states
 from ..sources.tables import append_rows, materialize, read_rows
-from ..sources.versions import Workspace, latest_versions, profiles, resolve_inputs, store_profile
+from ..sources.versions import PROFILE_TYPE, Workspace, latest_versions, profile_rows, resolve_inputs
 from .definition import Pipeline, Step
 from .steps import add_frame, build_step, is_blocking, open_frames, run_checks, run_query, safe_error
 
@@ -39,7 +39,8 @@ FACTS = {
         "text string, sample array<string>, error string, quarantine string"
     ),
     "artifacts": (
-        "step string, artifact_id string, path string, rows bigint, fingerprint string, schema_json string"
+        "step string, artifact_id string, path string, rows bigint, fingerprint string, "
+        f"schema_json string, profile {PROFILE_TYPE}"
     ),
     "findings": "step string, finding_id string, title string, detail string, evidence string",
 }
@@ -207,10 +208,9 @@ def _run_step(
 def _save_artifact(ws: Workspace, run_id: str, step: str, path: str, table: DataFrame, with_profile: bool) -> int:
     artifact_id = uuid.uuid4().hex
     content = fingerprint(table).first()
-    row = (step, artifact_id, path, content["rows"], content["fingerprint"], table.schema.json())
+    columns = profile_rows(table) if with_profile else None
+    row = (step, artifact_id, path, content["rows"], content["fingerprint"], table.schema.json(), columns)
     _append(ws, run_id, "artifacts", [row])
-    if with_profile:
-        store_profile(ws, artifact_id, table)
     return content["rows"]
 
 
@@ -299,11 +299,9 @@ def run_report(ws: Workspace, run_id: str) -> DataFrame:
 
 
 def artifact_profile(ws: Workspace, run_id: str, step: str) -> DataFrame:
-    """The stored column profile of a step's output."""
-    own = run_table(ws, "artifacts", run_id).where(F.col("step") == step).first()
-    if own is None:
-        raise ValueError(f"No artifact of {step} in this run")
-    return profiles(ws, own["artifact_id"]).orderBy("position")
+    """The stored column profile of a step's output, one row per column."""
+    saved = run_table(ws, "artifacts", run_id).where(F.col("step") == step)
+    return saved.select(F.inline("profile")).orderBy("position")
 
 
 def explore(ws: Workspace, sql: str) -> DataFrame:

@@ -67,20 +67,27 @@ def safe_error(error: BaseException) -> str:
 
 
 def count_fused(session: SparkSession, checks: list[Check], parameters: dict) -> dict[str, int]:
-    """Violations of all row checks of a table in one pass, of all key checks per key in one."""
+    """Violations of all row checks of a table in one pass, of all key checks per key in one.
+
+    One query for all of them, so that tables are scanned side by side.
+    """
     groups: dict[tuple, list[Check]] = {}
     for check in checks:
         groups.setdefault((check.table, check.keys), []).append(check)
-    counts = {}
+    parts, names = [], []
     for (table, keys), group in groups.items():
         source = table
         if keys:
             source = f"(SELECT count(*) AS copies FROM {table} GROUP BY {', '.join(keys)})"
         conditions = [f"copies {c.copies}" if keys else c.where for c in group]
         columns = ", ".join(f"count_if({c}) AS n{i}" for i, c in enumerate(conditions))
-        row = session.sql(f"SELECT {columns} FROM {source}", args=parameters).first()
-        counts.update({c.name: row[f"n{i}"] for i, c in enumerate(group)})
-    return counts
+        cells = ", ".join(f"{len(names) + i}, n{i}" for i in range(len(group)))
+        parts.append(f"SELECT stack({len(group)}, {cells}) AS (i, n) FROM (SELECT {columns} FROM {source})")
+        names += [c.name for c in group]
+    if not parts:
+        return {}
+    rows = session.sql(" UNION ALL ".join(parts), args=parameters).collect()
+    return {names[r["i"]]: r["n"] for r in rows}
 
 
 def run_checks(
@@ -153,7 +160,7 @@ def check_summary(checks: dict[str, tuple[Check, ...]], frames: Frames) -> DataF
                 counts = [frames[t].agg(F.count("*").alias("n")) for t in (check.table, check.same_rows_as)]
                 bad = grain(*counts)
             else:
-                bad = check.build(frames)
+                bad = check.build(frames) if check.build else sql_step(check.sql, frames)
             parts.append(bad.agg(F.lit(label).alias("check"), F.count("*").alias("violations")))
     for (table, keys), group in rules.items():
         source = key_counts(frames[table], keys) if keys else frames[table]

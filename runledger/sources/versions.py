@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions.hashing import multiset_digest, row_digest
-from ..operators.contracts import bad_columns, column_rows
-from ..operators.profile import PROFILE_SCHEMA, profile
+from ..operators.contracts import COLUMN_PATTERN
+from ..operators.profile import PROFILE_FIELDS, profile
 from ..session import small_frame
 from .readers import read_source, suffix_of
 from .tables import append_rows, materialize, read_rows
@@ -20,12 +21,12 @@ NAME_PATTERN = "[a-z][a-z0-9_]{0,62}"
 # One file is one value to the byte digest; larger files are told apart by their rows.
 BYTE_DIGEST_LIMIT = 256 * 1024 * 1024
 
+PROFILE_TYPE = f"array<struct<{PROFILE_FIELDS}>>"
 VERSION_FACTS = (
     "digest string, digest_kind string, origin string, path string, rows bigint, "
-    "schema_json string, created_at timestamp, seq bigint"
+    f"schema_json string, profile {PROFILE_TYPE}, created_at timestamp, seq bigint"
 )
 VERSION_SCHEMA = f"{VERSION_FACTS}, workspace_id string, source string, version_id string"
-OWNED_PROFILE_SCHEMA = f"{PROFILE_SCHEMA}, owner_id string"
 
 
 @dataclass(frozen=True)
@@ -54,19 +55,26 @@ def append_version(ws: Workspace, source: str, path: str, **csv_options) -> Row:
     check_name(source)
     suffix_of(path)
     digest, kind = _file_digest(ws, path, csv_options)
-    known = _known(ws, source, digest)
+    known, seq = _history(ws, source, digest)
     if known:
         return known
-    return _register(ws, source, read_source(ws.spark, path, **csv_options), digest, kind, path)
+    return _register(ws, source, read_source(ws.spark, path, **csv_options), digest, kind, path, seq + 1)
 
 
 def append_frame(ws: Workspace, source: str, df: DataFrame) -> Row:
     """Register the rows of a repeatable DataFrame; known rows give back the version they had."""
     check_name(source)
-    _require_columns(df)
+    require_columns(df)
     digest = row_digest(df).first()["digest"]
-    known = _known(ws, source, digest)
-    return known or _register(ws, source, df, digest, "rows", "")
+    known, seq = _history(ws, source, digest)
+    return known or _register(ws, source, df, digest, "rows", "", seq + 1)
+
+
+def append_frames(ws: Workspace, frames: dict[str, DataFrame]) -> dict[str, Row]:
+    """Register several sources at once, so that small ones do not wait for large ones."""
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        rows = pool.map(lambda item: append_frame(ws, *item), frames.items())
+        return dict(zip(frames, rows))
 
 
 def _file_digest(ws: Workspace, path: str, csv_options: dict) -> tuple[str, str]:
@@ -81,48 +89,47 @@ def _file_digest(ws: Workspace, path: str, csv_options: dict) -> tuple[str, str]
     return multiset_digest(contents, "h").first()["digest"], "bytes"
 
 
-def _require_columns(df: DataFrame) -> None:
-    bad = bad_columns(column_rows(df.sparkSession, {"": df})).collect()
-    if bad or not df.columns:
-        problems = ", ".join(f"{r['column']} ({r['problem']})" for r in bad) or "no columns"
-        raise ValueError(f"Columns must be unique identifiers: {problems}")
+def require_columns(df: DataFrame) -> None:
+    """At least one column, all of them identifiers and unique ignoring case."""
+    names = df.columns
+    if not names or len({n.lower() for n in names}) < len(names):
+        raise ValueError("Columns must have unique names, ignoring case")
+    bad = [n for n in names if not re.fullmatch(COLUMN_PATTERN, n)]
+    if bad:
+        raise ValueError(f"Column names must be identifiers: {bad}")
 
 
-def _known(ws: Workspace, source: str, digest: str) -> Row | None:
-    mine = versions(ws, source).where(F.col("digest") == digest)
-    return mine.orderBy("seq", "version_id").first()
+def _history(ws: Workspace, source: str, digest: str) -> tuple[Row | None, int]:
+    """The earliest version with this content, if any, and the last sequence number."""
+    rows = versions(ws, source)
+    same = F.when(F.col("digest") == digest, F.struct("seq", "version_id"))
+    found = rows.agg(
+        F.min_by(F.struct(*rows.columns), same).alias("known"), F.coalesce(F.max("seq"), F.lit(0)).alias("seq")
+    ).first()
+    return found["known"], found["seq"]
 
 
-def _register(ws: Workspace, source: str, df: DataFrame, digest: str, kind: str, origin: str) -> Row:
-    _require_columns(df)
+def _register(
+    ws: Workspace, source: str, df: DataFrame, digest: str, kind: str, origin: str, seq: int
+) -> Row:
+    require_columns(df)
     version_id = f"{digest[:16]}-{uuid.uuid4().hex[:12]}"
     path = ws.data(f"source={source}", f"version={version_id}")
     table = materialize(df, path)
-    store_profile(ws, version_id, table)
-    last = versions(ws, source).agg(F.max("seq")).first()[0]
-    row = (
-        digest,
-        kind,
-        origin.rstrip("/").rsplit("/", 1)[-1],
-        path,
-        table.count(),
-        table.schema.json(),
-        datetime.now(timezone.utc),
-        (last or 0) + 1,
-    )
+    columns = profile_rows(table)
+    origin = origin.rstrip("/").rsplit("/", 1)[-1]
+    now = datetime.now(timezone.utc)
+    row = (digest, kind, origin, path, columns[0]["rows"], table.schema.json(), columns, now, seq)
     folder = f"{ws.table('versions')}/{_part(ws, source)}/version_id={version_id}"
     append_rows(ws.spark, [row], VERSION_FACTS, folder)
     # Another writer may have been first with the same content: the earliest row counts.
-    return _known(ws, source, digest)
-
+    return _history(ws, source, digest)[0]
 
-def store_profile(ws: Workspace, owner_id: str, df: DataFrame) -> None:
-    append_rows(ws.spark, profile(df), PROFILE_SCHEMA, f"{ws.table('profiles')}/owner_id={owner_id}")
 
-
-def profiles(ws: Workspace, owner_id: str | None = None) -> DataFrame:
-    part = f"owner_id={owner_id}" if owner_id else ""
-    return read_rows(ws.spark, OWNED_PROFILE_SCHEMA, ws.table("profiles"), part)
+def profile_rows(df: DataFrame) -> list[dict]:
+    """The profile as a few values to store with a version or an artifact: one per column."""
+    rows = [r.asDict() for r in profile(df).collect()]
+    return sorted(rows, key=lambda r: r["position"])
 
 
 def _part(ws: Workspace, source: str | None = None) -> str:
@@ -142,20 +149,11 @@ def list_versions(ws: Workspace) -> DataFrame:
     rows = versions(ws)
     first = rows.groupBy("source", "digest").agg(F.min(F.struct("seq", "version_id")).alias("_f"))
     first = first.select("source", F.col("_f.version_id").alias("version_id"))
-    stats = profiles(ws).groupBy("owner_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", *_profile_columns()))).alias("columns")
-    )
-    return (
-        rows.join(first, ["source", "version_id"], "left_semi")
-        .join(stats.withColumnRenamed("owner_id", "version_id"), "version_id", "left")
-        .orderBy("source", F.desc("created_at"), F.desc("seq"))
+    return rows.join(first, ["source", "version_id"], "left_semi").orderBy(
+        "source", F.desc("created_at"), F.desc("seq")
     )
 
 
-def _profile_columns() -> list[str]:
-    return ["column", "type", "nullable", "missing", "distinct", "min", "max", "mean"]
-
-
 def latest_rows(df: DataFrame, by: list[str], newest: list[str]) -> DataFrame:
     """The newest row of each group, as one aggregate: a hot group is combined where it lies."""
     rest = [c for c in df.columns if c not in by and c not in newest]
