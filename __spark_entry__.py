@@ -88,20 +88,21 @@ def channel_profit_money(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean_orders_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    orders = commerce.orders_without_copies(retail.retail_inputs(spark, folder, 2))
+    orders = commerce.orders_without_copies(retail.retail_inputs(spark, folder, 2, "orders"))
     return orders.withColumn("ordered_at", F.col("ordered_at").cast("string"))
 
 
 def costed_items(spark: SparkSession, folder: str) -> DataFrame:
-    return commerce.costed_items(retail.retail_inputs(spark, folder))
+    return commerce.costed_items(retail.retail_inputs(spark, folder, 1, "order_items", "product_costs"))
 
 
 def order_margin(spark: SparkSession, folder: str) -> DataFrame:
-    return _composed(spark, folder, 1)["order_margin"]
+    frames = retail.retail_inputs(spark, folder, 1, "order_items", "product_costs")
+    return commerce.order_margin({"costed_items": commerce.costed_items(frames)})
 
 
 def refund_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return commerce.refund_totals(retail.retail_inputs(spark, folder, 2))
+    return commerce.refund_totals(retail.retail_inputs(spark, folder, 2, "refunds"))
 
 
 def attributed_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,7 +121,7 @@ def check_unique_key(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def check_duplicate_rows(spark: SparkSession, folder: str) -> DataFrame:
-    copies = c.duplicate_rows(retail.retail_inputs(spark, folder, 2)["orders"])
+    copies = c.duplicate_rows(retail.retail_inputs(spark, folder, 2, "orders")["orders"])
     return copies.withColumn("ordered_at", F.col("ordered_at").cast("string"))
 
 
@@ -143,7 +144,7 @@ def check_range(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def check_join_grain(spark: SparkSession, folder: str) -> DataFrame:
-    frames = retail.retail_inputs(spark, folder, 2)
+    frames = retail.retail_inputs(spark, folder, 2, "order_items", "orders")
     return c.join_grain(frames["order_items"], frames["orders"], ["order_id"])
 
 
@@ -160,7 +161,7 @@ def check_orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def check_late_rows(spark: SparkSession, folder: str) -> DataFrame:
-    frames = retail.retail_inputs(spark, folder, 2)
+    frames = retail.retail_inputs(spark, folder, 2, "orders", "refunds")
     frames["clean_orders"] = commerce.orders_without_copies(frames)
     late = commerce.late_refunds(frames)
     return late.withColumn("received_at", F.col("received_at").cast("string"))
@@ -281,13 +282,13 @@ def redact_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def param_scale(spark: SparkSession, folder: str) -> DataFrame:
-    frames = retail.retail_inputs(isolated_session(spark), folder)
+    frames = retail.retail_inputs(isolated_session(spark), folder, 1, "order_items")
     sql = """
         SELECT order_id, count(*) AS items, sum(quantity * :factor) AS scaled
         FROM order_items WHERE unit_price_cents >= :least GROUP BY order_id
     """
     values = {"factor": 3, "least": 100_000, "unused": None}
-    return sql_step(sql, {"order_items": frames["order_items"]}, values)
+    return sql_step(sql, frames, values)
 
 
 def _version_ids(rows: dict) -> dict[str, str]:
@@ -329,7 +330,7 @@ def top_finding_profit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def top_finding_order(spark: SparkSession, folder: str) -> DataFrame:
-    margin = _composed(spark, folder, 1)["order_margin"]
+    margin = order_margin(spark, folder)
     gross = margin.select("order_id", F.lit("USD").alias("unit"), (F.col("revenue_cents") - F.col("cost_cents")).alias("margin_cents"))
     return top_finding(gross, "order_id", "margin_cents", "unit")
 
@@ -356,18 +357,18 @@ def compare_channels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def compare_orders(spark: SparkSession, folder: str) -> DataFrame:
-    a, b = (commerce.refund_totals(retail.retail_inputs(spark, folder, batch)) for batch in (1, 2))
+    a, b = (commerce.refund_totals(retail.retail_inputs(spark, folder, batch, "refunds")) for batch in (1, 2))
     return _compared(compare_outputs(a, b, "order_id", "refund_cents"))
 
 
 def compare_key_guard(spark: SparkSession, folder: str) -> DataFrame:
-    frames1, frames2 = (retail.retail_inputs(spark, folder, batch) for batch in (1, 2))
-    return key_guard(frames1["orders"], frames2["orders"], "order_id")
+    before, after = (retail.retail_inputs(spark, folder, batch, "orders")["orders"] for batch in (1, 2))
+    return key_guard(before, after, "order_id")
 
 
 def compare_unit_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Orders of one nation change currency between two batches."""
-    orders = retail.retail_inputs(spark, folder)["orders"]
+    orders = retail.retail_inputs(spark, folder, 1, "orders")["orders"]
     moved = _table(spark, folder, "customer").where("c_nationkey = 24").select(F.col("c_custkey").alias("customer_id"), F.lit("EUR").alias("moved_to"))
     after = orders.join(moved, "customer_id", "left").withColumn("currency", F.coalesce("moved_to", "currency"))
     return unit_guard(orders, after, "order_id")
@@ -476,9 +477,10 @@ def latest_event(spark: SparkSession, folder: str) -> DataFrame:
 def version_history(spark: SparkSession, folder: str) -> DataFrame:
     """Two versions of three sources, one of them appended again: it stays the first version."""
     ws = _workspace(spark)
-    batches = [retail.retail_inputs(spark, folder, batch) for batch in (1, 2)]
+    names = ("orders", "attribution", "ad_spend")
+    batches = [retail.retail_inputs(spark, folder, batch, *names) for batch in (1, 2)]
     for frames in (*batches, batches[0]):
-        append_frames(ws, {n: frames[n] for n in ("orders", "attribution", "ad_spend")})
+        append_frames(ws, frames)
     newest = latest_versions(ws).select("version_id", F.lit(1).alias("latest"))
     history = list_versions(ws).join(newest, "version_id", "left")
     return history.select("source", "seq", "rows", F.size("profile").alias("width"), F.coalesce("latest", F.lit(0)).alias("latest"))
@@ -487,10 +489,10 @@ def version_history(spark: SparkSession, folder: str) -> DataFrame:
 def bind_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """A mapping with a missing, an extra and a foreign input."""
     ws = _workspace(spark)
-    frames = retail.retail_inputs(spark, folder)
-    own = _version_ids(append_frames(ws, {n: frames[n] for n in ("orders", "customers")}))
+    own = _version_ids(append_frames(ws, retail.retail_inputs(spark, folder, 1, "orders", "customers")))
     other = Workspace(spark, ws.root, "elsewhere")
-    foreign = append_frame(other, "ad_spend", frames["ad_spend"])["version_id"]
+    spend = retail.retail_inputs(spark, folder, 1, "ad_spend")["ad_spend"]
+    foreign = append_frame(other, "ad_spend", spend)["version_id"]
     mapping = {"orders": own["orders"], "clients": own["customers"], "ad_spend": foreign}
     declared = small_frame(spark, [(n,) for n in ("orders", "customers", "ad_spend")], "input string")
     given = small_frame(spark, list(mapping.items()), "input string, version_id string")
@@ -508,8 +510,8 @@ def fingerprint_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def replay_equality(spark: SparkSession, folder: str) -> DataFrame:
     """The same step, computed under two partitionings, has one fingerprint."""
-    items = commerce.costed_items(retail.retail_inputs(spark, folder))
-    again = commerce.costed_items(retail.retail_inputs(spark, folder)).repartition(5, "product_id")
+    items = costed_items(spark, folder)
+    again = costed_items(spark, folder).repartition(5, "product_id")
     a, b = fingerprint(items), fingerprint(again)
     return a.join(b.withColumnRenamed("rows", "again"), "fingerprint", "left").select(
         "rows", (F.col("rows") == F.col("again")).cast("int").alias("same")

@@ -2,114 +2,128 @@
 
 The second batch repeats its pending orders exactly, renames and moves the spend column,
 spends more on one channel, loses the attribution of one nation and brings credit notes for
-orders that do not exist.
+orders that do not exist. Amounts are rounded to whole cents per row, before any sum.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import functools
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .definition import Frames
 
-TABLES = ("orders", "lineitem", "part", "customer", "supplier", "nation")
-# The channel that a supplier of each region advertises in.
+# The channel that a supplier of each region advertises in, and the nations
+# and amounts that set the second batch apart.
 REGION_CHANNELS = {0: "AUTOMOBILE", 1: "BUILDING", 2: "FURNITURE", 3: "MACHINERY", 4: "HOUSEHOLD"}
-AFFILIATE_NATION = 24
-AFFILIATES = "AFFILIATES"
+AFFILIATE_NATION, AFFILIATES = 24, "AFFILIATES"
 LOST_NATION = 24
-DEARER_CHANNEL = "BUILDING"
-DEARER_CENTS = 4000
+DEARER_CHANNEL, DEARER_CENTS = "BUILDING", 4000
+
+LINE_KEY = (
+    "concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', "
+    "date_format(l_shipdate, 'yyyyMMdd'))"
+)
+Table = Callable[[str], DataFrame]
 
 
 def load(spark: SparkSession, folder: str, *names: str) -> Frames:
     return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
 
 
-def cents(amount: str) -> Column:
-    """Whole cents of one row, rounded before anything is summed."""
-    return F.round(F.col(amount) * 100).cast("bigint")
+def _cents(amount: str) -> str:
+    return f"cast(round({amount} * 100) AS bigint)"
 
 
-def item_key() -> Column:
-    day = F.date_format("l_shipdate", "yyyyMMdd")
-    parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    dash = F.lit("-")
-    return F.concat(*[x for part in parts for x in (F.col(part), dash)], day)
+def _orders(table: Table, batch: int) -> DataFrame:
+    columns = [
+        "o_orderkey AS order_id",
+        "o_custkey AS customer_id",
+        "cast(o_orderdate AS date) AS ordered_at",
+        "'USD' AS currency",
+    ]
+    orders = table("orders").selectExpr(*columns)
+    if batch == 2:
+        orders = orders.unionAll(table("orders").where("o_orderstatus = 'P'").selectExpr(*columns))
+    return orders
 
 
-def retail_inputs(spark: SparkSession, folder: str, batch: int = 1) -> Frames:
-    t = load(spark, folder, *TABLES)
-    usd = F.lit("USD").alias("currency")
-    orders = _orders(t["orders"])
-    items = t["lineitem"].select(
-        item_key().alias("item_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        cents("l_extendedprice").alias("unit_price_cents"),
-    )
-    refunds = t["lineitem"].where("l_returnflag = 'R'").select(
-        item_key().alias("refund_id"),
-        F.col("l_orderkey").alias("order_id"),
-        cents("l_extendedprice").alias("amount_cents"),
-        usd,
-        F.col("l_shipdate").cast("date").alias("received_at"),
-    )
-    attribution = t["customer"].select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("channel"), "c_nationkey"
+def _order_items(table: Table, batch: int) -> DataFrame:
+    return table("lineitem").selectExpr(
+        f"{LINE_KEY} AS item_id",
+        "l_orderkey AS order_id",
+        "l_partkey AS product_id",
+        "cast(l_quantity AS bigint) AS quantity",
+        f"{_cents('l_extendedprice')} AS unit_price_cents",
     )
-    spend = _ad_spend(t)
+
+
+def _customers(table: Table, batch: int) -> DataFrame:
+    return table("customer").selectExpr("c_custkey AS customer_id", "cast(c_nationkey AS string) AS region")
+
+
+def _attribution(table: Table, batch: int) -> DataFrame:
+    customers = table("customer")
     if batch == 2:
-        orders = orders.unionAll(_orders(t["orders"].where("o_orderstatus = 'P'")))
-        refunds = refunds.unionAll(_credit_notes(t["supplier"]))
-        attribution = attribution.where(F.col("c_nationkey") != LOST_NATION)
-        raised = F.when(F.col("channel") == DEARER_CHANNEL, DEARER_CENTS).otherwise(0)
-        spend = spend.select(
-            "spend_id", "channel", "currency", (F.col("amount_cents") + raised).alias("spend_cents")
-        )
-    return {
-        "orders": orders,
-        "order_items": items,
-        "customers": t["customer"].select(
-            F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").cast("string").alias("region")
-        ),
-        "attribution": attribution.drop("c_nationkey"),
-        "ad_spend": spend,
-        "product_costs": t["part"].select(
-            F.col("p_partkey").alias("product_id"), cents("p_retailprice").alias("unit_cost_cents"), usd
-        ),
-        "refunds": refunds,
-    }
-
-
-def _orders(orders: DataFrame) -> DataFrame:
-    return orders.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").cast("date").alias("ordered_at"),
-        F.lit("USD").alias("currency"),
+        customers = customers.where(F.col("c_nationkey") != LOST_NATION)
+    return customers.selectExpr("c_custkey AS customer_id", "c_mktsegment AS channel")
+
+
+def _ad_spend(table: Table, batch: int) -> DataFrame:
+    regions = " ".join(f"WHEN n_regionkey = {key} THEN '{name}'" for key, name in REGION_CHANNELS.items())
+    channel = f"CASE WHEN n_nationkey = {AFFILIATE_NATION} THEN '{AFFILIATES}' {regions} END"
+    spend = table("supplier").join(table("nation"), F.expr("s_nationkey = n_nationkey")).selectExpr(
+        "concat('S', s_suppkey) AS spend_id",
+        f"{channel} AS channel",
+        f"abs({_cents('s_acctbal')}) AS amount_cents",
+        "'USD' AS currency",
     )
+    if batch == 2:
+        raised = f"amount_cents + CASE WHEN channel = '{DEARER_CHANNEL}' THEN {DEARER_CENTS} ELSE 0 END"
+        spend = spend.selectExpr("spend_id", "channel", "currency", f"{raised} AS spend_cents")
+    return spend
 
 
-def _ad_spend(t: Frames) -> DataFrame:
-    region = F.col("n_regionkey")
-    channel = F.when(F.col("n_nationkey") == AFFILIATE_NATION, AFFILIATES)
-    for key, name in REGION_CHANNELS.items():
-        channel = channel.when(region == key, name)
-    suppliers = t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey"))
-    return suppliers.select(
-        F.concat(F.lit("S"), F.col("s_suppkey")).alias("spend_id"),
-        channel.alias("channel"),
-        F.abs(cents("s_acctbal")).alias("amount_cents"),
-        F.lit("USD").alias("currency"),
+def _product_costs(table: Table, batch: int) -> DataFrame:
+    return table("part").selectExpr(
+        "p_partkey AS product_id", f"{_cents('p_retailprice')} AS unit_cost_cents", "'USD' AS currency"
     )
 
 
-def _credit_notes(supplier: DataFrame) -> DataFrame:
-    return supplier.select(
-        F.concat(F.lit("credit-"), F.col("s_suppkey")).alias("refund_id"),
-        (-F.col("s_suppkey")).alias("order_id"),
-        F.abs(cents("s_acctbal")).alias("amount_cents"),
-        F.lit("USD").alias("currency"),
-        F.to_date(F.lit("2001-01-01")).alias("received_at"),
+def _refunds(table: Table, batch: int) -> DataFrame:
+    refunds = table("lineitem").where("l_returnflag = 'R'").selectExpr(
+        f"{LINE_KEY} AS refund_id",
+        "l_orderkey AS order_id",
+        f"{_cents('l_extendedprice')} AS amount_cents",
+        "'USD' AS currency",
+        "cast(l_shipdate AS date) AS received_at",
     )
+    if batch == 2:
+        refunds = refunds.unionAll(
+            table("supplier").selectExpr(
+                "concat('credit-', s_suppkey) AS refund_id",
+                "-s_suppkey AS order_id",
+                f"abs({_cents('s_acctbal')}) AS amount_cents",
+                "'USD' AS currency",
+                "DATE '2001-01-01' AS received_at",
+            )
+        )
+    return refunds
+
+
+BUILDERS: dict[str, Callable[[Table, int], DataFrame]] = {
+    "orders": _orders,
+    "order_items": _order_items,
+    "customers": _customers,
+    "attribution": _attribution,
+    "ad_spend": _ad_spend,
+    "product_costs": _product_costs,
+    "refunds": _refunds,
+}
+
+
+def retail_inputs(spark: SparkSession, folder: str, batch: int = 1, *names: str) -> Frames:
+    """The named inputs of a batch, or all of them."""
+    table = functools.cache(lambda name: load(spark, folder, name)[name])
+    return {name: BUILDERS[name](table, batch) for name in names or BUILDERS}
