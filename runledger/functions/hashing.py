@@ -31,18 +31,16 @@ def _hashable(field: T.StructField) -> Column:
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row ``(rows, fingerprint)``: equal for tables with the same schema and rows.
 
-    Nulls take part through their own flags because the row hash skips them.
+    Two independent 64-bit hashes are taken of every row. Nulls take part through flags of
+    their own because the row hash skips them.
     """
     values = [_hashable(f) for f in df.schema]
     nulls = [F.col(f"`{f.name}`").isNull() for f in df.schema if f.nullable]
-    row_hash = F.xxhash64(*values, *nulls)
-    totals = df.select(row_hash.alias("h")).agg(
-        F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.col("h").cast(EXACT)), F.lit(0).cast(EXACT)).alias("total"),
-        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("mix"),
-    )
+    halves = [F.xxhash64(F.lit(salt), *values, *nulls).cast(EXACT) for salt in (0, 1)]
+    sums = [F.coalesce(F.sum(half), F.lit(0).cast(EXACT)) for half in halves]
+    totals = df.agg(F.count("*").alias("rows"), sums[0].alias("first"), sums[1].alias("second"))
     schema_text = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)
-    digest = F.sha2(F.concat_ws("|", F.lit(schema_text), "rows", "total", "mix"), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(schema_text), "rows", "first", "second"), 256)
     return totals.select("rows", digest.alias("fingerprint"))
 
 
@@ -57,29 +55,6 @@ def multiset_digest(hex_hashes: DataFrame, column: str) -> DataFrame:
     return totals.select("parts", F.sha2(text, 256).alias("digest"))
 
 
-def row_digest(df: DataFrame) -> DataFrame:
-    """Like ``fingerprint``, by SHA-256 of every row: for deciding that data is known."""
-    schema_text = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)
-    fields = [_json_value(f).alias(f"c{i}") for i, f in enumerate(df.schema)]
-    row = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    hashed = df.select(F.sha2(F.concat(F.lit(schema_text), row), 256).alias("h"))
-    return multiset_digest(hashed, "h")
-
-
-def _json_value(field: T.StructField) -> Column:
-    """A value whose JSON text tells different values apart."""
-    value = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.MapType):
-        return F.array_sort(F.map_entries(value))
-    if isinstance(field.dataType, T.TimestampType):
-        return F.unix_micros(value)
-    if isinstance(field.dataType, T.BinaryType):
-        return F.hex(value)
-    if isinstance(field.dataType, (T.StructType, T.ArrayType)):
-        return value
-    return value.cast("string")
-
-
 def md5_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row ``(rows, hash_sum)`` that any SQL engine with ``md5`` can repeat.
 

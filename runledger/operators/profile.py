@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.text import bounded, row_json
@@ -18,37 +20,49 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _as_text(field: T.StructField) -> str:
-    """An expression whose text is the same for equal values and differs for different ones."""
+def _comparable(field: T.StructField) -> tuple[str, str]:
+    """A type to count values in, and an expression that keeps different values different."""
     value, kind = _quoted(field.name), field.dataType
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return f"cast({value} + cast(0 as {kind.simpleString()}) as string)"  # -0.0 equals 0.0
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return "bigint", f"cast({value} as bigint)"
+    if isinstance(kind, T.DateType):
+        return "bigint", f"cast(unix_date({value}) as bigint)"
     if isinstance(kind, T.TimestampType):
-        return f"cast(unix_micros({value}) as string)"
+        return "bigint", f"unix_micros({value})"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return "double", f"cast({value} as double)"
     if isinstance(kind, T.BinaryType):
-        return f"hex({value})"
+        return "string", f"hex({value})"
     if isinstance(kind, T.MapType):
-        return f"to_json(array_sort(map_entries({value})))"
+        return "string", f"to_json(array_sort(map_entries({value})))"
     if isinstance(kind, (T.StructType, T.ArrayType)):
-        return f"to_json({value})"
-    return f"cast({value} as string)"
+        return "string", f"to_json({value})"
+    return "string", f"cast({value} as string)"
 
 
 def value_counts(df: DataFrame) -> DataFrame:
-    """Rows ``(position, rows, missing, distinct)``, exact, for all columns in one scan.
+    """Rows ``(position, rows, missing, distinct)``, exact, for all columns.
 
-    Columns are unpivoted to (column, value) and counted per value, then per column. Both
-    aggregates combine before they shuffle, so neither a frequent value nor a long column
-    ends up whole in one task.
+    Columns of one kind are turned to (position, value) in one scan, counted per value, then
+    per column. Both aggregates combine before they shuffle, so neither a frequent value nor
+    a long column ends up whole in one task.
     """
-    texts = df.selectExpr(*[f"{_as_text(f)} AS `{i}`" for i, f in enumerate(df.schema)])
-    per_value = texts.unpivot([], texts.columns, "c", "value").groupBy("c", "value").agg(F.count("*").alias("n"))
-    per_column = per_value.groupBy("c").agg(
-        F.sum("n").alias("rows"),
-        F.expr("coalesce(sum(n) FILTER (WHERE value IS NULL), 0)").alias("missing"),
-        F.count("value").alias("distinct"),
-    )
-    return per_column.selectExpr("cast(c AS int) AS position", "rows", "missing", "`distinct`")
+    kinds: dict[str, list[str]] = {}
+    for i, field in enumerate(df.schema):
+        kind, value = _comparable(field)
+        kinds.setdefault(kind, []).append(f"{i}, {value}")
+    counted = []
+    for cells in kinds.values():
+        long = df.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (position, value)")
+        per_value = long.groupBy("position", "value").agg(F.count("*").alias("n"))
+        counted.append(
+            per_value.groupBy("position").agg(
+                F.sum("n").alias("rows"),
+                F.expr("coalesce(sum(n) FILTER (WHERE value IS NULL), 0)").alias("missing"),
+                F.count("value").alias("distinct"),
+            )
+        )
+    return functools.reduce(DataFrame.unionAll, counted)
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from ..functions.hashing import multiset_digest, row_digest
+from ..functions.hashing import fingerprint, multiset_digest
 from ..operators.contracts import COLUMN_PATTERN
 from ..operators.profile import PROFILE_FIELDS, profile
 from ..session import small_frame
@@ -18,7 +18,7 @@ from .readers import read_source, suffix_of
 from .tables import append_rows, materialize, read_rows
 
 NAME_PATTERN = "[a-z][a-z0-9_]{0,62}"
-# One file is one value to the byte digest; larger files are told apart by their rows.
+# One file is one value to the byte digest (SHA-256); larger ones are told apart by their rows.
 BYTE_DIGEST_LIMIT = 256 * 1024 * 1024
 
 PROFILE_TYPE = f"array<struct<{PROFILE_FIELDS}>>"
@@ -65,7 +65,7 @@ def append_frame(ws: Workspace, source: str, df: DataFrame) -> Row:
     """Register the rows of a repeatable DataFrame; known rows give back the version they had."""
     check_name(source)
     require_columns(df)
-    digest = row_digest(df).first()["digest"]
+    digest = fingerprint(df).first()["fingerprint"]
     known, seq = _history(ws, source, digest)
     return known or _register(ws, source, df, digest, "rows", "", seq + 1)
 
@@ -84,7 +84,7 @@ def _file_digest(ws: Workspace, path: str, csv_options: dict) -> tuple[str, str]
     if not total:
         raise ValueError("A source must contain data")
     if largest > BYTE_DIGEST_LIMIT:
-        return row_digest(read_source(ws.spark, path, **csv_options)).first()["digest"], "rows"
+        return fingerprint(read_source(ws.spark, path, **csv_options)).first()["fingerprint"], "rows"
     contents = files.where("length > 0").select(F.sha2("content", 256).alias("h"))
     return multiset_digest(contents, "h").first()["digest"], "bytes"
 
