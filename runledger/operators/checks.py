@@ -10,6 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import scratch_path
+from ..sources.tables import materialize
+
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows ``(keys…, copies)``; counted before the shuffle, so a hot key stays small."""
@@ -98,9 +101,20 @@ def join_grain(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFram
     return totals.where("actual <> expected")
 
 
+def _reduced(reference: DataFrame) -> DataFrame:
+    """The reference with one row per key, written, as one side of a join.
+
+    Reducing it first keeps a key that is frequent there from weighing on one task. Reading it
+    back gives the join two plain shuffles, which Spark can split where ``df`` has a hot key,
+    and a known size, by which it decides whether to broadcast.
+    """
+    return materialize(reference, scratch_path(reference.sparkSession, "reference"))
+
+
 def orphans(df: DataFrame, reference: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows whose key, null included, has no match in the reference."""
-    return df.join(reference.select(*on).distinct(), list(on), "left_anti").select(df.columns)
+    keys = _reduced(reference.select(*on).distinct())
+    return df.join(keys, list(on), "left_anti").select(df.columns)
 
 
 def late_rows(
@@ -108,9 +122,9 @@ def late_rows(
 ) -> DataFrame:
     """Rows dated more than ``days`` after the first date of their key in the reference.
 
-    The reference is reduced to one row per key first, so rows are never multiplied.
+    The reference has one row per key then, so rows are never multiplied.
     """
-    starts = reference.groupBy(*on).agg(F.min(F.col(start).cast("date")).alias("_start"))
+    starts = _reduced(reference.groupBy(*on).agg(F.min(F.col(start).cast("date")).alias("_start")))
     late = F.col(event).cast("date") > F.date_add(F.col("_start"), days)
     return df.join(starts, list(on)).where(late).select(df.columns)
 

@@ -74,9 +74,13 @@ def _number(df: DataFrame, metric: str, scale: int) -> Column:
     return df[metric].try_cast(f"decimal(37,{scale})")
 
 
-def _require(df: DataFrame, key: str, metric: str) -> None:
-    if key not in df.columns or metric not in df.columns:
-        raise ComparisonError("Select a key and a numeric metric present in both outputs")
+def _require(before: DataFrame, after: DataFrame, key: str, metric: str) -> None:
+    for df in (before, after):
+        if key not in df.columns or metric not in df.columns:
+            raise ComparisonError("Select a key and a numeric metric present in both outputs")
+    texts = [isinstance(df.schema[key].dataType, T.StringType) for df in (before, after)]
+    if texts[0] != texts[1]:
+        raise ComparisonError("The comparison key must have the same type in both outputs")
 
 
 def key_guard(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -87,29 +91,35 @@ def key_guard(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return sides.groupBy("side", "key").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def _side(df: DataFrame, side: str, key: str, unit: str) -> DataFrame:
-    value = F.col(unit).cast("string") if unit in df.columns else F.lit(None).cast("string")
-    return df.select(F.lit(side).alias("side"), F.col(key).alias("key"), value.alias("unit"))
-
-
-def unit_guard(before: DataFrame, after: DataFrame, key: str, unit: str = "currency") -> DataFrame:
-    """Keys on both sides whose units differ: ``(key, before_unit, after_unit)``.
+def _per_key(before: DataFrame, after: DataFrame, key: str, unit: str, metric: str | None = None) -> DataFrame:
+    """Copies, unit and number of bad metrics of every key and side, as one aggregate.
 
     Aggregated per key, not joined, so that repeated keys cannot multiply.
     """
-    is_before, is_after = F.col("side") == "before", F.col("side") == "after"
-    per_key = (
-        _side(before, "before", key, unit)
-        .union(_side(after, "after", key, unit))
-        .groupBy("key")
-        .agg(
-            F.count_if(is_before).alias("_a"),
-            F.count_if(is_after).alias("_b"),
-            F.max(F.when(is_before, F.col("unit"))).alias("before_unit"),
-            F.max(F.when(is_after, F.col("unit"))).alias("after_unit"),
+    sides = []
+    for side, df in (("before", before), ("after", after)):
+        value = F.col(unit).cast("string") if unit in df.columns else F.lit(None).cast("string")
+        bad = _number(df, metric, _scale(df, metric)).isNull() if metric else F.lit(False)
+        sides.append(
+            df.select(F.lit(side).alias("side"), F.col(key).alias("key"), value.alias("unit"), bad.alias("bad"))
         )
+    is_before, is_after = F.col("side") == "before", F.col("side") == "after"
+    return sides[0].union(sides[1]).groupBy("key").agg(
+        F.count_if(is_before).alias("before_copies"),
+        F.count_if(is_after).alias("after_copies"),
+        F.max(F.when(is_before, F.col("unit"))).alias("before_unit"),
+        F.max(F.when(is_after, F.col("unit"))).alias("after_unit"),
+        F.count_if("bad").alias("bad"),
     )
-    return per_key.where("_a > 0 and _b > 0 and before_unit is distinct from after_unit").drop("_a", "_b")
+
+
+MIXED_UNITS = "before_copies > 0 AND after_copies > 0 AND before_unit IS DISTINCT FROM after_unit"
+
+
+def unit_guard(before: DataFrame, after: DataFrame, key: str, unit: str = "currency") -> DataFrame:
+    """Keys on both sides whose units differ: ``(key, before_unit, after_unit)``."""
+    mixed = _per_key(before, after, key, unit).where(MIXED_UNITS)
+    return mixed.select("key", "before_unit", "after_unit")
 
 
 def numeric_guard(before: DataFrame, after: DataFrame, key: str, metric: str) -> DataFrame:
@@ -128,15 +138,23 @@ def numeric_guard(before: DataFrame, after: DataFrame, key: str, metric: str) ->
 def guard_outputs(before: DataFrame, after: DataFrame, key: str, metric: str, unit: str) -> None:
     """Raise unless keys are unique, units agree and metrics are numbers.
 
-    Only key, unit and metric are read. The three answers are single rows.
+    One pass over key, unit and metric, with one row as its answer.
     """
-    _require(before, key, metric)
-    _require(after, key, metric)
-    if not key_guard(before, after, key).isEmpty():
+    _require(before, after, key, metric)
+    found = (
+        _per_key(before, after, key, unit, metric)
+        .agg(
+            F.count_if(F.expr("before_copies > 1 OR after_copies > 1")).alias("repeated"),
+            F.count_if(F.expr(MIXED_UNITS)).alias("mixed"),
+            F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+        )
+        .first()
+    )
+    if found["repeated"]:
         raise ComparisonError("The comparison key must be unique; aggregate the output first")
-    if unit in before.columns + after.columns and not unit_guard(before, after, key, unit).isEmpty():
+    if found["mixed"]:
         raise ComparisonError(f"Outputs with different {unit} cannot be compared")
-    if not numeric_guard(before, after, key, metric).isEmpty():
+    if found["bad"]:
         raise ComparisonError("The comparison metric must contain numbers only")
 
 

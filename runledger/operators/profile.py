@@ -10,6 +10,7 @@ from ..functions.text import bounded, row_json
 from ..session import small_frame
 
 SAMPLE_ROWS = 20
+LONG_TEXT = 64  # bytes; the length of a SHA-256 text
 PROFILE_FIELDS = (
     "position: int, column: string, type: string, nullable: boolean, rows: bigint, missing: bigint, "
     "nans: bigint, distinct: bigint, min: string, max: string, mean: double"
@@ -32,12 +33,17 @@ def _comparable(field: T.StructField) -> tuple[str, str]:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return "double", f"cast({value} as double)"
     if isinstance(kind, T.BinaryType):
-        return "string", f"hex({value})"
-    if isinstance(kind, T.MapType):
-        return "string", f"to_json(array_sort(map_entries({value})))"
-    if isinstance(kind, (T.StructType, T.ArrayType)):
-        return "string", f"to_json({value})"
-    return "string", f"cast({value} as string)"
+        text = f"hex({value})"
+    elif isinstance(kind, T.MapType):
+        text = f"to_json(array_sort(map_entries({value})))"
+    elif isinstance(kind, (T.StructType, T.ArrayType)):
+        text = f"to_json({value})"
+    else:
+        text = f"cast({value} as string)"
+    # A long text is counted by its SHA-256, longer by its mark than any text counted as it is.
+    if isinstance(kind, (T.StringType, T.BinaryType, T.MapType, T.StructType, T.ArrayType)):
+        text = f"if(octet_length({text}) > {LONG_TEXT}, concat('#', sha2({text}, 256)), {text})"
+    return "string", text
 
 
 def value_counts(df: DataFrame) -> DataFrame:

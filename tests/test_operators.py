@@ -63,6 +63,12 @@ def test_profile_of_every_type(spark):
     assert [r["position"] for r in sorted(got.values(), key=lambda r: r["position"])] == list(range(13))
 
 
+def test_long_texts_are_told_apart(spark):
+    texts = ["x" * 64, "x" * 65, "x" * 66, "#" + "a" * 64, "x" * 66, None]
+    got = profile(frame(spark, [(t, [t]) for t in texts], "s string, l array<string>")).collect()
+    assert {r["column"]: (r["missing"], r["distinct"]) for r in got} == {"s": (1, 4), "l": (0, 5)}
+
+
 def test_profile_of_no_rows(spark):
     got = profile(frame(spark, [], "a int, s string")).orderBy("position").collect()
     assert [(r["rows"], r["missing"], r["distinct"], r["min"]) for r in got] == [(0, 0, 0, None)] * 2
@@ -227,7 +233,8 @@ def test_comparison_guards(spark):
     twice = frame(spark, [(1, "1", "USD"), (1, "2", "USD")], schema)
     moved = frame(spark, [(1, "1", "EUR"), (3, "2", "EUR")], schema)
     texts = frame(spark, [(1, "one", "USD"), (2, None, "USD")], schema)
-    for bad in (twice, moved, texts, good.drop("currency"), good.drop("m")):
+    other_key = good.withColumn("k", F.col("k").cast("string"))
+    for bad in (twice, moved, texts, good.drop("currency"), good.drop("m"), other_key):
         with pytest.raises(ComparisonError):
             compare_outputs(good, bad, "k", "m")
     assert [tuple(r) for r in key_guard(good, twice, "k").collect()] == [("after", 1, 2)]
