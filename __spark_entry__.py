@@ -36,7 +36,7 @@ from runledger.operators.findings import evidence_row, top_finding  # noqa: E402
 from runledger.operators.profile import numeric_stats, preview, profile, sample_rows, value_counts  # noqa: E402
 from runledger.operators.status import run_status  # noqa: E402
 from runledger.plans import commerce, retail  # noqa: E402
-from runledger.plans.runs import compare_runs, explore, run_pipeline, step_report  # noqa: E402
+from runledger.plans.runs import compare_runs, explore, run_pipeline, run_report, step_report  # noqa: E402
 from runledger.plans.steps import check_summary, sql_step  # noqa: E402
 from runledger.session import isolated_session, scratch_path, small_frame  # noqa: E402
 from runledger.sources.readers import read_source  # noqa: E402
@@ -45,6 +45,7 @@ from runledger.sources.versions import (  # noqa: E402
     Workspace,
     append_frame,
     append_frames,
+    append_version,
     bind_versions,
     latest_rows,
     latest_versions,
@@ -474,6 +475,16 @@ def latest_event(spark: SparkSession, folder: str) -> DataFrame:
     return newest.select("user_id", "event_id", "event_type", "props")
 
 
+def append_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """A CSV export registered twice: known content gives back its one version."""
+    ws = _workspace(spark)
+    path = f"{scratch_path(spark, 'upload')}/orders.csv"
+    export(_table(spark, folder, "orders"), path, "csv")
+    first, second = (append_version(ws, "orders", path) for _ in range(2))
+    same = F.lit(int(first["version_id"] == second["version_id"]))
+    return list_versions(ws).select("source", "rows", "seq", same.alias("same"))
+
+
 def version_history(spark: SparkSession, folder: str) -> DataFrame:
     """Two versions of three sources, one of them appended again: it stays the first version."""
     ws = _workspace(spark)
@@ -569,6 +580,17 @@ def pipeline_blocked(spark: SparkSession, folder: str) -> DataFrame:
     return _report(ws, run_pipeline(ws, v1, first | {"orders": repeated}, profile_artifacts=False))
 
 
+def run_report_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The check results of a blocked run, from its report."""
+    ws, v1, _, first, inputs2 = _story(spark, folder)
+    repeated = append_frame(ws, "orders", inputs2["orders"])["version_id"]
+    run_id = run_pipeline(ws, v1, first | {"orders": repeated}, profile_artifacts=False)
+    report = run_report(ws, run_id).select(F.col("status").alias("run_status"), F.explode("checks").alias("c"))
+    return report.select(
+        "run_status", "c.step", "c.name", "c.severity", "c.status", "c.violations", F.size("c.sample").alias("shown")
+    )
+
+
 def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Two successful runs, the second with the repaired recipe on new versions, compared."""
     ws, v1, v2, first, inputs2 = _story(spark, folder)
@@ -579,69 +601,71 @@ def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("key", *[(F.col(m) * 100).cast("bigint").alias(f"{m}_cents") for m in ("before", "after", "delta")])
 
 
-_REGISTERED: tuple[Query, ...] = (
-    channel_profit,
-    channel_profit_recovered,
-    channel_profit_money,
-    clean_orders_distinct,
-    costed_items,
-    order_margin,
-    refund_totals,
-    attributed_orders,
-    check_unique_key,
-    check_duplicate_rows,
-    check_accepted_values,
-    check_not_null,
-    check_range,
-    check_join_grain,
-    check_step_grain,
-    check_orphans,
-    check_late_rows,
-    check_missing_lookup,
-    check_defaulted_category,
-    check_summary_repaired,
-    profile_counts,
-    profile_numeric,
-    profile_nested,
-    profile_text,
-    first_orders,
-    preview_bounded,
-    preview_lists,
-    page_rows,
-    page_deep,
-    redact_text,
-    param_scale,
-    explore_group_count,
-    run_status_of_checks,
-    top_finding_profit,
-    top_finding_order,
-    evidence_channel,
-    compare_channels,
-    compare_orders,
-    compare_key_guard,
-    compare_unit_guard,
-    compare_numeric_guard,
-    input_diff_batches,
-    pipeline_diff_rows,
-    schema_diff_batches,
-    schema_contract,
-    bad_column_names,
-    latest_event,
-    version_history,
-    bind_inputs,
-    fingerprint_tables,
-    replay_equality,
-    csv_round_trip,
-    pipeline_run,
-    pipeline_failed,
-    pipeline_blocked,
-    run_comparison,
-)
+_REGISTERED: dict[str, Query] = {
+    "channel_profit": channel_profit,
+    "channel_profit_recovered": channel_profit_recovered,
+    "channel_profit_money": channel_profit_money,
+    "clean_orders_distinct": clean_orders_distinct,
+    "costed_items": costed_items,
+    "order_margin": order_margin,
+    "refund_totals": refund_totals,
+    "attributed_orders": attributed_orders,
+    "check_unique_key": check_unique_key,
+    "check_duplicate_rows": check_duplicate_rows,
+    "check_accepted_values": check_accepted_values,
+    "check_not_null": check_not_null,
+    "check_range": check_range,
+    "check_join_grain": check_join_grain,
+    "check_step_grain": check_step_grain,
+    "check_orphans": check_orphans,
+    "check_late_rows": check_late_rows,
+    "check_missing_lookup": check_missing_lookup,
+    "check_defaulted_category": check_defaulted_category,
+    "check_summary": check_summary_repaired,
+    "profile_counts": profile_counts,
+    "profile_numeric": profile_numeric,
+    "profile_nested": profile_nested,
+    "profile_text": profile_text,
+    "sample_rows": first_orders,
+    "preview_bounded": preview_bounded,
+    "preview_lists": preview_lists,
+    "page_rows": page_rows,
+    "page_deep": page_deep,
+    "redact_text": redact_text,
+    "param_scale": param_scale,
+    "explore_group_count": explore_group_count,
+    "run_status": run_status_of_checks,
+    "top_finding": top_finding_profit,
+    "top_finding_order": top_finding_order,
+    "evidence_row": evidence_channel,
+    "compare_outputs": compare_channels,
+    "compare_orders": compare_orders,
+    "compare_key_guard": compare_key_guard,
+    "compare_unit_guard": compare_unit_guard,
+    "compare_numeric_guard": compare_numeric_guard,
+    "input_diff": input_diff_batches,
+    "pipeline_diff": pipeline_diff_rows,
+    "schema_diff": schema_diff_batches,
+    "schema_contract": schema_contract,
+    "bad_column_names": bad_column_names,
+    "latest_rows": latest_event,
+    "append_version": append_twice,
+    "latest_versions": version_history,
+    "bind_versions": bind_inputs,
+    "fingerprint": fingerprint_tables,
+    "replay_equality": replay_equality,
+    "csv_round_trip": csv_round_trip,
+    "pipeline_run": pipeline_run,
+    "pipeline_failed": pipeline_failed,
+    "pipeline_blocked": pipeline_blocked,
+    "run_report": run_report_checks,
+    "run_comparison": run_comparison,
+}
 
 
 def queries() -> dict[str, Query]:
     """Every registered query by name; each takes (spark, folder of the tables)."""
-    return {query.__name__: query for query in _REGISTERED}
+    return dict(_REGISTERED)
 
 
 def oracle_sql() -> dict[str, str]:

@@ -179,6 +179,17 @@ def _run_states() -> str:
            CASE WHEN overall > 0 THEN 'failed' ELSE 'successful' END AS run_status FROM judged"""
 
 
+def _run_checks() -> str:
+    """Check results of a run that ends at its first step."""
+    contracts = " UNION ALL ".join(
+        f"SELECT '__inputs__' AS step, 'Source contract: {source}' AS \"check\", 'blocking' AS severity, "
+        "0 AS violations, 'passed' AS status"
+        for source in SOURCES
+    )
+    return f"""SELECT 'failed' AS run_status, step, "check" AS name, severity, status, violations,
+               least(violations, 20) AS shown FROM (({_check_rows(_BLOCKED[:3])}) UNION ALL {contracts})"""
+
+
 def _hash_sum(columns: list[str]) -> str:
     texts = ", ".join(f"coalesce({c}::VARCHAR, '')" for c in columns)
     return f"sum(('0x' || substr(md5(concat_ws('|', {texts})), 1, 15))::BIGINT)::VARCHAR"
@@ -367,19 +378,19 @@ _COMMERCE = {
     "check_late_rows": """SELECT refund_id, order_id, amount_cents, currency, received_at::VARCHAR AS received_at
         FROM late2""",
     "check_defaulted_category": "SELECT order_id, channel FROM attributed2 WHERE channel = 'Unattributed'",
-    "check_summary_repaired": _check_rows(_REPAIRED),
+    "check_summary": _check_rows(_REPAIRED),
     "param_scale": """SELECT order_id, count(*) AS items, sum(quantity * 3)::BIGINT AS scaled FROM order_items
         WHERE unit_price_cents >= 100000 GROUP BY order_id""",
-    "run_status_of_checks": _run_states(),
-    "top_finding_profit": _finding(
+    "run_status": _run_states(),
+    "top_finding": _finding(
         "channels1", "channel", "profit_cents", "'USD'", "contribution profit", _money("value")
     ).replace("format('{:,.2f}', value::DOUBLE)", "format('{:,.2f}', value::DOUBLE / 100)"),
     "top_finding_order": _finding(
         "(SELECT order_id, revenue_cents - cost_cents AS margin_cents FROM margin)",
         "order_id", "margin_cents", "'USD'", "margin cents", "value::VARCHAR",
     ),
-    "evidence_channel": "SELECT * FROM channels1 WHERE channel = 'BUILDING'",
-    "compare_channels": """SELECT coalesce(a.channel, b.channel) AS key, coalesce(a.profit_cents, 0) AS before,
+    "evidence_row": "SELECT * FROM channels1 WHERE channel = 'BUILDING'",
+    "compare_outputs": """SELECT coalesce(a.channel, b.channel) AS key, coalesce(a.profit_cents, 0) AS before,
         coalesce(b.profit_cents, 0) AS after, coalesce(b.profit_cents, 0) - coalesce(a.profit_cents, 0) AS delta,
         a.orders AS before_orders, b.orders AS after_orders
         FROM channels1 a FULL JOIN channels2 b ON a.channel = b.channel""",
@@ -390,18 +401,19 @@ _COMMERCE = {
         GROUP BY order_id HAVING count(*) > 1""",
     "compare_unit_guard": """SELECT order_id AS key, 'USD' AS before_unit, 'EUR' AS after_unit
         FROM orders1 JOIN customer ON customer_id = c_custkey WHERE c_nationkey = 24""",
-    "input_diff_batches": _input_diff(),
-    "pipeline_diff_rows": _pipeline_diff(),
-    "schema_diff_batches": _schema_diff(),
+    "input_diff": _input_diff(),
+    "pipeline_diff": _pipeline_diff(),
+    "schema_diff": _schema_diff(),
     "schema_contract": _schema_contract(),
-    "version_history": _version_history(),
-    "bind_inputs": """SELECT 'orders' AS input, 'none' AS problem, (SELECT count(*) FROM orders1) AS "rows"
+    "latest_versions": _version_history(),
+    "bind_versions": """SELECT 'orders' AS input, 'none' AS problem, (SELECT count(*) FROM orders1) AS "rows"
         UNION ALL SELECT 'customers', 'missing', 0
         UNION ALL SELECT 'clients', 'extra', (SELECT count(*) FROM customers)
         UNION ALL SELECT 'ad_spend', 'foreign', 0""",
     "replay_equality": 'SELECT count(*) AS "rows", 1 AS same FROM costed',
     "pipeline_run": _run_report(_tolerant(_FIRST), "orders1"),
     "pipeline_failed": _run_report(_FIRST, "orders1"),
+    "run_report": _run_checks(),
     "pipeline_blocked": _run_report(_BLOCKED, "orders2"),
     "run_comparison": """SELECT coalesce(a.channel, b.channel) AS key, coalesce(a.profit_cents, 0) AS before_cents,
         coalesce(b.profit_cents, 0) AS after_cents,
@@ -426,7 +438,7 @@ _DIRECT = {
     "profile_numeric": _numeric(),
     "profile_nested": _by_position("embeddings", ["vec_id", "embedding", "label"]),
     "profile_text": _by_position("documents", ["doc_id", "text", "lang", "source", "n_chars"]),
-    "first_orders": """SELECT o_orderkey, o_custkey, o_orderdate::DATE::VARCHAR AS day FROM orders
+    "sample_rows": """SELECT o_orderkey, o_custkey, o_orderdate::DATE::VARCHAR AS day FROM orders
         ORDER BY o_orderdate, o_orderkey LIMIT 20""",
     "preview_bounded": f"""SELECT doc_id, CASE WHEN length(text) > 2000
         THEN substring(text, 1, 2000) || '{_MARKER}' ELSE text END AS text, lang, source, n_chars FROM documents""",
@@ -443,10 +455,11 @@ _DIRECT = {
         WHERE o_orderstatus = 'P'""",
     "bad_column_names": """SELECT 'by_year' AS source, "column", 'not an identifier' AS problem, count(*) AS events
         FROM (SELECT strftime(ts, '%Y') || '-' || event_type AS "column" FROM events) GROUP BY "column" """,
-    "latest_event": """SELECT user_id, event_id, event_type, props FROM
+    "latest_rows": """SELECT user_id, event_id, event_type, props FROM
         (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
         WHERE n = 1""",
-    "fingerprint_tables": _fingerprints(),
+    "append_version": "SELECT 'orders' AS source, count(*) AS \"rows\", 1 AS seq, 1 AS same FROM orders",
+    "fingerprint": _fingerprints(),
     "csv_round_trip": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
         o_orderdate::DATE::VARCHAR AS o_orderdate, o_orderpriority FROM orders""",
 }
