@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -190,11 +191,16 @@ def _run_step(
     record.event(step.name, "running")
     path = ws.data(f"run={run_id}", f"step={step.name}")
     table = materialize(build_step(session, step, frames, values), path)
+    content = fingerprint(table).first()
     tables[step.name] = (path, table.schema)
-    counts[step.name] = _save_artifact(ws, run_id, step.name, path, table, profile_artifacts)
+    counts[step.name] = content["rows"]
     add_frame(session, frames, step.name, tables[step.name])
     quarantine = ws.data(f"run={run_id}", f"violations={step.name}")
-    results = run_checks(session, step.checks, frames, counts, values, quarantine)
+    # The output is profiled while its checks run; it is on record before their results are.
+    with ThreadPoolExecutor(max_workers=1) as pool:
+        saved = pool.submit(_save_artifact, ws, run_id, step.name, path, table, content, profile_artifacts)
+        results = run_checks(session, step.checks, frames, counts, values, quarantine)
+        saved.result()
     record.checks(step.name, results)
     errors = [r["name"] + ": " + r["error"] for r in results if r["status"] == "error"]
     if errors:
@@ -205,13 +211,12 @@ def _run_step(
     record.note(step.name, "successful")
 
 
-def _save_artifact(ws: Workspace, run_id: str, step: str, path: str, table: DataFrame, with_profile: bool) -> int:
-    artifact_id = uuid.uuid4().hex
-    content = fingerprint(table).first()
+def _save_artifact(
+    ws: Workspace, run_id: str, step: str, path: str, table: DataFrame, content: Row, with_profile: bool
+) -> None:
     columns = profile_rows(table) if with_profile else None
-    row = (step, artifact_id, path, content["rows"], content["fingerprint"], table.schema.json(), columns)
-    _append(ws, run_id, "artifacts", [row])
-    return content["rows"]
+    facts = (content["rows"], content["fingerprint"], table.schema.json(), columns)
+    _append(ws, run_id, "artifacts", [(step, uuid.uuid4().hex, path, *facts)])
 
 
 def _store_finding(ws: Workspace, pipeline: Pipeline, run_id: str, output: tuple) -> None:
