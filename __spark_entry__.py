@@ -50,6 +50,7 @@ from runledger.sources.versions import (  # noqa: E402
     latest_rows,
     latest_versions,
     list_versions,
+    version_sample,
     versions,
 )
 
@@ -411,7 +412,7 @@ def _row_counts(frames: dict[str, DataFrame], kind: str, names: list[str]) -> li
     ]
 
 
-def pipeline_diff_rows(spark: SparkSession, folder: str) -> DataFrame:
+def definition_diff_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Changed sources and steps of the two versions, with the rows each has in its batch."""
     inputs1, inputs2 = (retail.retail_inputs(spark, folder, batch) for batch in (1, 2))
     v1, v2 = _pipelines(inputs1, inputs2)
@@ -485,6 +486,15 @@ def append_twice(spark: SparkSession, folder: str) -> DataFrame:
     return list_versions(ws).select("source", "rows", "seq", same.alias("same"))
 
 
+def newest_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows served from the profile of the newest version of a source, and its size."""
+    ws = _workspace(spark)
+    append_frames(ws, retail.load(spark, folder, "nation", "customer"))
+    shown = version_sample(ws, "nation", 20).agg(F.count("*").alias("shown"))
+    sizes = latest_versions(ws).select("source", "rows", F.size("sample").alias("kept"))
+    return sizes.join(shown.withColumn("source", F.lit("nation")), "source", "left")
+
+
 def version_history(spark: SparkSession, folder: str) -> DataFrame:
     """Two versions of three sources, one of them appended again: it stays the first version."""
     ws = _workspace(spark)
@@ -562,18 +572,18 @@ def _report(ws: Workspace, run_id: str) -> DataFrame:
     )
 
 
-def pipeline_run(spark: SparkSession, folder: str) -> DataFrame:
+def run_successful(spark: SparkSession, folder: str) -> DataFrame:
     ws, v1, _, first, _ = _story(spark, folder)
     return _report(ws, run_pipeline(ws, _tolerant(v1), first))
 
 
-def pipeline_failed(spark: SparkSession, folder: str) -> DataFrame:
+def run_failed(spark: SparkSession, folder: str) -> DataFrame:
     """Orders without items block the fifth step; its output and the earlier ones are kept."""
     ws, v1, _, first, _ = _story(spark, folder)
     return _report(ws, run_pipeline(ws, v1, first, profile_artifacts=False))
 
 
-def pipeline_blocked(spark: SparkSession, folder: str) -> DataFrame:
+def run_blocked(spark: SparkSession, folder: str) -> DataFrame:
     """The first recipe on the orders of the second batch: repeated order ids end the run."""
     ws, v1, _, first, inputs2 = _story(spark, folder)
     repeated = append_frame(ws, "orders", inputs2["orders"])["version_id"]
@@ -627,6 +637,7 @@ _REGISTERED: dict[str, Query] = {
     "profile_nested": profile_nested,
     "profile_text": profile_text,
     "sample_rows": first_orders,
+    "version_sample": newest_sample,
     "preview_bounded": preview_bounded,
     "preview_lists": preview_lists,
     "page_rows": page_rows,
@@ -644,7 +655,7 @@ _REGISTERED: dict[str, Query] = {
     "compare_unit_guard": compare_unit_guard,
     "compare_numeric_guard": compare_numeric_guard,
     "input_diff": input_diff_batches,
-    "pipeline_diff": pipeline_diff_rows,
+    "definition_diff": definition_diff_rows,
     "schema_diff": schema_diff_batches,
     "schema_contract": schema_contract,
     "bad_column_names": bad_column_names,
@@ -655,9 +666,9 @@ _REGISTERED: dict[str, Query] = {
     "fingerprint": fingerprint_tables,
     "replay_equality": replay_equality,
     "csv_round_trip": csv_round_trip,
-    "pipeline_run": pipeline_run,
-    "pipeline_failed": pipeline_failed,
-    "pipeline_blocked": pipeline_blocked,
+    "run_successful": run_successful,
+    "run_failed": run_failed,
+    "run_blocked": run_blocked,
     "run_report": run_report_checks,
     "run_comparison": run_comparison,
 }

@@ -265,7 +265,7 @@ def _finding(table: str, label: str, metric: str, unit: str, words: str, shown:
           FROM {table} ORDER BY {metric} DESC, {label} LIMIT 1)"""
 
 
-def _pipeline_diff() -> str:
+def _definition_diff() -> str:
     rows = [
         ("source", "ad_spend", "spend1", "spend2"),
         ("step", "clean_orders", "orders1", "clean2"),
@@ -402,7 +402,7 @@ _COMMERCE = {
     "compare_unit_guard": """SELECT order_id AS key, 'USD' AS before_unit, 'EUR' AS after_unit
         FROM orders1 JOIN customer ON customer_id = c_custkey WHERE c_nationkey = 24""",
     "input_diff": _input_diff(),
-    "pipeline_diff": _pipeline_diff(),
+    "definition_diff": _definition_diff(),
     "schema_diff": _schema_diff(),
     "schema_contract": _schema_contract(),
     "latest_versions": _version_history(),
@@ -411,10 +411,10 @@ _COMMERCE = {
         UNION ALL SELECT 'clients', 'extra', (SELECT count(*) FROM customers)
         UNION ALL SELECT 'ad_spend', 'foreign', 0""",
     "replay_equality": 'SELECT count(*) AS "rows", 1 AS same FROM costed',
-    "pipeline_run": _run_report(_tolerant(_FIRST), "orders1"),
-    "pipeline_failed": _run_report(_FIRST, "orders1"),
+    "run_successful": _run_report(_tolerant(_FIRST), "orders1"),
+    "run_failed": _run_report(_FIRST, "orders1"),
     "run_report": _run_checks(),
-    "pipeline_blocked": _run_report(_BLOCKED, "orders2"),
+    "run_blocked": _run_report(_BLOCKED, "orders2"),
     "run_comparison": """SELECT coalesce(a.channel, b.channel) AS key, coalesce(a.profit_cents, 0) AS before_cents,
         coalesce(b.profit_cents, 0) AS after_cents,
         coalesce(b.profit_cents, 0) - coalesce(a.profit_cents, 0) AS delta_cents
@@ -440,6 +440,9 @@ _DIRECT = {
     "profile_text": _by_position("documents", ["doc_id", "text", "lang", "source", "n_chars"]),
     "sample_rows": """SELECT o_orderkey, o_custkey, o_orderdate::DATE::VARCHAR AS day FROM orders
         ORDER BY o_orderdate, o_orderkey LIMIT 20""",
+    "version_sample": """SELECT 'nation' AS source, count(*) AS "rows", least(count(*), 30) AS kept,
+        least(count(*), 20) AS shown FROM nation
+        UNION ALL SELECT 'customer', count(*), least(count(*), 30), NULL FROM customer""",
     "preview_bounded": f"""SELECT doc_id, CASE WHEN length(text) > 2000
         THEN substring(text, 1, 2000) || '{_MARKER}' ELSE text END AS text, lang, source, n_chars FROM documents""",
     "preview_lists": """SELECT vec_id, len(embedding[1:50]) AS items,

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.text import bounded, row_json
 from ..session import small_frame
 
-SAMPLE_ROWS = 20
+SAMPLE_ROWS = 20  # served at most
+KEPT_ROWS = 30  # kept with a profile
 LONG_TEXT = 64  # bytes; the length of a SHA-256 text
 PROFILE_FIELDS = (
     "position: int, column: string, type: string, nullable: boolean, rows: bigint, missing: bigint, "
@@ -110,6 +111,11 @@ def sample_rows(df: DataFrame, order_key: str | list[str], n: int = 10) -> DataF
     return df.orderBy(*keys).limit(min(SAMPLE_ROWS, max(1, n)))
 
 
+def kept_rows(df: DataFrame) -> list[str]:
+    """The first 30 rows of a written table as previewed JSON texts, to keep with its profile."""
+    return [r["row"] for r in json_rows(df.limit(KEPT_ROWS)).collect()]
+
+
 def preview(df: DataFrame) -> DataFrame:
     """Every row, with long texts and long lists cut at every depth."""
     return df.select([bounded(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])

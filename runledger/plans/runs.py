@@ -15,7 +15,7 @@ from ..functions.text import row_json
 from ..operators.compare import compare_outputs, input_diff, pipeline_diff
 from ..operators.contracts import check_contract, column_rows, contract_rows
 from ..operators.findings import evidence_row, top_finding
-from ..operators.profile import preview
+from ..operators.profile import kept_rows, preview
 from ..operators.status import CONTRACT_STEP, current_states
 from ..sources.tables import append_rows, materialize, read_rows
 from ..sources.versions import PROFILE_TYPE, Workspace, latest_versions, profile_rows, resolve_inputs
@@ -41,7 +41,7 @@ FACTS = {
     ),
     "artifacts": (
         "step string, artifact_id string, path string, rows bigint, fingerprint string, "
-        f"schema_json string, profile {PROFILE_TYPE}"
+        f"schema_json string, profile {PROFILE_TYPE}, sample array<string>"
     ),
     "findings": "step string, finding_id string, title string, detail string, evidence string",
 }
@@ -215,7 +215,7 @@ def _save_artifact(
     ws: Workspace, run_id: str, step: str, path: str, table: DataFrame, content: Row, with_profile: bool
 ) -> None:
     columns = profile_rows(table) if with_profile else None
-    facts = (content["rows"], content["fingerprint"], table.schema.json(), columns)
+    facts = (content["rows"], content["fingerprint"], table.schema.json(), columns, kept_rows(table))
     _append(ws, run_id, "artifacts", [(step, uuid.uuid4().hex, path, *facts)])
 
 

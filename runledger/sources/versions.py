@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions.hashing import fingerprint, multiset_digest
 from ..operators.contracts import COLUMN_PATTERN
-from ..operators.profile import PROFILE_FIELDS, profile
+from ..operators.profile import PROFILE_FIELDS, SAMPLE_ROWS, kept_rows, profile
 from ..session import small_frame
 from .readers import read_source, suffix_of
 from .tables import append_rows, materialize, read_rows
@@ -24,7 +24,7 @@ BYTE_DIGEST_LIMIT = 256 * 1024 * 1024
 PROFILE_TYPE = f"array<struct<{PROFILE_FIELDS}>>"
 VERSION_FACTS = (
     "digest string, digest_kind string, origin string, path string, rows bigint, "
-    f"schema_json string, profile {PROFILE_TYPE}, created_at timestamp, seq bigint"
+    f"schema_json string, profile {PROFILE_TYPE}, sample array<string>, created_at timestamp, seq bigint"
 )
 VERSION_SCHEMA = f"{VERSION_FACTS}, workspace_id string, source string, version_id string"
 
@@ -119,7 +119,7 @@ def _register(
     columns = profile_rows(table)
     origin = origin.rstrip("/").rsplit("/", 1)[-1]
     now = datetime.now(timezone.utc)
-    row = (digest, kind, origin, path, columns[0]["rows"], table.schema.json(), columns, now, seq)
+    row = (digest, kind, origin, path, columns[0]["rows"], table.schema.json(), columns, kept_rows(table), now, seq)
     folder = f"{ws.table('versions')}/{_part(ws, source)}/version_id={version_id}"
     append_rows(ws.spark, [row], VERSION_FACTS, folder)
     # Another writer may have been first with the same content: the earliest row counts.
@@ -166,6 +166,23 @@ def latest_versions(ws: Workspace) -> DataFrame:
     return latest_rows(versions(ws), ["source"], ["created_at", "seq"])
 
 
+def chosen_version(ws: Workspace, source: str, version_id: str | None = None) -> DataFrame:
+    """One version row of a source: the one asked for if there is one, else the newest."""
+    asked = F.col("version_id").eqNullSafe(F.lit(version_id).cast("string"))
+    return versions(ws, source).orderBy(asked.desc(), F.desc("created_at"), F.desc("seq")).limit(1)
+
+
+def version_profile(ws: Workspace, source: str, version_id: str | None = None) -> DataFrame:
+    """The stored profile of a version, one row per column."""
+    return chosen_version(ws, source, version_id).select(F.inline("profile")).orderBy("position")
+
+
+def version_sample(ws: Workspace, source: str, n: int = 10, version_id: str | None = None) -> DataFrame:
+    """The first 1 to 20 rows kept with a version, as JSON texts."""
+    rows = F.slice("sample", 1, min(SAMPLE_ROWS, max(1, n)))
+    return chosen_version(ws, source, version_id).select(F.explode(rows).alias("row"))
+
+
 def bind_versions(declared: DataFrame, mapping: DataFrame, known: DataFrame) -> DataFrame:
     """Match declared inputs ``(input)`` with a mapping ``(input, version_id)``.
 

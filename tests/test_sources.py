@@ -16,6 +16,8 @@ from runledger.sources.versions import (
     latest_versions,
     list_versions,
     resolve_inputs,
+    version_profile,
+    version_sample,
 )
 
 
@@ -129,6 +131,18 @@ def test_frames_together(workspace, spark):
     assert {n: r["rows"] for n, r in rows.items()} == {f"s{i}": i + 1 for i in range(4)}
 
 
+def test_samples_and_profiles_are_served_per_version(workspace, spark):
+    old = append_frame(workspace, "numbers", spark.range(1, 3))
+    append_frame(workspace, "numbers", spark.range(100, 150))
+    assert version_sample(workspace, "numbers").count() == 10
+    assert version_sample(workspace, "numbers", 99).count() == 20
+    rows = version_sample(workspace, "numbers", 5, old["version_id"]).collect()
+    assert sorted(r["row"] for r in rows) == ['{"id":1}', '{"id":2}']
+    assert version_profile(workspace, "numbers").first()["min"] == "100"
+    assert version_profile(workspace, "numbers", old["version_id"]).first()["distinct"] == 2
+    assert len(list_versions(workspace).first()["sample"]) == 30
+
+
 def test_latest_rows_breaks_ties(spark):
     df = spark.createDataFrame([("a", 1, 1, "x"), ("a", 1, 2, "y"), ("b", 5, 1, "z")], "k string, t int, s int, v string")
     assert {r["k"]: r["v"] for r in latest_rows(df, ["k"], ["t", "s"]).collect()} == {"a": "y", "b": "z"}
