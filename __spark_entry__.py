@@ -333,7 +333,8 @@ def top_finding_profit(spark: SparkSession, folder: str) -> DataFrame:
 
 def top_finding_order(spark: SparkSession, folder: str) -> DataFrame:
     margin = order_margin(spark, folder)
-    gross = margin.select("order_id", F.lit("USD").alias("unit"), (F.col("revenue_cents") - F.col("cost_cents")).alias("margin_cents"))
+    earned = F.col("revenue_cents") - F.col("cost_cents")
+    gross = margin.select("order_id", F.lit("USD").alias("unit"), earned.alias("margin_cents"))
     return top_finding(gross, "order_id", "margin_cents", "unit")
 
 
@@ -371,7 +372,8 @@ def compare_key_guard(spark: SparkSession, folder: str) -> DataFrame:
 def compare_unit_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Orders of one nation change currency between two batches."""
     orders = retail.retail_inputs(spark, folder, 1, "orders")["orders"]
-    moved = _table(spark, folder, "customer").where("c_nationkey = 24").select(F.col("c_custkey").alias("customer_id"), F.lit("EUR").alias("moved_to"))
+    nation = _table(spark, folder, "customer").where("c_nationkey = 24")
+    moved = nation.select(F.col("c_custkey").alias("customer_id"), F.lit("EUR").alias("moved_to"))
     after = orders.join(moved, "customer_id", "left").withColumn("currency", F.coalesce("moved_to", "currency"))
     return unit_guard(orders, after, "order_id")
 
@@ -380,7 +382,8 @@ def compare_numeric_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Order texts as metrics: the leading digit of a priority is a number, its name is not."""
     orders = _table(spark, folder, "orders")
     before = orders.select("o_orderkey", F.substring_index("o_orderpriority", "-", 1).alias("rank"))
-    after = orders.select("o_orderkey", F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise("1").alias("rank"))
+    rank = F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).otherwise("1")
+    after = orders.select("o_orderkey", rank.alias("rank"))
     return numeric_guard(before, after, "o_orderkey", "rank")
 
 
@@ -504,7 +507,8 @@ def version_history(spark: SparkSession, folder: str) -> DataFrame:
         append_frames(ws, frames)
     newest = latest_versions(ws).select("version_id", F.lit(1).alias("latest"))
     history = list_versions(ws).join(newest, "version_id", "left")
-    return history.select("source", "seq", "rows", F.size("profile").alias("width"), F.coalesce("latest", F.lit(0)).alias("latest"))
+    width, latest = F.size("profile").alias("width"), F.coalesce("latest", F.lit(0)).alias("latest")
+    return history.select("source", "seq", "rows", width, latest)
 
 
 def bind_inputs(spark: SparkSession, folder: str) -> DataFrame:
@@ -518,7 +522,8 @@ def bind_inputs(spark: SparkSession, folder: str) -> DataFrame:
     declared = small_frame(spark, [(n,) for n in ("orders", "customers", "ad_spend")], "input string")
     given = small_frame(spark, list(mapping.items()), "input string, version_id string")
     bound = bind_versions(declared, given, versions(ws))
-    return bound.select("input", F.coalesce("problem", F.lit("none")).alias("problem"), F.coalesce("rows", F.lit(0)).alias("rows"))
+    problem = F.coalesce("problem", F.lit("none")).alias("problem")
+    return bound.select("input", problem, F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def fingerprint_tables(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, functions as F, types as T
 
 from ..functions.hashing import fingerprint
 from ..functions.text import row_json
-from ..operators.compare import compare_outputs, input_diff, pipeline_diff
+from ..operators.compare import by_key_text, compare_outputs, input_diff, pipeline_diff
 from ..operators.contracts import check_contract, column_rows, contract_rows
 from ..operators.findings import evidence_row, top_finding
 from ..operators.profile import kept_rows, preview
@@ -340,9 +340,8 @@ def compare_runs(
     states = [current_states(run_table(ws, "events", run)).where("step is null").first() for run in (before, after)]
     outputs, message = None, None
     if all(s["status"] == "successful" for s in states):
-        outputs = compare_outputs(
-            artifact(ws, before, a["output"]), artifact(ws, after, b["output"]), key, metric, unit
-        )
+        saved = artifact(ws, before, a["output"]), artifact(ws, after, b["output"])
+        outputs = by_key_text(compare_outputs(*saved, key, metric, unit))
     else:
         message = "Outputs are compared only if both runs succeeded."
     return RunComparison(

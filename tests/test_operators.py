@@ -209,7 +209,8 @@ def test_grain(spark):
 
 
 def test_outputs_match_on_typed_and_null_keys(spark):
-    a = frame(spark, [("x", Decimal("10.25"), "USD"), (None, Decimal("1.00"), "USD"), ("gone", Decimal("5.00"), "USD")], "k string, m decimal(18,2), currency string")
+    rows = [("x", Decimal("10.25"), "USD"), (None, Decimal("1.00"), "USD"), ("gone", Decimal("5.00"), "USD")]
+    a = frame(spark, rows, "k string, m decimal(18,2), currency string")
     b = frame(spark, [("x", 10, "USD"), (None, 3, "USD"), ("new", 7, "EUR")], "k string, m int, currency string")
     rows = by_key_text(compare_outputs(a, b, "k", "m")).collect()
     assert [(r["key"], r["before"], r["after"], r["delta"]) for r in rows] == [

@@ -7,7 +7,7 @@ from runledger.plans.definition import Check, Pipeline, Step, grain_check, key_c
 from runledger.plans.runs import artifact, compare_runs, explore, run_pipeline, run_report
 from runledger.plans.steps import check_summary, sql_step
 from runledger.session import isolated_session
-from runledger.sources.versions import append_version
+from runledger.sources.versions import Workspace, append_version
 
 TOTALS = "SELECT id, sum(amount) AS amount FROM orders GROUP BY id"
 
@@ -95,6 +95,10 @@ def test_type_contract(workspace, orders):
 def test_empty_result(workspace, orders):
     _, report = run(workspace, pipeline("SELECT * FROM orders WHERE id > 100"), orders)
     assert report["findings"][0]["title"] == "The result has no rows"
+    elsewhere = Workspace(workspace.spark, workspace.root, "w2")
+    assert run_report(elsewhere, report["run_id"]).isEmpty()
+    with pytest.raises(ValueError):
+        artifact(elsewhere, report["run_id"], "totals")
 
 
 @pytest.mark.parametrize(
