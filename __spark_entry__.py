@@ -679,11 +679,26 @@ _REGISTERED: dict[str, Query] = {
 }
 
 
+def _training_data() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data operators, if that subpackage is there."""
+    try:
+        import corpus_pipeline
+        from runledger.llm import queries as extra
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "runledger.llm", "runledger.llm.queries"):
+            raise
+        return {}, {}
+    sql = dict(extra.ORACLES)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**extra.QUERIES, "pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Query]:
     """Every registered query by name; each takes (spark, folder of the tables)."""
-    return dict(_REGISTERED)
+    return {**_REGISTERED, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
-    """For every registered query the SQL that gives the same rows."""
-    return oracles.oracle_sql()
+    """The SQL that gives the same rows, for each registered query that SQL can express."""
+    return {**oracles.oracle_sql(), **_training_data()[1]}
