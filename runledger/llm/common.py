@@ -87,6 +87,32 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         edges = merged
 
 
+#: Bits of the map that keeps unneeded texts out of a shuffle: 131,072 words at any input size.
+MAP_BITS = 1 << 23
+
+
+def likely(texts: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``texts`` whose long key may be in ``keys``: all that are, and some that are not.
+
+    A bitmap of hashed keys, of fixed size, is sent to the tasks. It only saves shuffling texts
+    that a join would drop; the join itself must follow.
+    """
+    bits = keys.select(F.pmod(F.xxhash64(column), F.lit(MAP_BITS)).cast("int").alias("bit"))
+    words = np.zeros(MAP_BITS // 64, np.int64)
+    for row in bits.selectExpr("shiftright(bit, 6) w", "shiftleft(1L, bit & 63) m").groupBy("w").agg(F.bit_or("m").alias("m")).collect():
+        words[row["w"]] = row["m"]
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+
+    def pick(batches):
+        for batch in batches:
+            bit = batch.column("__bit").to_numpy()
+            hit = (sent.value[bit >> 6] >> (bit & 63)) & 1 == 1
+            yield batch.drop_columns(["__bit"]).filter(pa.array(hit))
+
+    coded = texts.withColumn("__bit", F.pmod(F.xxhash64(column), F.lit(MAP_BITS)))
+    return coded.mapInArrow(pick, texts.schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x.astype(np.uint64, copy=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, shingle_join
+from . import language, repeats, shingle_join
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,9 +47,15 @@ def op5_language_id(spark, docs, folder):
     return language.identify(docs)
 
 
+@_over("documents")
+def op7_repeated_strings(spark, docs, folder):
+    return repeats.remove_repeats(docs, 400)
+
+
 QUERIES: dict[str, Query] = {
     "op2_shingle_join": op2_shingle_join,
     "op5_language_id": op5_language_id,
+    "op7_repeated_strings": op7_repeated_strings,
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
