@@ -17,7 +17,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _RANDOM = np.random.default_rng(20240607)
 _BYTE_VALUES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
 _BYTE_VALUES[65:91] = _BYTE_VALUES[97:123]
-_BYTE_VALUES[_SPACE] = 0
+_GAP = np.zeros(256, dtype=bool)
+_GAP[:128] = [not chr(c).isalnum() for c in range(128)]
 _PLACE_VALUES = _RANDOM.integers(0, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,7 +144,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     A word is a run of bytes that are not 0x20 or 0x09-0x0D; A-Z are lower-cased. Works through
     slices cut at white space, so that memory does not follow the longest text.
     """
-    space = _SPACE[data]
+    return _words(data, offsets, _SPACE)
+
+
+def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, for words of ASCII letters and digits and of all bytes beyond ASCII."""
+    return _words(data, offsets, _GAP)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values_of = np.where(gap, np.uint64(0), _BYTE_VALUES)
+    space = gap[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     first = first[: len(data)]
@@ -158,7 +169,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         part = data[begin:end]
         place = np.arange(len(part), dtype=np.int32)
         place -= np.repeat(own.astype(np.int32), np.diff(np.append(own, len(part))))
-        values = _BYTE_VALUES[part]
+        values = values_of[part]
         values *= _PLACE_VALUES[place & 0xFFFF]
         hashes[lo:hi] = mix(np.add.reduceat(values, own))
         lo = hi
@@ -181,7 +192,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return out[np.append(True, out[1:] != out[:-1])]
 
 
-def batches_of(batch: pa.RecordBatch, column: str, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def batches_of(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about ``most`` bytes of a text column, one row at least."""
     sizes = np.array(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     total, begin = np.cumsum(sizes), 0

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, repeats, shingle_join
+from . import language, leakage, piece_sampling, repeats, shingle_join, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,11 @@ def importable(spark: SparkSession) -> None:
     """Let Python workers find this library where it is installed on the driver.
 
     A cluster that ships it with ``--py-files`` needs nothing of this.
+
+    Text reaches Python in batches of rows; a thousand at a time keep long texts within bounds.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -42,6 +46,16 @@ def op2_shingle_join(spark, docs, folder):
     return shingle_join.jaccard_components(docs, 4, (85, 100))
 
 
+@_over("documents")
+def op3_piece_sampling(spark, docs, folder):
+    return piece_sampling.encode(docs)
+
+
+@_over("documents")
+def op4_token_counts(spark, docs, folder):
+    return token_counts.token_counts(docs)
+
+
 @_over("documents")
 def op5_language_id(spark, docs, folder):
     return language.identify(docs)
@@ -52,10 +66,18 @@ def op7_repeated_strings(spark, docs, folder):
     return repeats.remove_repeats(docs, 400)
 
 
+@_over("documents")
+def op9_benchmark_leaks(spark, docs, folder):
+    return leakage.find_leaks(docs, table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_shingle_join": op2_shingle_join,
+    "op3_piece_sampling": op3_piece_sampling,
+    "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op7_repeated_strings": op7_repeated_strings,
+    "op9_benchmark_leaks": op9_benchmark_leaks,
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
