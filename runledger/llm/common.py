@@ -208,7 +208,10 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa
 
 
 def runs_of(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Whole runs of equal keys of a partition that is sorted by it, a bounded tail carried over."""
+    """Tables of whole runs of equal keys, from a partition that is sorted by the key.
+
+    One table holds the runs that end in one batch; only a run that goes on is carried over.
+    """
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:

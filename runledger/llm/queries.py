@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, leakage, piece_sampling, repeats, shingle_join, token_counts
+from . import disclosure, language, leakage, piece_sampling, repeats, shingle_join, token_counts, vector_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def _over(name: str):
     return wrap
 
 
+@_over("embeddings")
+def op1_vector_dedup(spark, vectors, folder):
+    return vector_dedup.near_duplicates(vectors, 0.98)
+
+
 @_over("documents")
 def op2_shingle_join(spark, docs, folder):
     return shingle_join.jaccard_components(docs, 4, (85, 100))
@@ -66,17 +71,24 @@ def op7_repeated_strings(spark, docs, folder):
     return repeats.remove_repeats(docs, 400)
 
 
+@_over("documents")
+def op8_disclosure(spark, docs, folder):
+    return disclosure.find_personal_data(docs)
+
+
 @_over("documents")
 def op9_benchmark_leaks(spark, docs, folder):
     return leakage.find_leaks(docs, table(spark, folder, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_vector_dedup": op1_vector_dedup,
     "op2_shingle_join": op2_shingle_join,
     "op3_piece_sampling": op3_piece_sampling,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op7_repeated_strings": op7_repeated_strings,
+    "op8_disclosure": op8_disclosure,
     "op9_benchmark_leaks": op9_benchmark_leaks,
 }
 
@@ -91,6 +103,19 @@ _REACH = """
 """
 
 ORACLES: dict[str, str] = {
+    "op1_vector_dedup": f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), both_ways AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM usable x JOIN usable y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.98
+), links AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a) {_REACH}
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(root, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(root, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN links ON links.a = e.vec_id LEFT JOIN root ON root.id = e.vec_id
+""",
     "op2_shingle_join": rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_TO_Z}), '[^\x20\x09-\x0D]+') AS w FROM documents
