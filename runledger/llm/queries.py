@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import disclosure, language, leakage, piece_sampling, repeats, shingle_join, token_counts, vector_dedup
+from . import disclosure, language, leakage, page_text, piece_sampling, repeats, shingle_join, token_counts, tool_calls, vector_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,16 @@ def op5_language_id(spark, docs, folder):
     return language.identify(docs)
 
 
+#: What the turns of a plain dialogue must look like as calls.
+ANSWER = {"answer": {"required": ["text"], "properties": {"text": "string", "after": "string"}}}
+
+
+@_over("conversations")
+def op6_tool_calls(spark, turns, folder):
+    calls, results = tool_calls.replies_as_calls(turns)
+    return tool_calls.link_calls(calls, results, ANSWER)
+
+
 @_over("documents")
 def op7_repeated_strings(spark, docs, folder):
     return repeats.remove_repeats(docs, 400)
@@ -81,15 +91,22 @@ def op9_benchmark_leaks(spark, docs, folder):
     return leakage.find_leaks(docs, table(spark, folder, "benchmark"))
 
 
+@_over("pages")
+def op10_page_text(spark, pages, folder):
+    return page_text.extract(pages)
+
+
 QUERIES: dict[str, Query] = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_shingle_join": op2_shingle_join,
     "op3_piece_sampling": op3_piece_sampling,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
+    "op6_tool_calls": op6_tool_calls,
     "op7_repeated_strings": op7_repeated_strings,
     "op8_disclosure": op8_disclosure,
     "op9_benchmark_leaks": op9_benchmark_leaks,
+    "op10_page_text": op10_page_text,
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -115,6 +132,26 @@ WITH RECURSIVE usable AS (
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(root, e.vec_id)) AS component_id,
   e.vec_id = least(e.vec_id, coalesce(root, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN links ON links.a = e.vec_id LEFT JOIN root ON root.id = e.vec_id
+""",
+    "op6_tool_calls": """
+WITH asked AS (
+  SELECT conv_id, turn::VARCHAR AS call_id, min(turn) AS turn, min(text) AS text, count(text) AS given, count(*) AS n_calls
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+), told AS (
+  SELECT conv_id, (turn - 1)::VARCHAR AS call_id, min(turn) AS result_turn, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+)
+SELECT coalesce(a.conv_id, t.conv_id) AS conv_id, coalesce(a.call_id, t.call_id) AS call_id, a.turn, t.result_turn,
+  CASE WHEN a.conv_id IS NULL THEN 'orphan' WHEN t.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+  a.turn AS order_turn, CASE WHEN a.turn IS NOT NULL THEN 0 END::INTEGER AS order_place, CASE WHEN a.turn IS NOT NULL THEN 0 END::INTEGER AS order_step,
+  false AS cyclic, CASE WHEN a.conv_id IS NOT NULL AND given = 0 THEN 'missing text' ELSE '' END AS errors,
+  '{"arguments":' || CASE WHEN a.conv_id IS NULL THEN 'null' ELSE '{'
+    || array_to_string(list_filter([CASE WHEN a.turn >= 2 THEN '"after":"${' || (a.turn - 2) || '}"' END,
+                                    CASE WHEN a.text IS NOT NULL THEN '"text":' || to_json(a.text) END], lambda x: x IS NOT NULL), ',') || '}' END
+    || ',"id":' || to_json(coalesce(a.call_id, t.call_id)) || ',"name":' || CASE WHEN a.conv_id IS NULL THEN 'null' ELSE '"answer"' END
+    || ',"result":' || coalesce(to_json(t.content)::VARCHAR, 'null') || '}' AS json
+FROM asked a FULL JOIN told t ON a.conv_id = t.conv_id AND a.call_id = t.call_id
 """,
     "op2_shingle_join": rf"""
 WITH RECURSIVE words AS (
