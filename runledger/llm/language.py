@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def score(batches):
         own = Model(weights.value[2], *weights.value[:2])
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column(source).to_pylist()
             label, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             some = [k for k, t in enumerate(texts) if t is not None and own.languages and _LETTER.search(t)]
             if some:
@@ -164,7 +164,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             names = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(label, pa.string()), pa.array(sure)], [*names, "lang_pred", "score"])
 
-    wanted = docs.select(id_col, *keep, F.col(text_col).alias("__text"))
+    # A text that is kept crosses to Python once, not twice.
+    source = text_col if text_col in keep else "__text"
+    wanted = docs.select(id_col, *keep) if text_col in keep else docs.select(id_col, *keep, F.col(text_col).alias(source))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema if f.name != "__text")
     return wanted.mapInArrow(score, f"{schema}, lang_pred string, score double")
 
