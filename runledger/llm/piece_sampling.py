@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batches_of, list_array, mix, string_bytes
+from .common import batches_of, mix, string_bytes
 from .pieces import MARK, MODEL, Vocabulary, marked, vocabulary
 
 ALPHA = 0.0005
@@ -156,7 +156,7 @@ class Lattices:
         end = np.full(len(mine), chars.shape[1])
         turn = 0
         while len(mine):
-            u = (mix(seeds[mine] + _STEP * np.uint64(turn + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            u = (mix(seeds[mine] + _STEP * np.array([turn + 1], np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             size = (cumulative[row, end - 1] <= u[:, None]).sum(axis=1)
             own = ids[row, end - 1, size]
             width = np.ones(len(mine), np.int64)
