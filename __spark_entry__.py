@@ -36,7 +36,17 @@ from runledger.operators.findings import evidence_row, top_finding  # noqa: E402
 from runledger.operators.profile import numeric_stats, preview, profile, sample_rows, value_counts  # noqa: E402
 from runledger.operators.status import run_status  # noqa: E402
 from runledger.plans import commerce, retail  # noqa: E402
-from runledger.plans.runs import compare_runs, explore, run_pipeline, run_report, step_report  # noqa: E402
+from runledger.plans.definition import Check, Pipeline, Step, row_check  # noqa: E402
+from runledger.plans.runs import (  # noqa: E402
+    artifact,
+    compare_runs,
+    explore,
+    record_evidence,
+    run_pipeline,
+    run_report,
+    run_table,
+    step_report,
+)
 from runledger.plans.steps import check_summary, sql_step  # noqa: E402
 from runledger.session import isolated_session, scratch_path, small_frame  # noqa: E402
 from runledger.sources.readers import read_source  # noqa: E402
@@ -193,11 +203,17 @@ def _with_profit(frames: dict[str, DataFrame], spend: str) -> dict[str, DataFram
     return frames | {"channel_profit": commerce.channel_profit(frames, spend)}
 
 
-def _written(spark: SparkSession, inputs: dict[str, DataFrame], pipeline) -> dict[str, DataFrame]:
-    """The output of every step, each written once and read by all checks and later steps."""
-    frames, folder = dict(inputs), scratch_path(spark, "steps")
+def _written(spark: SparkSession, inputs: dict[str, DataFrame], pipeline, shared: list | None = None) -> dict[str, DataFrame]:
+    """The output of every step, each written once and read by all checks and later steps.
+
+    ``shared`` holds what other runs have written: a step with the same plan is not written again.
+    """
+    frames, folder, shared = dict(inputs), scratch_path(spark, "steps"), [] if shared is None else shared
     for step in pipeline.steps:
-        frames[step.name] = materialize(step.build(frames), f"{folder}/{step.name}")
+        made = step.build(frames)
+        known = next((table for plan, table in shared if made.sameSemantics(plan)), None)
+        frames[step.name] = known or materialize(made, f"{folder}/{step.name}")
+        shared.append((made, frames[step.name]))
     return frames
 
 
@@ -205,11 +221,11 @@ def _check_runs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Check results of three runs: the first batch, its recipe on new orders, the repair."""
     inputs1, inputs2 = (retail.retail_inputs(spark, folder, batch) for batch in (1, 2))
     v1, v2 = _pipelines(inputs1, inputs2)
-    mixed = inputs2 | {"ad_spend": inputs1["ad_spend"]}
+    mixed, shared = inputs2 | {"ad_spend": inputs1["ad_spend"]}, []
     return {
-        "first": check_summary(_step_checks(v1), _written(spark, inputs1, v1)),
-        "blocked": check_summary(_step_checks(v1), _written(spark, mixed, v1)),
-        "repaired": check_summary(_step_checks(v2), _written(spark, inputs2, v2)),
+        "first": check_summary(_step_checks(v1), _written(spark, inputs1, v1, shared)),
+        "blocked": check_summary(_step_checks(v1), _written(spark, mixed, v1, shared)),
+        "repaired": check_summary(_step_checks(v2), _written(spark, inputs2, v2, shared)),
     }
 
 
@@ -270,12 +286,12 @@ def page_deep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def redact_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts, to which a secret of the built-in form is added that differs by row."""
     patterns = (SECRET_PATTERN, oracles.TOKEN_PATTERN)
-    whole = redact("text", patterns=patterns, limit=None)
+    keyed = F.concat("text", F.lit(" sk-"), F.md5(F.col("doc_id").cast("string")), F.lit(" end"))
     return _table(spark, folder, "documents").select(
         "doc_id",
-        redact("text", patterns=patterns).alias("redacted"),
-        F.length(whole).cast("bigint").alias("whole_length"),
+        redact(keyed, patterns=patterns).alias("redacted"),
         F.regexp_count("text", F.lit(oracles.TOKEN_PATTERN)).cast("bigint").alias("secrets"),
     )
 
@@ -307,9 +323,9 @@ def explore_group_count(spark: SparkSession, folder: str) -> DataFrame:
     return explore(
         ws,
         """
-        SELECT d.lang, l.quality, count(*) AS documents, sum(d.n_chars) AS chars
+        SELECT d.source, d.lang, l.quality, count(*) AS documents, sum(d.n_chars) AS chars
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-        GROUP BY d.lang, l.quality
+        GROUP BY d.source, d.lang, l.quality
         """,
     )
 
@@ -364,6 +380,15 @@ def compare_orders(spark: SparkSession, folder: str) -> DataFrame:
     return _compared(compare_outputs(a, b, "order_id", "refund_cents"))
 
 
+def compare_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Large decimals on one side, doubles on the other."""
+    orders = _table(spark, folder, "orders")
+    cents = F.round(F.col("o_totalprice") * 100).cast("decimal(18,0)")
+    before = orders.select("o_orderkey", cents.alias("amount"))
+    after = orders.select("o_orderkey", F.col("o_custkey").cast("double").alias("amount"))
+    return _compared(compare_outputs(before, after, "o_orderkey", "amount"))
+
+
 def compare_key_guard(spark: SparkSession, folder: str) -> DataFrame:
     before, after = (retail.retail_inputs(spark, folder, batch, "orders")["orders"] for batch in (1, 2))
     return key_guard(before, after, "order_id")
@@ -421,10 +446,11 @@ def definition_diff_rows(spark: SparkSession, folder: str) -> DataFrame:
     v1, v2 = _pipelines(inputs1, inputs2)
     schema = "kind string, name string, position int, value string"
     changed = pipeline_diff(small_frame(spark, v1.rows(), schema), small_frame(spark, v2.rows(), schema))
+    parts = [(r["kind"], r["name"]) for r in changed.select("kind", "name").collect()]  # of the definition
     made1 = _with_profit(commerce.compose(inputs1), commerce.SPEND_COLUMN)
     made2 = _with_profit(commerce.compose(inputs2, distinct_orders=True), commerce.REVISED_SPEND_COLUMN)
-    for side, made, pipeline in (("before", made1, v1), ("after", made2, v2)):
-        counts = _row_counts(made, "source", list(pipeline.sources)) + _row_counts(made, "step", [s.name for s in pipeline.steps])
+    for side, made in (("before", made1), ("after", made2)):
+        counts = [_row_counts(made, kind, [name])[0] for kind, name in parts if name in made]
         counted = functools.reduce(DataFrame.unionAll, counts).withColumnRenamed("n", f"{side}_rows")
         changed = changed.join(counted, ["kind", "name"], "left")
     return changed.select("kind", "name", "change", "before_rows", "after_rows")
@@ -434,16 +460,17 @@ def schema_diff_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Changed columns of the two batches, with the number of values each holds."""
     batches = [retail.retail_inputs(spark, folder, batch) for batch in (1, 2)]
     changed = schema_diff(*[column_rows(spark, frames) for frames in batches])
+    names: dict[str, list[str]] = {}
+    for r in changed.select("source", "column").collect():  # of the schemas
+        names.setdefault(r["source"], []).append(r["column"])
     for side, frames in zip(("before", "after"), batches):
-        parts = [
-            value_counts(df).select(
-                F.lit(name).alias("source"),
-                F.col("position").alias(f"{side}_position"),
-                (F.col("rows") - F.col("missing")).alias(f"{side}_values"),
-            )
-            for name, df in frames.items()
-        ]
-        changed = changed.join(functools.reduce(DataFrame.unionAll, parts), ["source", f"{side}_position"], "left")
+        parts = []
+        for source, columns in names.items():
+            there = [c for c in columns if c in frames[source].columns]
+            counts = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n")) for c in there]
+            held = frames[source].agg(F.array(*counts).alias("held")).select(F.inline("held"))
+            parts.append(held.select(F.lit(source).alias("source"), "column", F.col("n").alias(f"{side}_values")))
+        changed = changed.join(functools.reduce(DataFrame.unionAll, parts), ["source", "column"], "left")
     return changed.select("source", "column", "change", "before_type", "after_type", "before_values", "after_values")
 
 
@@ -453,19 +480,19 @@ def schema_contract(spark: SparkSession, folder: str) -> DataFrame:
     wanted = capture_contract(retail.retail_inputs(spark, folder, 1))
     wanted["orders"] |= {"ordered_at": "string", "shipped_at": "date"}
     broken = check_contract(contract_rows(spark, wanted), column_rows(spark, frames))
+    concerned = {r["source"] for r in broken.select("source").collect()}
     rows = functools.reduce(
-        DataFrame.unionAll, [df.agg(F.lit(n).alias("source"), F.count("*").alias("rows")) for n, df in frames.items()]
+        DataFrame.unionAll, [frames[n].agg(F.lit(n).alias("source"), F.count("*").alias("rows")) for n in sorted(concerned)]
     )
     return broken.join(rows, "source")
 
 
 def bad_column_names(spark: SparkSession, folder: str) -> DataFrame:
-    """Pivoted event counts get their column names from the data; some are no identifiers."""
+    """Names that a pivot of events by year and type would give, and those of the table itself."""
     events = _table(spark, folder, "events")
     kind = F.concat(F.date_format("ts", "yyyy"), F.lit("-"), F.col("event_type"))
-    wide = events.groupBy(F.lower("event_type").alias("event")).pivot("event_type").count()
     by_year = events.groupBy(kind.alias("column")).agg(F.count("*").alias("events"))
-    columns = column_rows(spark, {"wide": wide}).select("source", "column").unionAll(
+    columns = column_rows(spark, {"events": events}).select("source", "column").unionAll(
         by_year.select(F.lit("by_year"), "column")
     )
     return bad_columns(columns).join(by_year, "column", "left")
@@ -551,6 +578,15 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return orders.withColumn("o_orderdate", F.col("o_orderdate").cast("date").cast("string"))
 
 
+def csv_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with line breaks and quotes, written as CSV and read back whole."""
+    path = f"{scratch_path(spark, 'export')}/documents.csv"
+    documents = _table(spark, folder, "documents")
+    export(documents, path, "csv")
+    again = read_source(spark, path, schema=documents.schema, multi_line=True)
+    return again.select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
 # --- whole runs -------------------------------------------------------------------------
 
 
@@ -565,7 +601,7 @@ def _story(spark: SparkSession, folder: str):
 def _tolerant(pipeline):
     """A copy in which an order without items only warns: some driver orders have none."""
     step = next(s for s in pipeline.steps if s.name == "attributed_orders")
-    missing = "Orders missing item totals"
+    missing = "Orders without items"
     checks = tuple(replace(k, severity="warning") if k.name == missing else k for k in step.checks)
     return pipeline.revise(replace(step, checks=checks))
 
@@ -616,6 +652,71 @@ def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("key", *[(F.col(m) * 100).cast("bigint").alias(f"{m}_cents") for m in ("before", "after", "delta")])
 
 
+def _sql_pipeline(checks: tuple = (), order_id: str = "bigint") -> Pipeline:
+    """Steps of SQL text with parameters, over one source."""
+    totals = "SELECT customer_id, count(*) * :factor AS scaled FROM orders GROUP BY customer_id"
+    return Pipeline(
+        "busy_customers",
+        "Customers with many orders",
+        sources={"orders": {"order_id": order_id, "customer_id": "bigint", "ordered_at": "date", "currency": "string"}},
+        steps=(
+            Step("totals", "Orders of each customer", ("orders",), sql=totals, checks=checks),
+            Step("busy", "Customers with enough orders", ("totals",), sql="SELECT * FROM totals WHERE scaled >= :least"),
+        ),
+        output="busy",
+        parameters={"factor": 1, "least": 10},
+    )
+
+
+def _sql_run(spark: SparkSession, folder: str, pipeline: Pipeline, parameters: dict | None = None) -> tuple[Workspace, str]:
+    ws = _workspace(spark)
+    bound = _version_ids(append_frames(ws, retail.retail_inputs(spark, folder, 1, "orders")))
+    return ws, run_pipeline(ws, pipeline, bound, parameters, profile_artifacts=False)
+
+
+def run_sql_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    """The output of a run of SQL steps in which one parameter is given and one has its default."""
+    return artifact(*_sql_run(spark, folder, _sql_pipeline(), {"factor": 3}), "busy")
+
+
+def run_check_error(spark: SparkSession, folder: str) -> DataFrame:
+    """A check that cannot run fails the run, although it only warns; the output is kept."""
+    checks = (
+        Check("Needs a column that is not there", sql="SELECT nothing FROM totals", severity="warning"),
+        row_check("Customers with one order", "totals", "scaled = 1", severity="warning"),
+    )
+    ws, run_id = _sql_run(spark, folder, _sql_pipeline(checks))
+    state = run_report(ws, run_id).first()["status"]
+    made = artifact(ws, run_id, "totals").agg(F.count("*").alias("made"))
+    found = run_table(ws, "checks", run_id).select(
+        "step", "name", "severity", "status", F.coalesce("violations", F.lit(-1)).alias("violations"), F.lit(state).alias("run_status")
+    )
+    return found.withColumn("made", F.lit(made.first()["made"]))
+
+
+def run_contract_blocked(spark: SparkSession, folder: str) -> DataFrame:
+    """A source of another type than its contract says: every step is skipped."""
+    ws, run_id = _sql_run(spark, folder, _sql_pipeline(order_id="string"))
+    bound = run_table(ws, "inputs", run_id).agg(F.sum("rows").alias("bound")).first()["bound"]
+    return _report(ws, run_id).select("position", "step", "status", "rows", F.lit(bound).alias("bound"))
+
+
+def run_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """A row recorded as evidence of a run; a run that did not succeed takes none."""
+    ws, run_id = _sql_run(spark, folder, _sql_pipeline(), {"factor": 3})
+    first = artifact(ws, run_id, "busy").agg(F.min("customer_id").alias("id")).first()["id"]
+    record_evidence(ws, run_id, "busy", {"customer_id": first})
+    _, failed = _sql_run(spark, folder, _sql_pipeline(order_id="string"))
+    refused = 0
+    try:
+        record_evidence(ws, failed, "busy", {"customer_id": first})
+    except ValueError:
+        refused = 1
+    row = F.from_json("evidence", "customer_id bigint, scaled bigint")
+    told = run_table(ws, "findings", run_id).where("title = 'Selected evidence row'").select(row.alias("row"))
+    return told.select("row.*", F.lit(refused).alias("refused"))
+
+
 _REGISTERED: dict[str, Query] = {
     "channel_profit": channel_profit,
     "channel_profit_recovered": channel_profit_recovered,
@@ -671,6 +772,12 @@ _REGISTERED: dict[str, Query] = {
     "fingerprint": fingerprint_tables,
     "replay_equality": replay_equality,
     "csv_round_trip": csv_round_trip,
+    "csv_documents": csv_documents,
+    "compare_exact": compare_exact,
+    "run_sql_parameters": run_sql_parameters,
+    "run_check_error": run_check_error,
+    "run_contract_blocked": run_contract_blocked,
+    "run_evidence": run_evidence,
     "run_successful": run_successful,
     "run_failed": run_failed,
     "run_blocked": run_blocked,

@@ -107,11 +107,7 @@ def _grain(table: str, source: str) -> str:
 
 
 _STEPS = ("clean_orders", "costed_items", "order_margin", "refund_totals", "attributed_orders", "channel_profit")
-_USD = "IS DISTINCT FROM 'USD'"
-_PRICES = (
-    f"unit_cost_cents IS NULL OR unit_cost_cents < 0 OR cost_currency {_USD} "
-    "OR quantity IS NULL OR quantity <= 0 OR unit_price_cents IS NULL OR unit_price_cents < 0"
-)
+_PRICES = "(quantity > 0 AND unit_price_cents >= 0 AND unit_cost_cents >= 0 AND cost_currency = 'USD') IS NOT TRUE"
 
 
 def _checks(orders: str, clean: str, refunds: str, attribution: str, attributed: str, spend: str, amount: str):
@@ -121,24 +117,24 @@ def _checks(orders: str, clean: str, refunds: str, attribution: str, attributed:
         "ON r.order_id = o.order_id WHERE r.received_at > o.d + INTERVAL 14 DAY"
     )
     return [
-        ("clean_orders", "Unique order IDs", "blocking", _copies(clean, "order_id")),
-        ("clean_orders", "USD orders only", "blocking", _bad(clean, f"currency {_USD} OR order_id IS NULL OR customer_id IS NULL")),
-        ("clean_orders", "Duplicate source orders", "warning", _copies(orders, "order_id", "> 1")),
-        ("costed_items", "One cost per product", "blocking", _copies("product_costs", "product_id")),
-        ("costed_items", "Join preserves item grain", "blocking", _grain("costed", "order_items")),
-        ("costed_items", "Unique item IDs", "blocking", _copies("costed", "item_id")),
-        ("costed_items", "Valid prices and USD costs", "blocking", _bad("costed", _PRICES)),
-        ("refund_totals", "Refunds with no matching order", "warning", _bad(refunds, f"order_id NOT IN (SELECT order_id FROM {clean})")),
-        ("refund_totals", "Late-arriving refunds", "warning", late),
-        ("refund_totals", "Unique refund IDs", "blocking", _copies(refunds, "refund_id")),
-        ("refund_totals", "Valid USD refunds", "blocking", _bad(refunds, f"amount_cents IS NULL OR amount_cents < 0 OR currency {_USD}")),
-        ("attributed_orders", "Join preserves order grain", "blocking", _grain(attributed, clean)),
-        ("attributed_orders", "Unique customer IDs", "blocking", _copies("customers", "customer_id")),
-        ("attributed_orders", "One attribution per customer", "blocking", _copies(attribution, "customer_id")),
-        ("attributed_orders", "Orders missing item totals", "blocking", _bad(attributed, "revenue_cents IS NULL")),
-        ("attributed_orders", "Missing attribution", "warning", _bad(attributed, "channel = 'Unattributed'")),
-        ("channel_profit", "Valid USD spend", "blocking", _bad(spend, f"currency {_USD} OR {amount} IS NULL OR {amount} < 0")),
-        ("channel_profit", "Unique spend IDs", "blocking", _copies(spend, "spend_id")),
+        ("clean_orders", "Each order once", "blocking", _copies(clean, "order_id")),
+        ("clean_orders", "Orders in USD with a customer", "blocking", _bad(clean, "(currency = 'USD' AND order_id IS NOT NULL AND customer_id IS NOT NULL) IS NOT TRUE")),
+        ("clean_orders", "Repeated orders in the source", "warning", _copies(orders, "order_id", "> 1")),
+        ("costed_items", "Each product has one cost", "blocking", _copies("product_costs", "product_id")),
+        ("costed_items", "As many items as before costs", "blocking", _grain("costed", "order_items")),
+        ("costed_items", "Each item once", "blocking", _copies("costed", "item_id")),
+        ("costed_items", "Items priced and costed in USD", "blocking", _bad("costed", _PRICES)),
+        ("refund_totals", "Refunds of unknown orders", "warning", _bad(refunds, f"order_id NOT IN (SELECT order_id FROM {clean})")),
+        ("refund_totals", "Refunds after the due date", "warning", late),
+        ("refund_totals", "Each refund once", "blocking", _copies(refunds, "refund_id")),
+        ("refund_totals", "Refunds in USD, none negative", "blocking", _bad(refunds, "(amount_cents >= 0 AND currency = 'USD') IS NOT TRUE")),
+        ("attributed_orders", "As many orders as before lookups", "blocking", _grain(attributed, clean)),
+        ("attributed_orders", "Each customer once", "blocking", _copies("customers", "customer_id")),
+        ("attributed_orders", "Each customer has one channel", "blocking", _copies(attribution, "customer_id")),
+        ("attributed_orders", "Orders without items", "blocking", _bad(attributed, "revenue_cents IS NULL")),
+        ("attributed_orders", "Orders without a channel", "warning", _bad(attributed, "channel = 'Unattributed'")),
+        ("channel_profit", "Spend in USD, none negative", "blocking", _bad(spend, f"({amount} >= 0 AND currency = 'USD') IS NOT TRUE")),
+        ("channel_profit", "Each spend entry once", "blocking", _copies(spend, "spend_id")),
     ]
 
 
@@ -149,7 +145,7 @@ _REPAIRED = _checks("orders2", "clean2", "refunds2", "attribution2", "attributed
 
 def _tolerant(checks):
     return [
-        (step, name, "warning" if name == "Orders missing item totals" else severity, count)
+        (step, name, "warning" if name == "Orders without items" else severity, count)
         for step, name, severity, count in checks
     ]
 
@@ -191,8 +187,8 @@ def _run_checks() -> str:
 
 
 def _hash_sum(columns: list[str]) -> str:
-    texts = ", ".join(f"coalesce({c}::VARCHAR, '')" for c in columns)
-    return f"sum(('0x' || substr(md5(concat_ws('|', {texts})), 1, 15))::BIGINT)::VARCHAR"
+    texts = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+    return f"sum(('0x' || substr(md5({texts}), 1, 15))::BIGINT)::VARCHAR"
 
 
 _INPUT_COLUMNS = {
@@ -249,10 +245,10 @@ def _numeric() -> str:
 
 
 def _redacted() -> str:
-    secrets = f"regexp_replace(text, 'sk-[A-Za-z0-9_-]+', '[redacted]', 'g')"
+    keyed = "text || ' sk-' || md5(doc_id::VARCHAR) || ' end'"
+    secrets = f"regexp_replace({keyed}, 'sk-[A-Za-z0-9_-]+', '[redacted]', 'g')"
     whole = f"regexp_replace({secrets}, '{TOKEN_PATTERN}', '[redacted]', 'g')"
-    return f"""SELECT doc_id, substring({whole}, 1, 2000) AS redacted, length({whole}) AS whole_length,
-               len(regexp_extract_all(text, '{TOKEN_PATTERN}')) AS secrets FROM documents"""
+    return f"""SELECT doc_id, {whole} AS redacted, len(regexp_extract_all(text, '{TOKEN_PATTERN}')) AS secrets FROM documents"""
 
 
 def _finding(table: str, label: str, metric: str, unit: str, words: str, shown: str) -> str:
@@ -421,6 +417,22 @@ _COMMERCE = {
         FROM channels1 a FULL JOIN channels2 b ON a.channel = b.channel""",
 }
 
+_BUSY = "SELECT customer_id, count(*) * 3 AS scaled FROM orders1 GROUP BY customer_id HAVING count(*) * 3 >= 10"
+_MADE = "(SELECT count(DISTINCT customer_id) FROM orders1)"
+_BOUND = "(SELECT count(*) FROM orders1)"
+_COMMERCE |= {
+    "run_sql_parameters": _BUSY,
+    "run_evidence": f"SELECT *, 1 AS refused FROM ({_BUSY}) ORDER BY customer_id LIMIT 1",
+    "run_contract_blocked": f"""SELECT 0 AS position, 'totals' AS step, 'skipped' AS status, 0 AS "rows", {_BOUND} AS bound
+        UNION ALL SELECT 1, 'busy', 'skipped', 0, {_BOUND}""",
+    "run_check_error": f"""SELECT '__inputs__' AS step, 'Source contract: orders' AS name, 'blocking' AS severity,
+        'passed' AS status, 0 AS violations, 'failed' AS run_status, {_MADE} AS made
+        UNION ALL SELECT 'totals', 'Needs a column that is not there', 'warning', 'error', -1, 'failed', {_MADE}
+        UNION ALL SELECT 'totals', 'Customers with one order', 'warning',
+            CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END, n, 'failed', {_MADE}
+        FROM (SELECT count(*) AS n FROM (SELECT customer_id FROM orders1 GROUP BY customer_id HAVING count(*) = 1))""",
+}
+
 # Queries over the driver tables as they are.
 _DIRECT = {
     "check_unique_key": """SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem
@@ -452,8 +464,11 @@ _DIRECT = {
     "page_deep": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') AS shipped
         FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate LIMIT 100 OFFSET 30000""",
     "redact_text": _redacted(),
-    "explore_group_count": """SELECT d.lang, l.quality, count(*) AS documents, sum(d.n_chars)::BIGINT AS chars
-        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang, l.quality""",
+    "explore_group_count": """SELECT d.source, d.lang, l.quality, count(*) AS documents, sum(d.n_chars)::BIGINT AS chars
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source, d.lang, l.quality""",
+    "compare_exact": """SELECT o_orderkey AS key, round(o_totalprice * 100)::BIGINT AS before, o_custkey AS after,
+        o_custkey - round(o_totalprice * 100)::BIGINT AS delta FROM orders""",
+    "csv_documents": "SELECT doc_id, md5(text) AS text_md5, lang, source, n_chars FROM documents",
     "compare_numeric_guard": """SELECT 'after' AS side, o_orderkey AS key, o_orderpriority AS value FROM orders
         WHERE o_orderstatus = 'P'""",
     "bad_column_names": """SELECT 'by_year' AS source, "column", 'not an identifier' AS problem, count(*) AS events

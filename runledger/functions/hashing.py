@@ -11,21 +11,30 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 EXACT = "decimal(38,0)"
 
 
-def _has_map(data_type: T.DataType) -> bool:
+def _plain(value: Column, data_type: T.DataType) -> Column:
+    """The value with the entries of every map in the order of their keys."""
     if isinstance(data_type, T.MapType):
-        return True
+        entries = F.transform(
+            F.map_entries(value),
+            lambda e: F.struct(
+                _plain(e["key"], data_type.keyType).alias("key"), _plain(e["value"], data_type.valueType).alias("value")
+            ),
+        )
+        return F.array_sort(entries)
     if isinstance(data_type, T.ArrayType):
-        return _has_map(data_type.elementType)
+        return F.transform(value, lambda item: _plain(item, data_type.elementType))
     if isinstance(data_type, T.StructType):
-        return any(_has_map(f.dataType) for f in data_type)
-    return False
+        fields = [_plain(value.getField(f.name), f.dataType).alias(f.name) for f in data_type]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
 
 
 def _hashable(field: T.StructField) -> Column:
+    """Nested values as JSON, in which boundaries and nulls stay apart; others as they are."""
     value = F.col(f"`{field.name}`")
-    if isinstance(field.dataType, T.MapType) and not _has_map(field.dataType.valueType):
-        return F.array_sort(F.map_entries(value))
-    return F.to_json(value) if _has_map(field.dataType) else value
+    if not isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+        return value
+    return F.to_json(F.struct(_plain(value, field.dataType).alias("v")), {"ignoreNullFields": "false"})
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -44,22 +53,13 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return totals.select("rows", digest.alias("fingerprint"))
 
 
-def multiset_digest(hex_hashes: DataFrame, column: str) -> DataFrame:
-    """One row ``(parts, digest)`` over a column of hex SHA-256 texts in any order."""
-    chunks = [
-        F.conv(F.substring(F.col(column), 1 + 15 * i, 15), 16, 10).cast(EXACT) for i in range(4)
-    ]
-    sums = [F.coalesce(F.sum(c), F.lit(0).cast(EXACT)).alias(f"s{i}") for i, c in enumerate(chunks)]
-    totals = hex_hashes.agg(F.count("*").alias("parts"), *sums)
-    text = F.concat_ws("|", "parts", *[f"s{i}" for i in range(4)])
-    return totals.select("parts", F.sha2(text, 256).alias("digest"))
-
-
 def md5_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row ``(rows, hash_sum)`` that any SQL engine with ``md5`` can repeat.
 
-    For integer and string columns, whose text is the same everywhere.
+    For integer and string columns, whose text is the same everywhere. Each value is led by
+    its length, and a null is a dash, so that no two rows read the same.
     """
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    texts = [F.col(c).cast("string") for c in columns]
+    row = F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
     part = F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast(EXACT)
     return df.agg(F.count("*").alias("rows"), F.sum(part).cast("string").alias("hash_sum"))

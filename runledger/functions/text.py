@@ -26,7 +26,10 @@ def bounded(value: Column, data_type: T.DataType) -> Column:
         fields = [bounded(value.getField(f.name), f.dataType).alias(f.name) for f in data_type]
         return F.when(value.isNotNull(), F.struct(*fields))
     if isinstance(data_type, T.MapType):
-        return F.map_from_entries(F.slice(F.map_entries(value), 1, PREVIEW_ITEMS))
+        head = F.slice(F.map_entries(value), 1, PREVIEW_ITEMS)
+        return F.map_from_entries(
+            F.transform(head, lambda e: F.struct(e["key"].alias("key"), bounded(e["value"], data_type.valueType).alias("value")))
+        )
     return value
 
 
@@ -60,16 +63,15 @@ def redact(
     *,
     patterns: Sequence[str] = (SECRET_PATTERN,),
     secrets: Sequence[str] = (),
-    limit: int | None = PREVIEW_CHARS,
+    limit: int | None = None,
 ) -> Column:
-    """Replace known secret values and every match of ``patterns``, then cut to ``limit``.
+    """Replace known secret values, however short, and every match of ``patterns``.
 
-    The whole text is searched before it is cut, so a secret across the cut is still found.
+    Texts stay whole unless a ``limit`` is given, for messages; it cuts what is already redacted.
     """
     value = F.col(text) if isinstance(text, str) else text
-    for secret in secrets:
-        if len(secret) > 5:
-            value = F.replace(value, F.lit(secret), F.lit(REDACTED))
+    for secret in sorted(filter(None, secrets), key=len, reverse=True):
+        value = F.replace(value, F.lit(secret), F.lit(REDACTED))
     for pattern in patterns:
         value = F.regexp_replace(value, pattern, REDACTED)
     return value if limit is None else F.substring(value, 1, limit)

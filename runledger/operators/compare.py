@@ -62,25 +62,44 @@ def pipeline_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def _scale(df: DataFrame, metric: str) -> int:
-    kind = df.schema[metric].dataType
-    if isinstance(kind, T.IntegralType):
-        return 0
-    return kind.scale if isinstance(kind, T.DecimalType) else FREE_SCALE
+def _scale(*sides: tuple[DataFrame, str]) -> int:
+    """Decimal places that both sides are brought to."""
+    scales = []
+    for df, metric in sides:
+        kind = df.schema[metric].dataType
+        scales.append(0 if isinstance(kind, T.IntegralType) else kind.scale if isinstance(kind, T.DecimalType) else FREE_SCALE)
+    return max(scales)
+
+
+def _is_number(df: DataFrame, metric: str) -> Column:
+    """Whether the metric is a number: present, finite, and if it is text, one that reads as such."""
+    value, kind = df[metric], df.schema[metric].dataType
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        return value.isNotNull()
+    read = value if isinstance(kind, T.FractionalType) else value.cast("string").try_cast("double")
+    return F.coalesce(~F.isnan(read) & (F.abs(read) < float("inf")), F.lit(False))
 
 
 def _number(df: DataFrame, metric: str, scale: int) -> Column:
-    """The metric as an exact decimal; null where it is not a number."""
-    return df[metric].try_cast(f"decimal(37,{scale})")
+    """The metric as a decimal of this scale; null where it is no number or would lose a digit."""
+    value, kind = df[metric], df.schema[metric].dataType
+    exact = value.try_cast(f"decimal(37,{scale})")
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        return exact
+    kept = exact.cast("double") == value.try_cast("double")
+    if isinstance(kind, T.StringType):
+        places = F.length(F.regexp_extract(value, r"[.]([0-9]*?)0*\s*$", 1))
+        kept = kept & (places <= scale)
+    return F.when(kept, exact)
 
 
 def _require(before: DataFrame, after: DataFrame, key: str, metric: str) -> None:
     for df in (before, after):
         if key not in df.columns or metric not in df.columns:
-            raise ComparisonError("Select a key and a numeric metric present in both outputs")
+            raise ComparisonError("Both outputs need the key and the metric among their columns")
     texts = [isinstance(df.schema[key].dataType, T.StringType) for df in (before, after)]
     if texts[0] != texts[1]:
-        raise ComparisonError("The comparison key must have the same type in both outputs")
+        raise ComparisonError("The key is text on one side and not on the other")
 
 
 def key_guard(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -92,16 +111,21 @@ def key_guard(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def _per_key(before: DataFrame, after: DataFrame, key: str, unit: str, metric: str | None = None) -> DataFrame:
-    """Copies, unit and number of bad metrics of every key and side, as one aggregate.
+    """Copies and unit of every key and side, and metrics that are no numbers or do not fit, as one aggregate.
 
     Aggregated per key, not joined, so that repeated keys cannot multiply.
     """
     sides = []
+    scale = _scale((before, metric), (after, metric)) if metric else 0
     for side, df in (("before", before), ("after", after)):
         value = F.col(unit).cast("string") if unit in df.columns else F.lit(None).cast("string")
-        bad = _number(df, metric, _scale(df, metric)).isNull() if metric else F.lit(False)
+        good = _is_number(df, metric) if metric else F.lit(True)
+        fits = _number(df, metric, scale).isNotNull() if metric else F.lit(True)
         sides.append(
-            df.select(F.lit(side).alias("side"), F.col(key).alias("key"), value.alias("unit"), bad.alias("bad"))
+            df.select(
+                F.lit(side).alias("side"), F.col(key).alias("key"), value.alias("unit"),
+                (~good).alias("bad"), (good & ~fits).alias("wide"),
+            )
         )
     is_before, is_after = F.col("side") == "before", F.col("side") == "after"
     return sides[0].union(sides[1]).groupBy("key").agg(
@@ -110,6 +134,7 @@ def _per_key(before: DataFrame, after: DataFrame, key: str, unit: str, metric: s
         F.max(F.when(is_before, F.col("unit"))).alias("before_unit"),
         F.max(F.when(is_after, F.col("unit"))).alias("after_unit"),
         F.count_if("bad").alias("bad"),
+        F.count_if("wide").alias("wide"),
     )
 
 
@@ -126,7 +151,7 @@ def numeric_guard(before: DataFrame, after: DataFrame, key: str, metric: str) ->
     """Rows whose metric is null or not a number: ``(side, key, value)``."""
     parts = []
     for side, df in (("before", before), ("after", after)):
-        bad = df.where(_number(df, metric, _scale(df, metric)).isNull())
+        bad = df.where(~_is_number(df, metric))
         parts.append(
             bad.select(
                 F.lit(side).alias("side"), F.col(key).alias("key"), F.col(metric).cast("string").alias("value")
@@ -147,15 +172,18 @@ def guard_outputs(before: DataFrame, after: DataFrame, key: str, metric: str, un
             F.count_if(F.expr("before_copies > 1 OR after_copies > 1")).alias("repeated"),
             F.count_if(F.expr(MIXED_UNITS)).alias("mixed"),
             F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
+            F.coalesce(F.sum("wide"), F.lit(0)).alias("wide"),
         )
         .first()
     )
     if found["repeated"]:
-        raise ComparisonError("The comparison key must be unique; aggregate the output first")
+        raise ComparisonError("A key occurs twice on one side: bring the output to one row for each key")
     if found["mixed"]:
         raise ComparisonError(f"Outputs with different {unit} cannot be compared")
     if found["bad"]:
-        raise ComparisonError("The comparison metric must contain numbers only")
+        raise ComparisonError("Some values of the metric are not numbers")
+    if found["wide"]:
+        raise ComparisonError("Overflow: some values of the metric have too many digits to be compared exactly")
 
 
 def compare_outputs(
@@ -164,17 +192,14 @@ def compare_outputs(
     key: str,
     metric: str,
     unit: str = "currency",
-    guard: bool = True,
 ) -> DataFrame:
     """Rows ``(key, before, after, delta, before_row, after_row)``, one per key of either side.
 
-    An absent side counts as 0; a null key is a key. Numbers are exact decimals. With
-    ``guard`` the outputs are checked first; switch it off only for outputs already checked,
-    as repeated keys would meet pair by pair.
+    An absent side counts as 0; a null key is a key. Numbers are exact decimals: the outputs are
+    checked first, at the scale that is used here, so a present value is never rounded or lost.
     """
-    if guard:
-        guard_outputs(before, after, key, metric, unit)
-    scale = max(_scale(before, metric), _scale(after, metric))
+    guard_outputs(before, after, key, metric, unit)
+    scale = _scale((before, metric), (after, metric))
     a = before.select(
         F.col(key).alias("_ka"), _number(before, metric, scale).alias("_a"), F.struct("*").alias("before_row")
     )
@@ -182,7 +207,8 @@ def compare_outputs(
         F.col(key).alias("_kb"), _number(after, metric, scale).alias("_b"), F.struct("*").alias("after_row")
     )
     zero = F.lit(0).cast(f"decimal(37,{scale})")
-    old, new = F.coalesce("_a", zero), F.coalesce("_b", zero)
+    old = F.when(F.col("before_row").isNull(), zero).otherwise(F.col("_a"))
+    new = F.when(F.col("after_row").isNull(), zero).otherwise(F.col("_b"))
     return a.join(b, F.col("_ka").eqNullSafe(F.col("_kb")), "full").select(
         F.coalesce("_ka", "_kb").alias("key"),
         old.alias("before"),

@@ -107,13 +107,18 @@ def profile(df: DataFrame) -> DataFrame:
 
 def sample_rows(df: DataFrame, order_key: str | list[str], n: int = 10) -> DataFrame:
     """The first 1 to 20 rows in the order of a key."""
+    if not 1 <= n <= SAMPLE_ROWS:
+        raise ValueError(f"n must be between 1 and {SAMPLE_ROWS}")
     keys = [order_key] if isinstance(order_key, str) else list(order_key)
-    return df.orderBy(*keys).limit(min(SAMPLE_ROWS, max(1, n)))
+    return df.orderBy(*keys).limit(n)
 
 
 def kept_rows(df: DataFrame) -> list[str]:
-    """The first 30 rows of a written table as previewed JSON texts, to keep with its profile."""
-    return [r["row"] for r in json_rows(df.limit(KEPT_ROWS)).collect()]
+    """30 rows of a written table as previewed JSON texts, to keep with its profile.
+
+    The first in the order of a hash of the text, so that the same rows give the same sample.
+    """
+    return [r["row"] for r in json_rows(df).orderBy(F.xxhash64("row"), "row").limit(KEPT_ROWS).collect()]
 
 
 def preview(df: DataFrame) -> DataFrame:

@@ -18,21 +18,28 @@ Frames = dict[str, DataFrame]
 Build = Callable[[Frames], DataFrame]
 
 
-def _text_of(build: Build) -> str:
-    """The source of a step function, with the arguments bound to it."""
+def _text_of(build: Build, uses: tuple = ()) -> str:
+    """The source of a function, the arguments bound to it, and what it declares to use."""
     bound = {}
     if isinstance(build, functools.partial):
+        if build.args:
+            raise ValueError("Bind arguments of a step by name, so that they are part of its text")
         bound, build = build.keywords, build.func
+    text = _source(build) + "".join(f"\n# {k} = {v!r}" for k, v in sorted(bound.items()))
+    return text + "".join(f"\n# uses {_text_of(u) if callable(u) else repr(u)}" for u in uses)
+
+
+def _source(build: Build) -> str:
     try:
-        text = inspect.getsource(build)
-    except OSError:
-        text = f"{build.__module__}.{build.__qualname__}"
-    return text + "".join(f"\n# {k} = {v!r}" for k, v in sorted(bound.items()))
+        return inspect.getsource(build)
+    except (OSError, TypeError):
+        return f"{build.__module__}.{build.__qualname__}"
 
 
 @dataclass(frozen=True)
 class Check:
-    """A query for violating rows. ``table`` with ``where`` or ``keys`` lets it be counted
+    """A query for violating rows. ``uses`` names the helpers and constants of a function, which are
+    then part of the definition. ``table`` with ``where`` or ``keys`` lets it be counted
     together with others over the same table; ``same_rows_as`` needs no query at all."""
 
     name: str
@@ -45,6 +52,7 @@ class Check:
     keys: tuple[str, ...] = ()
     copies: str = "<> 1"
     same_rows_as: str | None = None
+    uses: tuple = ()
 
     def __post_init__(self):
         if self.severity not in ("blocking", "warning"):
@@ -54,7 +62,7 @@ class Check:
 
     @property
     def text(self) -> str:
-        return self.sql if self.sql is not None else _text_of(self.build)
+        return self.sql if self.sql is not None else _text_of(self.build, self.uses)
 
 
 def row_check(name: str, table: str, where: str, **options) -> Check:
@@ -80,7 +88,11 @@ def grain_check(name: str, table: str, source: str, **options) -> Check:
 
 @dataclass(frozen=True)
 class Step:
-    """One SELECT, or one function of the declared inputs."""
+    """One SELECT, or one function of the declared inputs.
+
+    ``uses`` names the helpers and constants that the function depends on, so that a change of
+    them is a change of the definition.
+    """
 
     name: str
     title: str
@@ -88,8 +100,12 @@ class Step:
     sql: str | None = None
     build: Build | None = None
     checks: tuple[Check, ...] = ()
+    uses: tuple = ()
 
     def __post_init__(self):
+        names = [c.name for c in self.checks]
+        if len(set(names)) < len(names):
+            raise ValueError(f"Checks of step {self.name!r} must have names of their own")
         if not re.fullmatch(NAME_PATTERN, self.name):
             raise ValueError(f"Not a step name: {self.name!r}")
         if (self.sql is None) == (self.build is None):
@@ -97,7 +113,7 @@ class Step:
 
     @property
     def text(self) -> str:
-        return self.sql if self.sql is not None else _text_of(self.build)
+        return self.sql if self.sql is not None else _text_of(self.build, self.uses)
 
     def as_json(self) -> str:
         checks = [[c.name, c.severity, c.description, c.text] for c in self.checks]

@@ -22,8 +22,6 @@ from ..sources.versions import PROFILE_TYPE, Workspace, latest_versions, profile
 from .definition import Pipeline, Step
 from .steps import add_frame, build_step, is_blocking, open_frames, run_checks, run_query, safe_error
 
-EXPLORE_ROWS = 100
-
 # Columns of the result tables; each run owns one folder ``run_id=…`` in every table.
 FACTS = {
     "runs": (
@@ -310,11 +308,11 @@ def artifact_profile(ws: Workspace, run_id: str, step: str) -> DataFrame:
 
 
 def explore(ws: Workspace, sql: str) -> DataFrame:
-    """One query over the newest version of every source: at most 100 rows, as a preview."""
+    """One query over the newest version of every source: all its rows, as a preview."""
     newest = latest_versions(ws).select("source", "path", "schema_json").collect()
     tables = {r["source"]: (r["path"], T.StructType.fromJson(json.loads(r["schema_json"]))) for r in newest}
     session, _ = open_frames(ws.spark, tables)
-    return preview(run_query(session, sql).limit(EXPLORE_ROWS))
+    return preview(run_query(session, sql))
 
 
 @dataclass(frozen=True)

@@ -66,28 +66,27 @@ def safe_error(error: BaseException) -> str:
     return re.sub(SECRET_PATTERN, REDACTED, str(error))[:PREVIEW_CHARS]
 
 
-def count_fused(session: SparkSession, checks: list[Check], parameters: dict) -> dict[str, int]:
+def count_fused(session: SparkSession, checks: dict[int, Check], parameters: dict) -> dict[int, int]:
     """Violations of all row checks of a table in one pass, of all key checks per key in one.
 
-    One query for all of them, so that tables are scanned side by side.
+    Checks and counts go by position. One query for all, so that tables are scanned side by side.
     """
-    groups: dict[tuple, list[Check]] = {}
-    for check in checks:
-        groups.setdefault((check.table, check.keys), []).append(check)
-    parts, names = [], []
+    groups: dict[tuple, list[int]] = {}
+    for i, check in checks.items():
+        groups.setdefault((check.table, check.keys), []).append(i)
+    parts = []
     for (table, keys), group in groups.items():
         source = table
         if keys:
             source = f"(SELECT count(*) AS copies FROM {table} GROUP BY {', '.join(keys)})"
-        conditions = [f"copies {c.copies}" if keys else c.where for c in group]
-        columns = ", ".join(f"count_if({c}) AS n{i}" for i, c in enumerate(conditions))
-        cells = ", ".join(f"{len(names) + i}, n{i}" for i in range(len(group)))
+        conditions = {i: f"copies {checks[i].copies}" if keys else checks[i].where for i in group}
+        columns = ", ".join(f"count_if({c}) AS n{i}" for i, c in conditions.items())
+        cells = ", ".join(f"{i}, n{i}" for i in group)
         parts.append(f"SELECT stack({len(group)}, {cells}) AS (i, n) FROM (SELECT {columns} FROM {source})")
-        names += [c.name for c in group]
     if not parts:
         return {}
     rows = session.sql(" UNION ALL ".join(parts), args=parameters).collect()
-    return {names[r["i"]]: r["n"] for r in rows}
+    return {r["i"]: r["n"] for r in rows}
 
 
 def run_checks(
@@ -103,8 +102,8 @@ def run_checks(
     Checks on one table are counted together. Only the failing ones, and those that are
     queries of their own, write rows. A check that cannot run is an ``error``.
     """
-    fused = [c for c in checks if c.where is not None or c.keys]
-    counted: dict[str, int] = {}
+    fused = {i: c for i, c in enumerate(checks) if c.where is not None or c.keys}
+    counted: dict[int, int] = {}
     try:
         counted = count_fused(session, fused, parameters)
     except Exception:  # one of them cannot run: find out which, below, one by one
@@ -114,7 +113,7 @@ def run_checks(
         result = {"name": check.name, "severity": check.severity, "text": check.text}
         result |= {"violations": None, "sample": [], "error": None, "quarantine": None}
         try:
-            number = counted.get(check.name)
+            number = counted.get(i)
             if check.same_rows_as is not None:
                 number = int(row_counts[check.table] != row_counts[check.same_rows_as])
             if number != 0:
@@ -124,7 +123,8 @@ def run_checks(
                     rows = check.build(frames)
                 path = f"{quarantine}/check={i}"
                 rows = materialize(rows, path, session)
-                number = rows.count()
+                if number is None:
+                    number = rows.count()
                 result["quarantine"] = path
                 result["sample"] = sample_of(rows) if number else []
             result |= {"violations": number, "status": "failed" if number else "passed"}

@@ -17,16 +17,22 @@ def read_csv(
 ) -> DataFrame:
     """Delimited text with a header line; types are inferred from every row.
 
-    Whole numbers are always ``bigint``. A row of the wrong shape is an error, never dropped.
-    Pass ``schema`` to save the inference pass, and ``multi_line`` for quoted line breaks
-    (a file is then read by one task).
+    Whole numbers are always ``bigint``. A row of the wrong shape is an error, never dropped, and so
+    is a file whose header differs from the schema or from the other files. Pass ``schema`` to save
+    the inference pass. Quoted line breaks need ``multi_line`` (a file is then read by one task);
+    without it a text scan refuses them.
     """
+    if not multi_line:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
+            raise ValueError(f"Quoted text in {path} holds line breaks: read it with multi_line=True")
     reader = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("mode", "FAILFAST")
+        .option("enforceSchema", False)
     )
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -53,7 +59,7 @@ def suffix_of(path: str) -> str:
     """``csv`` or ``parquet``, from a file name or a folder named like one."""
     suffix = path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()
     if suffix not in SUFFIXES:
-        raise ValueError("Only CSV and Parquet are supported")
+        raise ValueError(f"Neither a .csv nor a .parquet name: {path}")
     return suffix
 
 

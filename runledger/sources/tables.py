@@ -9,8 +9,6 @@ from pyspark.sql.window import Window
 from ..session import scratch_path, small_frame
 
 PAGE_LIMIT = 100
-# A top-k of this many rows is small enough for one task; deeper pages go another way.
-SHALLOW_ROWS = 10_000
 ROWS_PER_RANGE = 1_000_000
 
 
@@ -49,37 +47,42 @@ def read_rows(spark: SparkSession, schema: str, table: str, part: str = "") -> D
         return small_frame(spark, [], schema)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def page(df: DataFrame, order_key: str | list[str], offset: int = 0, limit: int = 50) -> DataFrame:
-    """Rows ``offset`` .. ``offset + limit`` in the order of a unique key."""
+    """Rows ``offset`` .. ``offset + limit`` in the order of a unique key; a repeated key is an error.
+
+    Keys are range-partitioned and written, and the rows of each range counted. Only the ranges
+    that overlap the page are ranked and joined back, at any depth.
+    """
     if offset < 0:
         raise ValueError("offset must be at least 0")
     if not 1 <= limit <= PAGE_LIMIT:
         raise ValueError(f"limit must be between 1 and {PAGE_LIMIT}")
     keys = [order_key] if isinstance(order_key, str) else list(order_key)
-    if offset + limit <= SHALLOW_ROWS:
-        return df.orderBy(*keys).offset(offset).limit(limit)
-    return _deep_page(df, keys, offset, limit)
-
-
-def _deep_page(df: DataFrame, keys: list[str], offset: int, limit: int) -> DataFrame:
-    """Keys are range-partitioned and written; only ranges that overlap the page are ranked.
-
-    A plain offset would send ``offset + limit`` rows to one task.
-    """
     spark = df.sparkSession
     narrow = df.select(*keys)
     ranges = max(1, -(-narrow.count() // ROWS_PER_RANGE))
     ranged = narrow.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id())
     ranged = materialize(ranged, scratch_path(spark, "page"))
-    sizes = ranged.groupBy("_range").count()
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    hit = starts.where((F.col("_start") < offset + limit) & (F.col("_start") + F.col("count") > offset))
+    per_key = ranged.groupBy("_range", *keys).agg(F.count("*").alias("copies"))
+    sizes = per_key.groupBy("_range").agg(F.count("*").alias("n"), F.max("copies").alias("copies")).orderBy("_range").collect()
+    if any(s["copies"] > 1 for s in sizes):
+        raise ValueError("Pages need a key that is unique in the table")
+    start, hit = 0, []
+    for size in sizes:  # one row a range
+        if start < offset + limit and start + size["n"] > offset:
+            hit.append((size["_range"], start))
+        start += size["n"]
+    starts = small_frame(spark, hit, "_range int, _start bigint")
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    position = F.col("_start") + rank - 1
     wanted = (
-        ranged.join(hit.select("_range", "_start"), "_range")
-        .withColumn("_position", position)
+        ranged.join(starts, "_range")
+        .withColumn("_position", F.col("_start") + rank - 1)
         .where(F.col("_position").between(offset, offset + limit - 1))
         .select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
     )
@@ -92,6 +95,6 @@ def export(df: DataFrame, path: str, format: str = "parquet") -> None:
     if format == "parquet":
         df.write.mode("errorifexists").parquet(path)
     elif format == "csv":
-        df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+        df.write.mode("errorifexists").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
-        raise ValueError("Only CSV and Parquet are supported")
+        raise ValueError(f"The format is csv or parquet, not {format!r}")

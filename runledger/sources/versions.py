@@ -10,20 +10,18 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
-from ..functions.hashing import fingerprint, multiset_digest
+from ..functions.hashing import fingerprint
 from ..operators.contracts import COLUMN_PATTERN
 from ..operators.profile import PROFILE_FIELDS, SAMPLE_ROWS, kept_rows, profile
 from ..session import small_frame
 from .readers import read_source, suffix_of
-from .tables import append_rows, materialize, read_rows
+from .tables import append_rows, discard, materialize, read_rows
 
 NAME_PATTERN = "[a-z][a-z0-9_]{0,62}"
-# One file is one value to the byte digest (SHA-256); larger ones are told apart by their rows.
-BYTE_DIGEST_LIMIT = 256 * 1024 * 1024
 
 PROFILE_TYPE = f"array<struct<{PROFILE_FIELDS}>>"
 VERSION_FACTS = (
-    "digest string, digest_kind string, origin string, path string, rows bigint, "
+    "digest string, origin string, path string, rows bigint, "
     f"schema_json string, profile {PROFILE_TYPE}, sample array<string>, created_at timestamp, seq bigint"
 )
 VERSION_SCHEMA = f"{VERSION_FACTS}, workspace_id string, source string, version_id string"
@@ -51,23 +49,15 @@ def check_name(name: str) -> str:
 
 
 def append_version(ws: Workspace, source: str, path: str, **csv_options) -> Row:
-    """Register the file or folder at ``path``; known bytes give back the version they had."""
+    """Register the file or folder at ``path``; known rows give back the version they had."""
     check_name(source)
-    suffix_of(path)
-    digest, kind = _file_digest(ws, path, csv_options)
-    known, seq = _history(ws, source, digest)
-    if known:
-        return known
-    return _register(ws, source, read_source(ws.spark, path, **csv_options), digest, kind, path, seq + 1)
+    return _register(ws, source, read_source(ws.spark, path, **csv_options), path)
 
 
 def append_frame(ws: Workspace, source: str, df: DataFrame) -> Row:
-    """Register the rows of a repeatable DataFrame; known rows give back the version they had."""
+    """Register the rows of a DataFrame; known rows give back the version they had."""
     check_name(source)
-    require_columns(df)
-    digest = fingerprint(df).first()["fingerprint"]
-    known, seq = _history(ws, source, digest)
-    return known or _register(ws, source, df, digest, "rows", "", seq + 1)
+    return _register(ws, source, df, "")
 
 
 def append_frames(ws: Workspace, frames: dict[str, DataFrame]) -> dict[str, Row]:
@@ -77,18 +67,6 @@ def append_frames(ws: Workspace, frames: dict[str, DataFrame]) -> dict[str, Row]
         return dict(zip(frames, rows))
 
 
-def _file_digest(ws: Workspace, path: str, csv_options: dict) -> tuple[str, str]:
-    files = ws.spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    files = files.option("pathGlobFilter", "[!_.]*").load(path)
-    largest, total = files.agg(F.max("length"), F.sum("length")).first()
-    if not total:
-        raise ValueError("A source must contain data")
-    if largest > BYTE_DIGEST_LIMIT:
-        return fingerprint(read_source(ws.spark, path, **csv_options)).first()["fingerprint"], "rows"
-    contents = files.where("length > 0").select(F.sha2("content", 256).alias("h"))
-    return multiset_digest(contents, "h").first()["digest"], "bytes"
-
-
 def require_columns(df: DataFrame) -> None:
     """At least one column, all of them identifiers and unique ignoring case."""
     names = df.columns
@@ -109,17 +87,26 @@ def _history(ws: Workspace, source: str, digest: str) -> tuple[Row | None, int]:
     return found["known"], found["seq"]
 
 
-def _register(
-    ws: Workspace, source: str, df: DataFrame, digest: str, kind: str, origin: str, seq: int
-) -> Row:
+def _register(ws: Workspace, source: str, df: DataFrame, origin: str) -> Row:
+    """Write the rows once and take their identity from what was written.
+
+    Schema and rows in any order are the identity at every size. So read options and the values in
+    folder names take part, and reordered rows are the same version.
+    """
     require_columns(df)
-    version_id = f"{digest[:16]}-{uuid.uuid4().hex[:12]}"
-    path = ws.data(f"source={source}", f"version={version_id}")
+    attempt = uuid.uuid4().hex[:12]
+    path = ws.data(f"source={source}", f"version={attempt}")
     table = materialize(df, path)
+    digest = fingerprint(table).first()["fingerprint"]
+    known, seq = _history(ws, source, digest)
+    if known:
+        discard(ws.spark, path)
+        return known
+    version_id = f"{digest[:16]}-{attempt}"
     columns = profile_rows(table)
     origin = origin.rstrip("/").rsplit("/", 1)[-1]
     now = datetime.now(timezone.utc)
-    row = (digest, kind, origin, path, columns[0]["rows"], table.schema.json(), columns, kept_rows(table), now, seq)
+    row = (digest, origin, path, columns[0]["rows"], table.schema.json(), columns, kept_rows(table), now, seq + 1)
     folder = f"{ws.table('versions')}/{_part(ws, source)}/version_id={version_id}"
     append_rows(ws.spark, [row], VERSION_FACTS, folder)
     # Another writer may have been first with the same content: the earliest row counts.
@@ -141,35 +128,39 @@ def versions(ws: Workspace, source: str | None = None) -> DataFrame:
     return read_rows(ws.spark, VERSION_SCHEMA, ws.table("versions"), _part(ws, source))
 
 
-def list_versions(ws: Workspace) -> DataFrame:
-    """Every version with its column profiles, by source, newest first.
-
-    Of versions that two writers appended with the same content only the earliest is listed.
-    """
-    rows = versions(ws)
+def _first_versions(rows: DataFrame) -> DataFrame:
+    """Of versions that two writers appended with the same content, only the earliest."""
     first = rows.groupBy("source", "digest").agg(F.min(F.struct("seq", "version_id")).alias("_f"))
     first = first.select("source", F.col("_f.version_id").alias("version_id"))
-    return rows.join(first, ["source", "version_id"], "left_semi").orderBy(
-        "source", F.desc("created_at"), F.desc("seq")
-    )
+    return rows.join(first, ["source", "version_id"], "left_semi")
+
+
+def list_versions(ws: Workspace) -> DataFrame:
+    """Every version with its column profiles, by source, newest first; equal content once."""
+    return _first_versions(versions(ws)).orderBy("source", F.desc("created_at"), F.desc("seq"))
 
 
 def latest_rows(df: DataFrame, by: list[str], newest: list[str]) -> DataFrame:
-    """The newest row of each group, as one aggregate: a hot group is combined where it lies."""
-    rest = [c for c in df.columns if c not in by and c not in newest]
-    top = F.max(F.struct(*newest, *rest)).alias("_top")
+    """The newest row of each group, as one aggregate: a hot group is combined where it lies.
+
+    Columns of any type may follow; only those in ``newest`` are compared. Of rows that tie in all
+    of them one is kept.
+    """
+    rest = [c for c in df.columns if c not in by]
+    top = F.max_by(F.struct(*rest), F.struct(*newest)).alias("_top")
     return df.groupBy(*by).agg(top).select(*by, "_top.*").select(df.columns)
 
 
 def latest_versions(ws: Workspace) -> DataFrame:
-    """The newest version of every source. Re-appending old content does not make it newest."""
-    return latest_rows(versions(ws), ["source"], ["created_at", "seq"])
+    """The newest listed version of every source. Re-appending old content does not make it newest."""
+    return latest_rows(_first_versions(versions(ws)), ["source"], ["created_at", "seq"])
 
 
 def chosen_version(ws: Workspace, source: str, version_id: str | None = None) -> DataFrame:
     """One version row of a source: the one asked for if there is one, else the newest."""
     asked = F.col("version_id").eqNullSafe(F.lit(version_id).cast("string"))
-    return versions(ws, source).orderBy(asked.desc(), F.desc("created_at"), F.desc("seq")).limit(1)
+    rows = _first_versions(versions(ws, source))
+    return rows.orderBy(asked.desc(), F.desc("created_at"), F.desc("seq")).limit(1)
 
 
 def version_profile(ws: Workspace, source: str, version_id: str | None = None) -> DataFrame:

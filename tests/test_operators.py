@@ -78,7 +78,9 @@ def test_sample_is_bounded_and_ordered(spark):
     df = spark.range(100).withColumn("k", 99 - F.col("id"))
     assert [r["k"] for r in sample_rows(df, "k", 3).collect()] == [0, 1, 2]
     assert sample_rows(df, "k").count() == 10
-    assert sample_rows(df, "k", 0).count() == 1 and sample_rows(df, "k", 500).count() == 20
+    for n in (0, 21):
+        with pytest.raises(ValueError):
+            sample_rows(df, "k", n)
 
 
 def test_preview_cuts_at_every_depth(spark):
@@ -100,9 +102,16 @@ def test_decimal_previews_keep_cents(spark):
 def test_redaction_sees_the_whole_text(spark):
     text = "a" * 1995 + "sk-abc_123-x tail"
     df = frame(spark, [(text, "key sk-1 and hunter22 and sk- b")], "t string, u string")
-    row = df.select(redact("t").alias("t"), redact("u", secrets=["hunter22", "key"], limit=None).alias("u")).first()
-    assert row["t"] == "a" * 1995 + "[reda"
-    assert row["u"] == "key [redacted] and [redacted] and sk- b"
+    row = df.select(
+        redact("t").alias("whole"), redact("t", limit=2000).alias("t"), redact("u", secrets=["hunter22", "key"]).alias("u")
+    ).first()
+    assert row["whole"] == "a" * 1995 + "[redacted] tail" and row["t"] == "a" * 1995 + "[reda"
+    assert row["u"] == "[redacted] [redacted] and [redacted] and sk- b"
+
+
+def test_previewed_maps_are_bounded_inside(spark):
+    cut = preview(spark.sql("SELECT map('k', repeat('x', 3000)) AS m")).first()["m"]["k"]
+    assert cut == "x" * 2000 + "… [preview truncated]"
 
 
 # --- hashes -----------------------------------------------------------------------------
@@ -313,3 +322,18 @@ def test_last_event_wins(spark):
     )
     row = current_states(events).first()
     assert (row["status"], row["error"]) == ("failed", "why")
+
+
+def test_comparison_is_exact_or_refused(spark):
+    big = frame(spark, [(1, Decimal(10**25))], "k bigint, m decimal(30,0)")
+    small = frame(spark, [(1, 1.5)], "k bigint, m double")
+    with pytest.raises(ComparisonError, match="Overflow"):
+        compare_outputs(big, small, "k", "m")
+    with pytest.raises(ComparisonError, match="Overflow"):
+        compare_outputs(small, frame(spark, [(1, 1e-25)], "k bigint, m double"), "k", "m")
+    with pytest.raises(ComparisonError, match="not numbers"):
+        compare_outputs(small, frame(spark, [(1, float("nan"))], "k bigint, m double"), "k", "m")
+    row = compare_outputs(big, frame(spark, [(1, Decimal(1)), (2, Decimal(7))], "k bigint, m decimal(30,0)"), "k", "m")
+    assert [(r["before"], r["delta"]) for r in row.orderBy("key").collect()] == [(10**25, 1 - 10**25), (0, 7)]
+    text = frame(spark, [(1, "1e3")], "k bigint, m string")
+    assert compare_outputs(text, small, "k", "m").first()["delta"] == Decimal("-998.5")

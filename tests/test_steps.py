@@ -1,5 +1,7 @@
 """Small SQL pipelines: isolation, parameters, check errors, exploration."""
 
+import functools
+
 import pytest
 from pyspark.errors import AnalysisException, ParseException
 
@@ -143,7 +145,7 @@ def test_explore_reads_the_newest_versions(workspace, csv_file, orders):
     text = "id,amount\n" + "".join(f"{i},1\n" for i in range(150))
     append_version(workspace, "orders", csv_file(text))
     append_version(workspace, "notes", csv_file("id,note\n1," + "n" * 3000 + "\n"))
-    assert explore(workspace, "SELECT * FROM orders").count() == 100
+    assert explore(workspace, "SELECT * FROM orders").count() == 150
     assert explore(workspace, "SELECT count(*) AS n FROM orders").first()["n"] == 150
     assert explore(workspace, "SELECT note FROM notes JOIN orders USING (id)").first()["note"].endswith("truncated]")
     with pytest.raises(AnalysisException):
@@ -166,3 +168,24 @@ def test_check_summary_fuses_but_counts_the_same(spark):
         "Unique": (1, "failed"), "Copies": (1, "failed"), "Positive": (2, "failed"),
         "Known": (0, "passed"), "Grain": (1, "failed"), "Query": (1, "failed"),
     }
+
+
+def test_helpers_and_constants_are_part_of_a_definition():
+    def helper(df):
+        return df
+
+    def build(frames):
+        return helper(frames["orders"])
+
+    def pipeline(uses):
+        step = Step("s", "S", ("orders",), build=build, uses=uses)
+        return Pipeline("p", "P", {"orders": {}}, (step,), "s")
+
+    assert len({pipeline(u).digest() for u in ((), (helper,), (helper, 14), (helper, 15))}) == 4
+    with pytest.raises(ValueError, match="by name"):
+        Step("s", "S", ("orders",), build=functools.partial(build, {})).text
+
+
+def test_checks_of_a_step_have_names_of_their_own():
+    with pytest.raises(ValueError, match="names of their own"):
+        Step("s", "S", (), sql="SELECT 1", checks=(row_check("a", "s", "x < 0"), row_check("a", "s", "x > 0")))
