@@ -22,23 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, batches_of, components, list_array, shingles, string_bytes, word_hashes
+from .common import Scratch, batches_of, components, likely, list_array, shingles, string_bytes, word_hashes
 
 BINS = 1 << 16
 CELLS = 64
-#: Bits of the map that keeps texts without candidates out of a shuffle. It only saves work.
-MAP_BITS = 1 << 23
 _SHIFT = np.uint64(48)
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and shingle hashes of each row with words."""
-    begin = 0
-    for part in batches_of(batch, "text"):
-        hashes, first = word_hashes(*string_bytes(part.column("text")))
-        for k in np.flatnonzero(np.diff(first)):
-            yield begin + int(k), shingles(hashes[first[k] : first[k + 1]], size)
-        begin += part.num_rows
+    hashes, first = word_hashes(*string_bytes(batch.column("text")))
+    for k in np.flatnonzero(np.diff(first)):
+        yield int(k), shingles(hashes[first[k] : first[k + 1]], size)
+
+
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from batches_of(batch, "text")
 
 
 def _levels(texts: DataFrame, size: int) -> np.ndarray:
@@ -46,7 +46,7 @@ def _levels(texts: DataFrame, size: int) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(BINS, np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             for _, own in _sets(batch, size):
                 total += np.bincount((own >> _SHIFT).astype(np.int64), minlength=BINS)
         used = np.flatnonzero(total)
@@ -88,29 +88,54 @@ def reaches(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
     return len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
+def cell_counts(own: np.ndarray, cells: int) -> bytes:
+    """Tokens of a set in each of ``cells`` cells, a power of two; item size first."""
+    counts = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    size = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """One bit for each of 256 cells: whether it holds an odd number of the set's tokens."""
+    odd = np.bincount((own & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def cells_bound(x: bytes, y: bytes) -> tuple[int, int]:
+    """``(most, both)``: an upper bound of the overlap, and the sizes of both sets together."""
+    u, v = (np.frombuffer(z, f"<u{z[0]}", offset=1).astype(np.int64) for z in (x, y))
+    while len(u) > len(v):
+        u = u.reshape(2, -1).sum(axis=0)
+    while len(v) > len(u):
+        v = v.reshape(2, -1).sum(axis=0)
+    return int(np.minimum(u, v).sum()), int(u.sum() + v.sum())
+
+
 def _sketches(texts: DataFrame, levels: np.ndarray, size: int, share: tuple[int, int]) -> DataFrame:
-    """Per text: set size, signature, prefix tokens and token counts in 64 cells."""
+    """Per text: set size, signature, prefix tokens, cell parities, and token counts by few and by many cells."""
 
     def sketch(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             rows = batch.num_rows
             n, one, two = np.zeros(rows, np.int64), np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
-            prefix, cells = [np.zeros(0, np.uint64)] * rows, [b""] * rows
+            prefix, coarse, fine = [np.zeros(0, np.uint64)] * rows, [b""] * rows, [b""] * rows
+            odd = np.zeros((rows, 4), np.int64)
             for k, own in _sets(batch, size):
                 n[k], one[k], two[k] = len(own), own.sum(), np.bitwise_xor.reduce(own)
                 tokens = ranked(own, levels)
                 prefix[k] = tokens[: len(own) + share[0] * len(own) // -share[1] + 1]
-                counts = np.bincount((own & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-                cells[k] = counts.astype(np.uint32 if counts.max() > 65535 else np.uint16).tobytes()
+                odd[k] = parities(own)
+                coarse[k] = cell_counts(own, CELLS)
+                fine[k] = cell_counts(own, 1 << max(6, min(16, (len(own) - 1).bit_length())))
             flat = np.concatenate([*prefix, np.zeros(0, np.uint64)]).view(np.int64)
             ends = np.cumsum([0, *map(len, prefix)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-                 list_array(flat, ends, pa.int64()), pa.array(cells, pa.binary())],
-                ["id", "n", "one", "two", "prefix", "cells"],
+                 list_array(flat, ends, pa.int64()), *(pa.array(odd[:, k]) for k in range(4)), pa.array(coarse, pa.binary()), pa.array(fine, pa.binary())],
+                ["id", "n", "one", "two", "prefix", "p0", "p1", "p2", "p3", "coarse", "fine"],
             )
 
-    return texts.mapInArrow(sketch, "id long, n long, one long, two long, prefix array<long>, cells binary")
+    return texts.mapInArrow(sketch, "id long, n long, one long, two long, prefix array<long>, p0 long, p1 long, p2 long, p3 long, coarse binary, fine binary")
 
 
 def _fit(a: str, b: str, share: tuple[int, int]):
@@ -122,43 +147,33 @@ def _fit(a: str, b: str, share: tuple[int, int]):
     )
 
 
-def _cells_fit(pairs: DataFrame, sketches: DataFrame, share: tuple[int, int]) -> DataFrame:
+def _parities_fit(share: tuple[int, int]):
+    """Cells of differing parity hold tokens of one set only; there may not be too many of them."""
+    apart = F.expr(" + ".join(f"bit_count(lp.p{k} ^ rp.p{k})" for k in range(4)))
+    both = F.col("l.n") + F.col("r.n")
+    return apart <= both - 2 * F.ceil(share[0] * both / float(share[0] + share[1]))
+
+
+def _cells_fit(pairs: DataFrame, cells: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Pairs whose token counts by cell still allow the overlap: the suffix filter with fixed pivots."""
 
     def fits(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            for k, (x, y) in enumerate(both):
-                u, v = (np.frombuffer(z, np.uint32 if len(z) > 2 * CELLS else np.uint16).astype(np.int64) for z in (x, y))
-                keep[k] = np.minimum(u, v).sum() >= least_overlap(u.sum() + v.sum(), share)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    side = sketches.select("id", "cells")
-    joined = (
-        pairs.join(side.toDF("a", "x"), "a").join(side.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    )
-    return joined.mapInArrow(fits, "a long, b long")
-
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                most, both = cells_bound(x, y)
+                keep.append(most >= least_overlap(both, share))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _map_of(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids of fixed size: 131,072 words of 64 bits at most."""
-    bits = ids.select(F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)).cast("int").alias("bit"))
-    words = bits.selectExpr("shiftright(bit, 6) w", "shiftleft(1L, bit & 63) m")
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    for row in words.groupBy("w").agg(F.bit_or("m").alias("m")).collect():
-        out[row["w"]] = row["m"]
-    return out
+    joined = pairs.join(cells.toDF("a", "x"), "a").join(cells.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(fits, "a long, b long").distinct()
 
 
 def _tokens_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """Whole shingle sets of the given texts."""
-    words = _map_of(ids)
 
     def tokens(batches):
-        for batch in batches:
-            bit = batch.column("bit").to_numpy()
-            batch = batch.select(["id", "text"]).filter(pa.array((words[bit >> 6] >> (bit & 63)) & 1 == 1))
+        for batch in _parts(batches):
             found = list(_sets(batch, size))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array([k for k, _ in found], pa.int64())),
@@ -166,8 +181,7 @@ def _tokens_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 ["id", "tokens"],
             )
 
-    coded = texts.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(MAP_BITS)))
-    return coded.mapInArrow(tokens, "id long, tokens binary").join(ids, "id", "left_semi")
+    return likely(texts, ids, "id").mapInArrow(tokens, "id long, tokens binary").join(ids, "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -212,7 +226,6 @@ def jaccard_components(
         "postings",
     )
     links = None
-    cells = first.select("id", "cells")
     for turn in ("star", "cross"):
         if turn == "star":
             pairs = postings.where("own.id <> center.id").where(_fit("own", "center", share))
@@ -224,14 +237,18 @@ def jaccard_components(
             )
             rooted = scratch.keep(rooted, "rooted")
             mixed = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-            rooted = rooted.join(mixed.select("token"), "token", "left_semi")
-            left, right = rooted.toDF("token", "l", "lr"), rooted.toDF("token", "r", "rr")
+            odd = first.select("id", F.struct("p0", "p1", "p2", "p3").alias("odd"))
+            rooted = rooted.join(mixed.select("token"), "token", "left_semi").join(odd, F.col("own.id") == odd["id"]).drop("id")
+            rooted = scratch.keep(rooted.select("token", "own", "root", "odd"), "mixed")
+            left, right = rooted.toDF("token", "l", "lr", "lp"), rooted.toDF("token", "r", "rr", "rp")
             pairs = (
-                left.join(right, "token").where("l.id < r.id and lr <> rr").where(_fit("l", "r", share))
+                left.join(right, "token").where("l.id < r.id and lr <> rr").where(_fit("l", "r", share) & _parities_fit(share))
                 .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
             )
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = scratch.keep(_cells_fit(pairs, cells, share), f"{turn}-pairs")
+        # Few cells for all pairs, then as many cells as tokens for those that are left.
+        for depth in ("coarse", "fine"):
+            pairs = scratch.keep(_cells_fit(pairs, first.select("id", depth), share), f"{turn}-{depth}")
         ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{turn}-ids")
         sets = scratch.keep(_tokens_of(texts, ids, size), f"{turn}-sets")
         sure = scratch.keep(_verified(pairs, sets, share), f"{turn}-links")
