@@ -92,27 +92,31 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 MAP_BITS = 1 << 23
 
 
-def likely(texts: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of ``texts`` whose long key may be in ``keys``: all that are, and some that are not.
+class KeyMap:
+    """A bitmap of hashed long keys, of fixed size, for tasks that read texts by key.
 
-    A bitmap of hashed keys, of fixed size, is sent to the tasks. It only saves shuffling texts
-    that a join would drop; the join itself must follow.
+    ``kept`` drops rows whose key is surely not among the keys; some others stay, so a join must
+    follow. It only saves shuffling texts that the join would drop.
     """
-    bits = keys.select(F.pmod(F.xxhash64(column), F.lit(MAP_BITS)).cast("int").alias("bit"))
-    words = np.zeros(MAP_BITS // 64, np.int64)
-    for row in bits.selectExpr("shiftright(bit, 6) w", "shiftleft(1L, bit & 63) m").groupBy("w").agg(F.bit_or("m").alias("m")).collect():
-        words[row["w"]] = row["m"]
-    sent = texts.sparkSession.sparkContext.broadcast(words)
 
-    def pick(batches):
+    def __init__(self, keys: DataFrame, column: str):
+        bits = keys.select(F.pmod(F.xxhash64(column), F.lit(MAP_BITS)).cast("int").alias("bit"))
+        words = np.zeros(MAP_BITS // 64, np.int64)
+        for row in bits.selectExpr("shiftright(bit, 6) w", "shiftleft(1L, bit & 63) m").groupBy("w").agg(F.bit_or("m").alias("m")).collect():
+            words[row["w"]] = row["m"]
+        self.column, self.sent = column, keys.sparkSession.sparkContext.broadcast(words)
+
+    def coded(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the place of each key in the bitmap, which ``kept`` takes away."""
+        return rows.withColumn("__bit", F.pmod(F.xxhash64(self.column), F.lit(MAP_BITS)))
+
+    @staticmethod
+    def kept(sent, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bit = batch.column("__bit").to_numpy()
             hit = (sent.value[bit >> 6] >> (bit & 63)) & 1 == 1
             yield batch.drop_columns(["__bit"]).filter(pa.array(hit))
 
-    coded = texts.withColumn("__bit", F.pmod(F.xxhash64(column), F.lit(MAP_BITS)))
-    return coded.mapInArrow(pick, texts.schema)
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""

@@ -149,7 +149,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def score(batches):
         own = Model(weights.value[2], *weights.value[:2])
-        for batch in batches:
+        for batch in (part for whole in batches for part in batches_of(whole, source)):
             texts = batch.column(source).to_pylist()
             label, sure = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             some = [k for k, t in enumerate(texts) if t is not None and own.languages and _LETTER.search(t)]

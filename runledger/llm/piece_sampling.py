@@ -28,7 +28,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CHUNK = np.uint64(0xD1B54A32D192ED03)
 _TABLE = 1 << 20
 #: Lattice cells (chunks x places x piece lengths) that are filtered at once.
-_CELLS = 1 << 21
+_CELLS = 1 << 19
 UNCOVERED = -1
 #: Stands for a literal U+2581, which else would read as a space: a code point no text can hold.
 _LITERAL = "\ud800"
@@ -235,7 +235,7 @@ def encode(
     def sample(batches):
         own = lattices(model)
         for batch in batches:
-            for part in batches_of(batch, "text"):
+            for part in batches_of(batch, "text", 1 << 20):
                 keys = part.column("key").to_numpy(zero_copy_only=False)
                 texts = part.column("text").to_pylist()
                 ids, offsets = _encoded(own, texts, keys, alpha)

@@ -26,6 +26,10 @@ def importable(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+    # Workers live on between tasks: they give freed memory back instead of keeping it.
+    for name in ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_"):
+        spark.sparkContext.environment.setdefault(name, str(1 << 20))
+    spark.sparkContext.environment.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
 
 
 def _over(name: str):

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, batches_of, likely, mix, runs_of, string_bytes
+from .common import KeyMap, Scratch, batches_of, mix, runs_of, string_bytes
 
 ANCHOR = 64
 #: More different surroundings of one key than this are split by longer keys.
@@ -136,7 +136,10 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
 def _hit_texts(rows: DataFrame, places: DataFrame) -> DataFrame:
     """``(number, text, places)`` of the texts with shared anchors, from one row of each."""
     wanted = places.select("number", "rep", "places")
-    return likely(rows, places, "number").join(wanted, ["number"]).where("id <=> rep").select("number", "text", "places")
+    map_of = KeyMap(places, "number")
+    sent = map_of.sent
+    likely = map_of.coded(rows).mapInArrow(lambda batches: KeyMap.kept(sent, batches), rows.schema)
+    return likely.join(wanted, ["number"]).where("id <=> rep").select("number", "text", "places")
 
 
 def _surroundings(hits: DataFrame, length: int) -> DataFrame:

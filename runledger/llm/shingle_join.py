@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, batches_of, components, likely, list_array, shingles, string_bytes, word_hashes
+from .common import KeyMap, Scratch, batches_of, components, list_array, shingles, string_bytes, word_hashes
 
 BINS = 1 << 16
 CELLS = 64
@@ -36,9 +36,9 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), shingles(hashes[first[k] : first[k + 1]], size)
 
 
-def _parts(batches) -> Iterator[pa.RecordBatch]:
+def _parts(batches, column: str = "text") -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield from batches_of(batch, "text")
+        yield from batches_of(batch, column)
 
 
 def _levels(texts: DataFrame, size: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def _cells_fit(pairs: DataFrame, cells: DataFrame, share: tuple[int, int]) -> Da
     """Pairs whose token counts by cell still allow the overlap: the suffix filter with fixed pivots."""
 
     def fits(batches):
-        for batch in batches:
+        for batch in _parts(batches, "x"):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 most, both = cells_bound(x, y)
@@ -171,9 +171,11 @@ def _cells_fit(pairs: DataFrame, cells: DataFrame, share: tuple[int, int]) -> Da
 
 def _tokens_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """Whole shingle sets of the given texts."""
+    wanted = KeyMap(ids, "id")
+    sent = wanted.sent
 
     def tokens(batches):
-        for batch in _parts(batches):
+        for batch in _parts(KeyMap.kept(sent, batches)):
             found = list(_sets(batch, size))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array([k for k, _ in found], pa.int64())),
@@ -181,12 +183,12 @@ def _tokens_of(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 ["id", "tokens"],
             )
 
-    return likely(texts, ids, "id").mapInArrow(tokens, "id long, tokens binary").join(ids, "id", "left_semi")
+    return wanted.coded(texts).mapInArrow(tokens, "id long, tokens binary").join(ids, "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     def check(batches):
-        for batch in batches:
+        for batch in _parts(batches, "x"):
             keep = [
                 reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share)
                 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
