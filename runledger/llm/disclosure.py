@@ -3,13 +3,15 @@
 Base spans are e-mail and IP addresses, payment cards and telephone numbers, by pattern and check.
 On top of them the method is information-theoretic sanitisation (after Sanchez and Batet's
 C-sanitised model): the values found are the protected entities, and the corpus tells how strongly a
-word near one of them reveals it. With probabilities counted over all documents, a word discloses
-an entity by
+word of a text that holds one of them reveals it. With probabilities counted over all documents, a
+word discloses an entity by
 
     PMI(word, entity) / IC(entity) = 1 + ln(together / word) / -ln(p(entity)),
 
-which is 1 for a word that occurs only beside it. Words above ``GENERALISE`` are generalised, above
-``REMOVE`` removed, if at least ``SUPPORT`` different texts show them together.
+which is 1 for a word that occurs only with it. Words above ``GENERALISE`` are generalised, above
+``REMOVE`` removed, wherever they stand in a text that holds the entity, if at least ``SUPPORT``
+different texts show them together. Words are runs of letters outside e-mail addresses (no other
+kind of value has letters), of any length, and equal if they are so in lower case.
 
 Patterns and positions: ``split`` gives the texts between matches and ``regexp_extract_all`` the
 matches; their lengths, summed by a window over the matches of one text, are positions in code
@@ -28,9 +30,6 @@ from .common import Scratch
 SUPPORT = 3
 GENERALISE = 0.7
 REMOVE = 0.95
-#: Code points before and after a value in which words are looked at.
-CONTEXT = 64
-_MIN_LETTERS = 4
 
 
 @dataclass(frozen=True)
@@ -49,6 +48,7 @@ KINDS = (
     Kind("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 )
 TERM, TERM_RANK = "term", 4
+_NO_LETTERS = r"[^\p{L}]+"
 
 
 def _luhn(digits: Column) -> Column:
@@ -73,7 +73,7 @@ def _valid(kind: Column, found: Column) -> Column:
 
 
 def base_spans(texts: DataFrame) -> DataFrame:
-    """``(k1, k2, kind, rank, begin, end, value, before, after)`` of all matches that pass their check.
+    """``(k1, k2, kind, rank, begin, end, value)`` of all matches that pass their check.
 
     ``texts`` (k1, k2, text) holds one row for each different text.
     """
@@ -87,63 +87,51 @@ def base_spans(texts: DataFrame) -> DataFrame:
         ).select(
             "k1", "k2", "kind", "rank", "i", "value",
             F.length(F.get("p", F.col("i"))).alias("gap"),
-            F.right(F.get("p", F.col("i")), F.lit(CONTEXT)).alias("before"),
-            F.left(F.get("p", F.col("i") + 1), F.lit(CONTEXT)).alias("after"),
         )
         found = rows if found is None else found.unionAll(rows)
     order = Window.partitionBy("k1", "k2", "kind").orderBy("i")
     size = F.length("value")
     end = F.sum(F.col("gap") + size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = found.withColumn("end", end).withColumn("begin", F.col("end") - size)
-    return placed.where(_valid(F.col("kind"), F.col("value"))).select("k1", "k2", "kind", "rank", "begin", "end", "value", "before", "after")
+    return placed.where(_valid(F.col("kind"), F.col("value"))).select("k1", "k2", "kind", "rank", "begin", "end", "value")
 
 
-def _nearby(base: DataFrame) -> DataFrame:
-    """``(k1, k2, entity, term, begin, end)`` of words of letters beside each base span.
-
-    Words cut by the end of the context are left out.
-    """
+def _entity() -> Column:
+    """The protected value of a base span, by its kind."""
     normal = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value"))
-    sides = base.withColumn("entity", F.concat_ws(":", "kind", normal)).select(
-        "k1", "k2", "entity",
-        F.explode(
-            F.array(
-                F.struct(F.col("before").alias("side"), (F.col("begin") - F.length("before")).alias("at"), (F.length("before") == CONTEXT).alias("cut"), F.lit(True).alias("left")),
-                F.struct(F.col("after").alias("side"), F.col("end").alias("at"), (F.length("after") == CONTEXT).alias("cut"), F.lit(False).alias("left")),
-            )
-        ).alias("s"),
-    ).select("k1", "k2", "entity", "s.*", F.split("s.side", "[\\x20\\x09-\\x0D]", -1).alias("words"))
-    # At most CONTEXT short words a side, so that summing lengths anew for each stays cheap.
-    words = sides.select(
-        "k1", "k2", "entity", "left", "cut", "at", F.size("words").alias("n"), "words", F.posexplode("words").alias("i", "word")
-    ).withColumn(
-        "begin",
-        F.col("at") + F.aggregate(F.slice("words", F.lit(1), F.col("i")), F.lit(0), lambda a, w: a + F.length(w) + 1),
-    )
-    whole = ~(F.col("cut") & F.when(F.col("left"), F.col("i") == 0).otherwise(F.col("i") == F.col("n") - 1))
-    term = F.regexp_extract("word", rf"^(\p{{L}}{{{_MIN_LETTERS},}})\p{{P}}*$", 1)
-    return (
-        words.where(whole).withColumn("raw", term).where("raw <> ''")
-        .select("k1", "k2", "entity", F.lower("raw").alias("term"), "begin", (F.col("begin") + F.length("raw")).alias("end"))
-    )
+    return F.concat_ws(":", "kind", normal)
+
+
+def _words() -> Column:
+    """All different words of a text as they are written, e-mail addresses left out."""
+    email = KINDS[0]
+    rest = F.when(F.col("text").rlike(email.hint), F.regexp_replace("text", email.pattern, " ")).otherwise(F.col("text"))
+    return F.filter(F.array_distinct(F.split(rest, _NO_LETTERS)), lambda w: w != "")
+
 
+def _terms() -> Column:
+    return F.array_distinct(F.transform(_words(), F.lower))
 
-def disclosing_terms(nearby: DataFrame, base: DataFrame, copies: DataFrame, rows: DataFrame) -> DataFrame:
+
+def disclosing_terms(hits: DataFrame, own: DataFrame, copies: DataFrame, rows: DataFrame) -> DataFrame:
     """``(entity, term, strength)`` of words that reveal an entity, by counts over all documents.
 
-    ``copies`` (k1, k2, n) tells how many documents have a text; ``rows`` holds every document.
+    ``hits`` (k1, k2, text) has each different text that holds an entity, ``own`` (k1, k2, entity)
+    its entities; ``copies`` (k1, k2, n) tells how many documents have a text; ``rows`` holds every
+    document.
     """
-    normal = F.when(F.col("kind").isin("card", "phone"), F.regexp_replace("value", "[^0-9]", "")).otherwise(F.lower("value"))
+    # An entity in fewer texts has no word with enough of them.
     entities = (
-        base.select("k1", "k2", F.concat_ws(":", "kind", normal).alias("entity")).distinct()
-        .join(copies, ["k1", "k2"]).groupBy("entity").agg(F.sum("n").alias("entity_docs"))
+        own.join(copies, ["k1", "k2"]).groupBy("entity").agg(F.sum("n").alias("entity_docs"), F.count("*").alias("texts"))
+        .where(F.col("texts") >= SUPPORT).drop("texts")
     )
+    some = own.join(entities, "entity").groupBy("k1", "k2").agg(F.collect_list("entity").alias("entities")).join(copies, ["k1", "k2"])
     together = (
-        nearby.select("k1", "k2", "entity", "term").distinct().join(copies, ["k1", "k2"])
+        hits.join(some, ["k1", "k2"]).select("n", "entities", F.explode(_terms()).alias("term"))
+        .select("n", "term", F.explode("entities").alias("entity"))
         .groupBy("entity", "term").agg(F.sum("n").alias("together"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     )
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count("*").alias("term_docs"))
+    frequency = rows.select(F.explode(_terms()).alias("term")).groupBy("term").agg(F.count("*").alias("term_docs"))
     documents = copies.agg(F.sum("n")).first()[0] or 0
     surprise = F.log(F.lit(documents) / F.col("entity_docs"))
     strength = F.when(surprise > 0, 1 + F.log(F.least(F.col("together") / F.col("term_docs"), F.lit(1.0))) / surprise)
@@ -153,6 +141,28 @@ def disclosing_terms(nearby: DataFrame, base: DataFrame, copies: DataFrame, rows
     )
 
 
+def _term_spans(hits: DataFrame, own: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(k1, k2, kind, rank, begin, end, strength)`` of every place of a term in the texts that hold its entity."""
+    entities = own.join(terms.select("entity").distinct(), "entity").groupBy("k1", "k2").agg(F.collect_list("entity").alias("entities"))
+    told = (
+        hits.join(entities, ["k1", "k2"]).select("k1", "k2", "entities", F.explode(_words()).alias("word"))
+        .select("k1", "k2", "word", F.lower("word").alias("term"), F.explode("entities").alias("entity"))
+        .join(terms, ["entity", "term"]).groupBy("k1", "k2", "word").agg(F.max("strength").alias("strength"))
+        .groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("word", "strength"))).alias("words"))
+    )
+    # Words are letters alone, so they need no quoting.
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.map_keys("words"), "|"), F.lit(r")(?!\p{L})"))
+    found = (
+        hits.join(told, ["k1", "k2"]).withColumn("pattern", pattern)
+        .select("k1", "k2", "words", F.regexp_extract_all("text", "pattern", F.lit(0)).alias("m"), F.split("text", F.col("pattern"), -1).alias("p"))
+        .select("k1", "k2", "words", "p", F.posexplode("m").alias("i", "value"))
+        .select("k1", "k2", "i", F.length("value").alias("size"), F.length(F.get("p", F.col("i"))).alias("gap"), F.element_at("words", F.col("value")).alias("strength"))
+    )
+    order = Window.partitionBy("k1", "k2").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = found.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(order))
+    return placed.select("k1", "k2", F.lit(TERM).alias("kind"), F.lit(TERM_RANK).alias("rank"), (F.col("end") - F.col("size")).alias("begin"), "end", "strength")
+
+
 def _listed(spans: Column, keep=None) -> Column:
     """``kind:begin:end`` of sorted spans, joined by commas."""
     some = F.filter(spans, keep) if keep else spans
@@ -174,14 +184,15 @@ def _spans_by_text(rows: DataFrame, scratch: Scratch) -> DataFrame:
     hint = "|".join(k.hint for k in KINDS)
     hits = scratch.keep(rows.where(F.col("text").rlike(hint)).dropDuplicates(["k1", "k2"]), "hits")
     base = scratch.keep(base_spans(hits), "base")
-    nearby = scratch.keep(_nearby(base), "nearby")
+    own = scratch.keep(base.select("k1", "k2", _entity().alias("entity")).distinct(), "own")
     copies = scratch.keep(rows.groupBy("k1", "k2").agg(F.count("*").alias("n")), "copies")
-    terms = scratch.keep(disclosing_terms(nearby, base, copies, rows), "terms")
-    extra = (
-        nearby.join(terms, ["entity", "term"]).groupBy("k1", "k2", "begin", "end").agg(F.max("strength").alias("strength"))
-        .select("k1", "k2", F.lit(TERM).alias("kind"), F.lit(TERM_RANK).alias("rank"), "begin", "end", "strength")
-    )
+    terms = scratch.keep(disclosing_terms(hits, own, copies, rows), "terms")
+    extra = _term_spans(hits, own, terms)
     spans = base.select("k1", "k2", "kind", "rank", "begin", "end", F.lit(None).cast("double").alias("strength")).unionByName(extra)
+    # A term inside a value goes with the value.
+    order = Window.partitionBy("k1", "k2").orderBy("begin", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("rank") < TERM_RANK, F.col("end"))).over(order)
+    spans = spans.withColumn("reach", reach).where((F.col("rank") < TERM_RANK) | F.col("reach").isNull() | (F.col("reach") <= F.col("begin")))
     fields = F.struct("begin", "rank", "end", "kind", "strength")
     return scratch.keep(spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(fields)).alias("spans")), "spans")
 
