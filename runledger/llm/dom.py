@@ -12,7 +12,8 @@ BLOCK = (
     "html body div section article main header footer nav aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd "
     "table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center hr dialog menu"
 ).split()
-SKIPPED = "script style noscript template svg iframe object head title textarea select button canvas audio video map math".split()
+# A head is not among the skipped: its end tag may be left out, and what it holds is skipped by itself.
+SKIPPED = "script style noscript template svg iframe object title textarea select button canvas audio video map".split()
 VOID = "hr br img input meta link area base col embed source track wbr".split()
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ()}
 #: Words in class, id and role values that tell what a node is for.
@@ -58,6 +59,8 @@ class Page:
         nodes = self.nodes
         skipping = ""
         depth_skipped = 0
+        opened: list[str] = []
+        last_end: dict[str, int] = {}
 
         def flush():
             nonlocal linked
@@ -87,10 +90,26 @@ class Page:
             name, end = name.lower(), match.group(1)
             if skipping:
                 if name == skipping:
-                    depth_skipped += -1 if end else 1
+                    if end:
+                        depth_skipped -= 1
+                    elif name not in ("button", "select"):  # these hold none of their kind
+                        depth_skipped += 1
                     if not depth_skipped:
                         skipping = ""
-                continue
+                    continue
+                if name not in _BLOCK_AT or name in _VOID:
+                    continue
+                if not end:
+                    opened.append(name)
+                    continue
+                if name in opened:
+                    while opened.pop() != name:
+                        pass
+                    continue
+                if name not in (nodes[k].tag for k in stack):
+                    continue
+                # The close of the block that holds a skipped element ends both.
+                skipping = ""
             if name in _SKIPPED:
                 if end or match.group(3).endswith("/"):
                     continue
@@ -99,7 +118,12 @@ class Page:
                     close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
                     at = close.end() if close else len(html)
                 else:
-                    skipping, depth_skipped = name, 1
+                    if name not in last_end:
+                        last_end[name] = max((m.start() for m in re.finditer(rf"</{name}(?![a-z0-9:-])", html, re.I)), default=-1)
+                    # Of an element that nothing ends only the tag is left out, not the rest of the page.
+                    if last_end[name] >= at:
+                        skipping, depth_skipped = name, 1
+                        opened.clear()
                 continue
             if name == "br":
                 held.append(" ")
