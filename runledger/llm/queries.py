@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import disclosure, language, leakage, page_text, piece_sampling, repeats, shingle_join, token_counts, tool_calls, vector_dedup
+from . import chunk_recipes, disclosure, language, leakage, page_text, piece_sampling, repeats, shingle_join, token_counts, tool_calls, vector_dedup, whitening, zone_clusters
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,25 @@ def op10_page_text(spark, pages, folder):
     return page_text.extract(pages)
 
 
+@_over("documents")
+def op11_chunk_recipes(spark, docs, folder):
+    return chunk_recipes.exact_duplicates(docs)
+
+
+def _longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.expr(f"try_cast({c} AS bigint)") for c in columns})
+
+
+@_over("embeddings")
+def op12_whitening(spark, vectors, folder):
+    return _longs(whitening.whiten(vectors), "deviation")
+
+
+@_over("embeddings")
+def op13_zone_clusters(spark, vectors, folder):
+    return _longs(zone_clusters.cluster(vectors), "distance", "cluster_inertia", "inertia")
+
+
 QUERIES: dict[str, Query] = {
     "op1_vector_dedup": op1_vector_dedup,
     "op2_shingle_join": op2_shingle_join,
@@ -111,6 +130,9 @@ QUERIES: dict[str, Query] = {
     "op8_disclosure": op8_disclosure,
     "op9_benchmark_leaks": op9_benchmark_leaks,
     "op10_page_text": op10_page_text,
+    "op11_chunk_recipes": op11_chunk_recipes,
+    "op12_whitening": op12_whitening,
+    "op13_zone_clusters": op13_zone_clusters,
 }
 
 _A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -123,7 +145,45 @@ _REACH = """
 ), root AS (SELECT id, min(other) AS root FROM reach GROUP BY id)
 """
 
+
+
+def _rounds(rounds: int) -> str:
+    """SQL of the rounds of clustering: assignment ``near_r`` and centroids ``c_r`` of each."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""apart_{r} AS MATERIALIZED (
+  SELECT vec_id, c, sum((x - m) * (x - m))::BIGINT AS distance FROM cells JOIN c_{r} USING (d) GROUP BY vec_id, c
+), near_{r} AS MATERIALIZED (
+  SELECT vec_id, c, distance FROM apart_{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, c) = 1
+)""")
+        if r < rounds:
+            out.append(f"""moved_{r} AS (
+  SELECT c, d, sum(x)::BIGINT AS s, count(*) AS n FROM near_{r} JOIN cells USING (vec_id) GROUP BY c, d
+), c_{r + 1} AS MATERIALIZED (
+  SELECT c, d, CASE WHEN n IS NULL THEN m ELSE (s - ((s % n) + n) % n) // n END AS m FROM c_{r} LEFT JOIN moved_{r} USING (c, d)
+)""")
+    return ", ".join(out)
+
+
 ORACLES: dict[str, str] = {
+    "op11_chunk_recipes": f"""
+WITH plain AS (SELECT doc_id, translate(coalesce(text, ''), {_A_TO_Z}) AS t FROM documents),
+groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM plain GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM plain JOIN groups USING (t)
+""",
+    "op13_zone_clusters": f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cells AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS d, unnest(v) AS x FROM kept
+), first AS (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept
+), c_0 AS MATERIALIZED (SELECT c, unnest(range(1, 65)) AS d, unnest(v) AS m FROM first WHERE c < 40
+), {_rounds(5)},
+told AS (SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c_5 GROUP BY c),
+sums AS (SELECT c, sum(distance)::BIGINT AS cluster_inertia FROM near_5 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM near_5) AS inertia, centroid_sha256
+FROM near_5 JOIN told USING (c) JOIN sums USING (c)
+""",
     "op1_vector_dedup": f"""
 WITH RECURSIVE usable AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
