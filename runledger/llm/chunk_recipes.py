@@ -78,7 +78,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     scratch = Scratch(docs.sparkSession, "recipes")
     rows = recipes(docs, scratch, id_col, text_col)
+    # Written, so that the join below has two plain shuffles, of which Spark splits a hot partition.
     groups = rows.groupBy("recipe").agg(F.max("id").alias("keep"), F.count("*").alias("size")).where("size > 1")
+    groups = scratch.keep(groups, "groups")
     found = rows.join(groups, "recipe", "left")
     keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
     return found.select(
