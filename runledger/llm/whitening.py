@@ -203,8 +203,8 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     number of distinct vectors of integers, ``deviation`` the exact sum over dimensions of
     ``(n * x - S) ** 2`` as decimal(38,0) (null where it has more digits), ``explained`` the share of
     the component's variance. Components come by falling variance; the largest entry of each is
-    positive. A component without variance (one distinct vector, or fewer distinct vectors than
-    dimensions) cannot be whitened and gives no row. Rows that repeat an id each give their own rows.
+    positive. A component without variance beyond rounding (one distinct vector, or fewer distinct
+    vectors than dimensions) cannot be whitened and gives no row. Rows that repeat an id each give their own rows.
     """
     scratch = Scratch(vectors.sparkSession, "whiten")
     rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).alias("id"), as_integers(F.col(vector_col)).alias("x"))
