@@ -8,7 +8,7 @@ import sys
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -33,7 +33,12 @@ from runledger.operators.contracts import (  # noqa: E402
     schema_diff,
 )
 from runledger.operators.findings import evidence_row, top_finding  # noqa: E402
+from runledger.operators.intervals import range_join, top_matches  # noqa: E402
+from runledger.operators.lineage import on_cycles, reachable  # noqa: E402
+from runledger.operators.multisets import all_subsets, grouping_totals, multiset_diff  # noqa: E402
+from runledger.operators.ordered import as_of_join, exact_percentiles, running_totals  # noqa: E402
 from runledger.operators.profile import numeric_stats, preview, profile, sample_rows, value_counts  # noqa: E402
+from runledger.operators.sketches import DISTINCT_ERROR, RANK_ERROR, merged_sketches, sketch_answers  # noqa: E402
 from runledger.operators.status import run_status  # noqa: E402
 from runledger.plans import commerce, retail  # noqa: E402
 from runledger.plans.definition import Check, Pipeline, Step, row_check  # noqa: E402
@@ -61,8 +66,10 @@ from runledger.sources.versions import (  # noqa: E402
     latest_versions,
     list_versions,
     version_sample,
+    version_sketches,
     versions,
 )
+from runledger.streaming.registration import Arrivals, arrived_version, commits, late_arrivals, register_stream  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -717,6 +724,141 @@ def run_evidence(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("row.*", F.lit(refused).alias("refused"))
 
 
+# --- growing sources and sketches -------------------------------------------------------
+
+
+def stream_registration(spark: SparkSession, folder: str) -> DataFrame:
+    """Events that arrive in four parts, some a part too late; the stream stops and goes on between them.
+
+    ``same`` tells that the version of all parts is that of the rows in time, registered in one piece.
+    """
+    ws = _workspace(spark)
+    events = _table(spark, folder, "events")
+    part = F.floor((F.day("ts") - 1) / 8) + F.when(F.col("event_id") % 7 == 3, 1).otherwise(0)
+    arriving = events.withColumn("part", F.least(part, F.lit(3)))
+    landing = scratch_path(spark, "landing")
+    arrivals = Arrivals(ws, "events", "ts", delay_seconds=2 * 86_400)
+    for k in range(4):
+        arriving.where(F.col("part") == k).drop("part").write.mode("append").parquet(landing)
+        register_stream(arrivals, spark.readStream.schema(events.schema).parquet(landing)).awaitTermination()
+    version = arrived_version(arrivals)
+    missed = late_arrivals(arrivals).select("event_id").distinct()
+    whole = append_frame(ws, "in_time", events.join(missed, "event_id", "left_anti").select(events.columns))
+    same = F.lit(int(whole["digest"] == version["digest"] and whole["rows"] == version["rows"]))
+    return commits(arrivals).select("batch_id", "rows", "late", F.date_format("watermark", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("watermark"), same.alias("same"))
+
+
+def sketch_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct counts and medians of two versions together, from their sketches, beside exact ones."""
+    ws = _workspace(spark)
+    orders = _table(spark, folder, "orders").withColumn("day", F.col("o_orderdate").cast("date")).drop("o_orderdate")
+    for kept in ("o_orderkey % 3 = 0", "o_orderkey % 3 <> 0"):
+        append_frame(ws, "orders", orders.where(kept))
+    answers = sketch_answers(merged_sketches(version_sketches(ws, "orders")), (0.5,))
+    exact = value_counts(orders).join(small_frame(spark, list(enumerate(orders.columns)), "position int, column string"), "position")
+    medians = {r["column"]: r["quantiles"][0] for r in answers.where("quantiles IS NOT NULL").select("column", "quantiles").collect()}
+    places = {"day": F.unix_date("day").cast("double")}
+    below = [F.struct(F.lit(c).alias("column"), (F.count_if(places.get(c, F.col(c)) <= m) / F.count(c)).alias("rank")) for c, m in sorted(medians.items())]
+    ranks = orders.agg(F.array(*below).alias("r")).select(F.inline("r"))
+    found = answers.withColumnRenamed("distinct", "estimate").join(exact.select("column", "distinct"), "column").join(ranks, "column", "left")
+    return found.select(
+        "column", "rows", "missing", "distinct",
+        (F.abs(F.col("estimate") - F.col("distinct")) <= DISTINCT_ERROR * F.col("distinct")).cast("int").alias("distinct_within"),
+        (F.abs(F.col("rank") - 0.5) <= RANK_ERROR + 0.02).cast("int").alias("median_within"),
+    )
+
+
+def nested_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested timestamps count by microsecond, and rows that differ by one are a new version."""
+    ws = _workspace(spark)
+    events = _table(spark, folder, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    nested = lambda t: events.select(F.struct(t.alias("t")).alias("one"), F.array(t, t).alias("two"), F.create_map(F.lit("k"), t).alias("three"))
+    later = F.col("ts") + F.expr("INTERVAL 0.000001 SECONDS")
+    stored = {append_frame(ws, "nested", nested(t))["version_id"] for t in (F.col("ts"), later, F.col("ts"))}
+    return value_counts(nested(F.col("ts"))).select("position", "rows", "distinct", F.lit(len(stored)).alias("versions"))
+
+
+# --- joins and aggregates along an order ------------------------------------------------
+
+
+def _crowded(key: str):
+    """A third of the keys become one."""
+    return F.when(F.col(key) % 3 == 0, 0).otherwise(F.col(key))
+
+
+def as_of_price(spark: SparkSession, folder: str) -> DataFrame:
+    """For each ordered item, the price that its part was last shipped for by the day of the order."""
+    t = retail.load(spark, folder, "lineitem", "orders")
+    items = t["lineitem"].withColumn("part", _crowded("l_partkey"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    known = items.select("part", F.col("l_shipdate").cast("date").alias("shipped"), cents.alias("cents"))
+    asked = items.join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "l_orderkey", "l_linenumber", "part", F.col("o_orderdate").cast("date").alias("ordered")
+    )
+    found = as_of_join(asked, known, ["part"], ("ordered", "shipped"))
+    return found.select("l_orderkey", "l_linenumber", "part", F.col("match.shipped").cast("string").alias("shipped"), "match.cents")
+
+
+def range_join_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of orders of one customer, the second 1 to 30 days after the first."""
+    orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    pairs = range_join(orders, orders, ["o_custkey"], ("day", "day"), before=-1, after=30)
+    return pairs.select("left.o_custkey", "left.o_orderkey", F.col("right.o_orderkey").alias("next_orderkey"))
+
+
+def running_revenue(spark: SparkSession, folder: str) -> DataFrame:
+    orders = _table(spark, folder, "orders")
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    rows = orders.select("o_orderkey", _crowded("o_custkey").alias("customer"), F.col("o_orderdate").cast("date").alias("day"), cents.alias("cents"))
+    return running_totals(rows, ["customer"], ["day", "o_orderkey"], "cents").select("o_orderkey", "customer", "running")
+
+
+def percentiles_by_flag(spark: SparkSession, folder: str) -> DataFrame:
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    items = _table(spark, folder, "lineitem").select("l_returnflag", cents.alias("cents"), F.col("l_quantity").cast("bigint").alias("quantity"))
+    return exact_percentiles(items, ["l_returnflag"], ["cents", "quantity"], (0.1, 0.5, 0.95))
+
+
+def grouping_cube(spark: SparkSession, folder: str) -> DataFrame:
+    """Every subset of three groups, one of which has nulls of its own."""
+    items = _table(spark, folder, "lineitem").select(
+        "l_returnflag", F.nullif("l_linestatus", F.lit("F")).alias("status"), F.year("l_shipdate").alias("year"),
+        "l_partkey", F.col("l_quantity").cast("bigint").alias("quantity"),
+    )
+    by = ["l_returnflag", "status", "year"]
+    return grouping_totals(items, by, all_subsets(by), ["quantity"], "l_partkey")
+
+
+def multiset_difference(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines without a key, some dropped and some repeated on the other side, as nested rows."""
+    items = _table(spark, folder, "lineitem")
+    line = [F.col("l_returnflag").alias("flag"), F.array("l_partkey", F.col("l_quantity").cast("bigint")).alias("item")]
+    after = items.where("l_linenumber <> 3").unionAll(items.where("l_linenumber = 5 AND l_returnflag = 'R'"))
+    return multiset_diff(items.select(*line), after.select(*line))
+
+
+def lineage_closure(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders that follow from orders: the next of the same customer, and for some the first again."""
+    orders = _table(spark, folder, "orders")
+    by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    following = orders.select("o_custkey", F.col("o_orderkey").alias("source"), F.lead("o_orderkey").over(by).alias("next"), F.row_number().over(by).alias("n"))
+    first = following.where("n = 1").select("o_custkey", F.col("source").alias("first"))
+    again = F.when(F.col("o_custkey") % 10 == 0, F.col("first"))
+    edges = following.join(first, "o_custkey").select("source", F.coalesce("next", again).alias("target"))
+    pairs = reachable(edges)
+    cycles = on_cycles(pairs).select(F.col("node").alias("source"), F.col("group").alias("cycle"))
+    return pairs.join(cycles, "source", "left")
+
+
+def top_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The three dearest orders of each customer, customers without one included."""
+    t = retail.load(spark, folder, "customer", "orders")
+    customers = t["customer"].select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    best = [F.desc("o_totalprice"), F.asc("o_orderkey")]
+    found = top_matches(customers, t["orders"].select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], best, 3)
+    return found.select(F.col("o_custkey").alias("c_custkey"), "c_mktsegment", "rank", "match.o_orderkey")
+
+
 _REGISTERED: dict[str, Query] = {
     "channel_profit": channel_profit,
     "channel_profit_recovered": channel_profit_recovered,
@@ -783,6 +925,17 @@ _REGISTERED: dict[str, Query] = {
     "run_blocked": run_blocked,
     "run_report": run_report_checks,
     "run_comparison": run_comparison,
+    "stream_registration": stream_registration,
+    "sketch_union": sketch_union,
+    "nested_versions": nested_versions,
+    "as_of_price": as_of_price,
+    "range_join_orders": range_join_orders,
+    "running_revenue": running_revenue,
+    "percentiles_by_flag": percentiles_by_flag,
+    "grouping_cube": grouping_cube,
+    "multiset_difference": multiset_difference,
+    "lineage_closure": lineage_closure,
+    "top_orders": top_orders,
 }
 
 

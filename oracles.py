@@ -482,6 +482,69 @@ _DIRECT = {
         o_orderdate::DATE::VARCHAR AS o_orderdate, o_orderpriority FROM orders""",
 }
 
+_LINES = "SELECT l_returnflag AS flag, l_partkey AS part, l_quantity::BIGINT AS quantity"
+_CROWDED = "CASE WHEN {0} % 3 = 0 THEN 0 ELSE {0} END"
+
+_ORDERED = {
+    "stream_registration": """WITH arrived AS (
+            SELECT ts, least(3, (day(ts) - 1) // 8 + CASE WHEN event_id % 7 = 3 THEN 1 ELSE 0 END) AS batch_id FROM events),
+        newest AS (SELECT batch_id, max(ts) AS newest FROM arrived GROUP BY batch_id),
+        marks AS (SELECT batch_id, max(newest) OVER (ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+            - INTERVAL 2 DAY AS w FROM newest)
+        SELECT batch_id, count(*) FILTER (WHERE w IS NULL OR ts >= w) AS "rows", count(*) FILTER (WHERE ts < w) AS late,
+            strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS watermark, 1 AS same
+        FROM arrived JOIN marks USING (batch_id) GROUP BY batch_id, w""",
+    "sketch_union": " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", count(*) AS "rows", count(*) - count({value}) AS missing, count(DISTINCT {value}) AS "distinct",
+            1 AS distinct_within, {median} AS median_within FROM orders"""
+        for name, value, median in (
+            ("o_orderkey", "o_orderkey", "1"), ("o_custkey", "o_custkey", "1"), ("o_orderstatus", "o_orderstatus", "NULL"),
+            ("o_totalprice", "o_totalprice", "1"), ("o_orderpriority", "o_orderpriority", "NULL"), ("day", "o_orderdate::DATE", "1"),
+        )
+    ),
+    "nested_versions": """SELECT unnest([0, 1, 2]) AS position, count(*) AS "rows", count(DISTINCT ts) AS "distinct", 2 AS versions FROM events""",
+    "as_of_price": f"""WITH known AS (
+            SELECT {_CROWDED.format('l_partkey')} AS part, l_shipdate::DATE AS shipped, max({_cents('l_extendedprice')}) AS cents FROM lineitem GROUP BY ALL),
+        asked AS (SELECT l_orderkey, l_linenumber, {_CROWDED.format('l_partkey')} AS part, o_orderdate::DATE AS ordered
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+        SELECT l_orderkey, l_linenumber, a.part, shipped::VARCHAR AS shipped, cents
+        FROM asked a ASOF LEFT JOIN known k ON a.part = k.part AND a.ordered >= k.shipped""",
+    "range_join_orders": """SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS next_orderkey FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey
+        AND b.o_orderdate::DATE BETWEEN a.o_orderdate::DATE + 1 AND a.o_orderdate::DATE + 30""",
+    "running_revenue": f"""SELECT o_orderkey, {_CROWDED.format('o_custkey')} AS customer,
+        (sum({_cents('o_totalprice')}) OVER (PARTITION BY {_CROWDED.format('o_custkey')} ORDER BY o_orderdate::DATE, o_orderkey
+         ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM orders""",
+    "percentiles_by_flag": " UNION ALL ".join(
+        f"""SELECT l_returnflag, '{name}' AS "column", unnest([0.1, 0.5, 0.95])::DOUBLE AS share, count(*) AS n,
+            unnest(quantile_disc({value}, [0.1, 0.5, 0.95])) AS value FROM lineitem GROUP BY l_returnflag"""
+        for name, value in (("cents", _cents("l_extendedprice")), ("quantity", "l_quantity::BIGINT"))
+    ),
+    "grouping_cube": """SELECT l_returnflag, status, year, grouping(l_returnflag, status, year) AS "grouping", count(*) AS "rows",
+        sum(quantity)::BIGINT AS sum_quantity, count(DISTINCT l_partkey) AS distinct_l_partkey
+        FROM (SELECT l_returnflag, nullif(l_linestatus, 'F') AS status, year(l_shipdate) AS year, l_partkey, l_quantity::BIGINT AS quantity FROM lineitem)
+        GROUP BY CUBE (l_returnflag, status, year)""",
+    "multiset_difference": f"""WITH a AS (SELECT flag, part, quantity, count(*) AS n FROM ({_LINES} FROM lineitem) GROUP BY ALL),
+        b AS (SELECT flag, part, quantity, count(*) AS n FROM ({_LINES} FROM lineitem WHERE l_linenumber <> 3
+            UNION ALL {_LINES} FROM lineitem WHERE l_linenumber = 5 AND l_returnflag = 'R') GROUP BY ALL)
+        SELECT CASE WHEN coalesce(a.n, 0) > coalesce(b.n, 0) THEN 'before' ELSE 'after' END AS side,
+            abs(coalesce(a.n, 0) - coalesce(b.n, 0)) AS copies, '{{"flag":"' || flag || '","item":[' || part || ',' || quantity || ']}}' AS "row"
+        FROM a FULL JOIN b USING (flag, part, quantity) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",
+    "lineage_closure": """WITH RECURSIVE following AS (
+            SELECT o_custkey, o_orderkey AS source, lead(o_orderkey) OVER w AS next, first_value(o_orderkey) OVER w AS first
+            FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+        edges AS (SELECT source, coalesce(next, CASE WHEN o_custkey % 10 = 0 THEN first END) AS target FROM following),
+        pairs AS (SELECT source, target FROM edges WHERE target IS NOT NULL
+            UNION SELECT p.source, e.target FROM pairs p JOIN edges e ON p.target = e.source WHERE e.target IS NOT NULL),
+        placed AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n,
+            count(*) OVER (PARTITION BY o_custkey) AS size, min(o_orderkey) OVER (PARTITION BY o_custkey) AS least FROM orders)
+        SELECT p.source, p.target, CASE WHEN b.n > a.n THEN b.n - a.n ELSE a.size + b.n - a.n END::INTEGER AS steps,
+            CASE WHEN a.o_custkey % 10 = 0 THEN a.least END AS cycle
+        FROM pairs p JOIN placed a ON p.source = a.o_orderkey JOIN placed b ON p.target = b.o_orderkey""",
+    "top_orders": """SELECT c_custkey, c_mktsegment, n::INTEGER AS rank, o_orderkey FROM customer LEFT JOIN LATERAL (
+        SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders
+        WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 3) ON true""",
+}
+
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _BASE + sql for name, sql in _COMMERCE.items()} | _DIRECT
+    return {name: _BASE + sql for name, sql in _COMMERCE.items()} | _DIRECT | _ORDERED

@@ -9,48 +9,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 EXACT = "decimal(38,0)"
+#: Nested values as JSON that keeps nulls and every microsecond, whatever the session's time zone.
+EXACT_JSON = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timeZone": "UTC",
+}
 
 
-def _plain(value: Column, data_type: T.DataType) -> Column:
+def plain(value: Column, data_type: T.DataType) -> Column:
     """The value with the entries of every map in the order of their keys."""
     if isinstance(data_type, T.MapType):
         entries = F.transform(
             F.map_entries(value),
             lambda e: F.struct(
-                _plain(e["key"], data_type.keyType).alias("key"), _plain(e["value"], data_type.valueType).alias("value")
+                plain(e["key"], data_type.keyType).alias("key"), plain(e["value"], data_type.valueType).alias("value")
             ),
         )
         return F.array_sort(entries)
     if isinstance(data_type, T.ArrayType):
-        return F.transform(value, lambda item: _plain(item, data_type.elementType))
+        return F.transform(value, lambda item: plain(item, data_type.elementType))
     if isinstance(data_type, T.StructType):
-        fields = [_plain(value.getField(f.name), f.dataType).alias(f.name) for f in data_type]
+        fields = [plain(value.getField(f.name), f.dataType).alias(f.name) for f in data_type]
         return F.when(value.isNotNull(), F.struct(*fields))
     return value
 
 
-def _hashable(field: T.StructField) -> Column:
+def hashable(field: T.StructField) -> Column:
     """Nested values as JSON, in which boundaries and nulls stay apart; others as they are."""
     value = F.col(f"`{field.name}`")
     if not isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
         return value
-    return F.to_json(F.struct(_plain(value, field.dataType).alias("v")), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(plain(value, field.dataType).alias("v")), EXACT_JSON)
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """One row ``(rows, fingerprint)``: equal for tables with the same schema and rows.
+def row_states(df: DataFrame) -> DataFrame:
+    """One row ``(rows, first, second)``: what a fingerprint is made of. It adds up over parts of a table.
 
     Two independent 64-bit hashes are taken of every row. Nulls take part through flags of
     their own because the row hash skips them.
     """
-    values = [_hashable(f) for f in df.schema]
+    values = [hashable(f) for f in df.schema]
     nulls = [F.col(f"`{f.name}`").isNull() for f in df.schema if f.nullable]
     halves = [F.xxhash64(F.lit(salt), *values, *nulls).cast(EXACT) for salt in (0, 1)]
     sums = [F.coalesce(F.sum(half), F.lit(0).cast(EXACT)) for half in halves]
-    totals = df.agg(F.count("*").alias("rows"), sums[0].alias("first"), sums[1].alias("second"))
-    schema_text = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)
-    digest = F.sha2(F.concat_ws("|", F.lit(schema_text), "rows", "first", "second"), 256)
-    return totals.select("rows", digest.alias("fingerprint"))
+    return df.agg(F.count("*").alias("rows"), sums[0].alias("first"), sums[1].alias("second"))
+
+
+def digest_of(schema: T.StructType) -> Column:
+    """The fingerprint of a table of this schema, of columns ``rows``, ``first`` and ``second``."""
+    text = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema)
+    return F.sha2(F.concat_ws("|", F.lit(text), "rows", "first", "second"), 256)
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """One row ``(rows, fingerprint)``: equal for tables with the same schema and rows."""
+    return row_states(df).select("rows", digest_of(df.schema).alias("fingerprint"))
 
 
 def md5_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F, types as T
 
+from .hashing import EXACT_JSON
+
 # The bounds of a preview and the shape of a provider secret.
 PREVIEW_CHARS = 2000
 PREVIEW_ITEMS = 50
@@ -55,7 +57,7 @@ def row_json(schema: T.StructType, preview: bool = False) -> Column:
         if preview:
             value = bounded(value, field.dataType)
         values.append(lossless(value, field.dataType).alias(field.name))
-    return F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(*values), EXACT_JSON)
 
 
 def redact(

@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.hashing import EXACT_JSON, hashable, plain
 from ..functions.text import bounded, row_json
 from ..session import small_frame
 
@@ -18,6 +19,9 @@ PROFILE_FIELDS = (
 )
 
 
+_JSON_OPTIONS = ", ".join(f'"{k}", "{v}"' for k, v in EXACT_JSON.items())
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -35,14 +39,12 @@ def _comparable(field: T.StructField) -> tuple[str, str]:
         return "double", f"cast({value} as double)"
     if isinstance(kind, T.BinaryType):
         text = f"hex({value})"
-    elif isinstance(kind, T.MapType):
-        text = f"to_json(array_sort(map_entries({value})))"
     elif isinstance(kind, (T.StructType, T.ArrayType)):
-        text = f"to_json({value})"
+        text = f"to_json({value}, map({_JSON_OPTIONS}))"
     else:
         text = f"cast({value} as string)"
     # A long text is counted by its SHA-256, longer by its mark than any text counted as it is.
-    if isinstance(kind, (T.StringType, T.BinaryType, T.MapType, T.StructType, T.ArrayType)):
+    if isinstance(kind, (T.StringType, T.BinaryType, T.StructType, T.ArrayType)):
         text = f"if(octet_length({text}) > {LONG_TEXT}, concat('#', sha2({text}, 256)), {text})"
     return "string", text
 
@@ -54,6 +56,9 @@ def value_counts(df: DataFrame) -> DataFrame:
     per column. Both aggregates combine before they shuffle, so neither a frequent value nor
     a long column ends up whole in one task.
     """
+    # Maps in the order of their keys, at every depth.
+    nested = {f.name: plain(F.col(_quoted(f.name)), f.dataType) for f in df.schema if isinstance(f.dataType, (T.MapType, T.StructType, T.ArrayType))}
+    df = df.select([nested.get(c, F.col(_quoted(c))).alias(c) for c in df.columns])
     kinds: dict[str, list[str]] = {}
     for i, field in enumerate(df.schema):
         kind, value = _comparable(field)
@@ -116,9 +121,12 @@ def sample_rows(df: DataFrame, order_key: str | list[str], n: int = 10) -> DataF
 def kept_rows(df: DataFrame) -> list[str]:
     """30 rows of a written table as previewed JSON texts, to keep with its profile.
 
-    The first in the order of a hash of the text, so that the same rows give the same sample.
+    The first in the order of a hash of their values, so that the same rows give the same sample. Only
+    these are turned to JSON.
     """
-    return [r["row"] for r in json_rows(df).orderBy(F.xxhash64("row"), "row").limit(KEPT_ROWS).collect()]
+    code = F.xxhash64(*[hashable(f) for f in df.schema])
+    first = df.select(F.struct("*").alias("row"), code.alias("code")).orderBy("code").limit(KEPT_ROWS).select("row.*")
+    return sorted(r["row"] for r in json_rows(first).collect())
 
 
 def preview(df: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def run_pipeline(
     """
     unknown = set(parameters or {}) - set(pipeline.parameters)
     if unknown:
-        raise ValueError(f"Unknown pipeline parameters: {sorted(unknown)}")
+        raise ValueError(f"The pipeline declares no such values: {sorted(unknown)}")
     values = pipeline.parameters | (parameters or {})
     bound = resolve_inputs(ws, list(pipeline.sources), inputs)
     run_id = uuid.uuid4().hex
@@ -236,7 +236,7 @@ def record_evidence(ws: Workspace, run_id: str, step: str, key: dict) -> str:
     """Store as a finding the one row of a successful run's artifact that has the given key."""
     state = current_states(run_table(ws, "events", run_id)).where("step is null").first()
     if state is None or state["status"] != "successful":
-        raise ValueError("Findings need a successful run")
+        raise ValueError("Evidence is only taken from a run that succeeded")
     found = evidence_row(artifact(ws, run_id, step), key)
     rows = found.select(row_json(found.schema).alias("row")).limit(2).collect()
     if len(rows) != 1:
@@ -334,7 +334,7 @@ def compare_runs(
     """Compare inputs, definitions and, if both runs succeeded, outputs per key."""
     a, b = (run_table(ws, "runs", run).first() for run in (before, after))
     if a is None or b is None:
-        raise ValueError("Run not found in this workspace")
+        raise ValueError("One of the runs is not of this workspace")
     states = [current_states(run_table(ws, "events", run)).where("step is null").first() for run in (before, after)]
     outputs, message = None, None
     if all(s["status"] == "successful" for s in states):

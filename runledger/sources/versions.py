@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from ..functions.hashing import fingerprint
 from ..operators.contracts import COLUMN_PATTERN
 from ..operators.profile import PROFILE_FIELDS, SAMPLE_ROWS, kept_rows, profile
+from ..operators.sketches import SKETCH_FIELDS, column_sketches
 from ..session import small_frame
 from .readers import read_source, suffix_of
 from .tables import append_rows, discard, materialize, read_rows
@@ -71,13 +72,13 @@ def require_columns(df: DataFrame) -> None:
     """At least one column, all of them identifiers and unique ignoring case."""
     names = df.columns
     if not names or len({n.lower() for n in names}) < len(names):
-        raise ValueError("Columns must have unique names, ignoring case")
+        raise ValueError("A source needs columns, no two of which differ by case alone")
     bad = [n for n in names if not re.fullmatch(COLUMN_PATTERN, n)]
     if bad:
-        raise ValueError(f"Column names must be identifiers: {bad}")
+        raise ValueError(f"These columns cannot be named in SQL without quotes: {bad}")
 
 
-def _history(ws: Workspace, source: str, digest: str) -> tuple[Row | None, int]:
+def known_version(ws: Workspace, source: str, digest: str) -> tuple[Row | None, int]:
     """The earliest version with this content, if any, and the last sequence number."""
     rows = versions(ws, source)
     same = F.when(F.col("digest") == digest, F.struct("seq", "version_id"))
@@ -98,19 +99,33 @@ def _register(ws: Workspace, source: str, df: DataFrame, origin: str) -> Row:
     path = ws.data(f"source={source}", f"version={attempt}")
     table = materialize(df, path)
     digest = fingerprint(table).first()["fingerprint"]
-    known, seq = _history(ws, source, digest)
+    known, seq = known_version(ws, source, digest)
     if known:
         discard(ws.spark, path)
         return known
-    version_id = f"{digest[:16]}-{attempt}"
-    columns = profile_rows(table)
-    origin = origin.rstrip("/").rsplit("/", 1)[-1]
-    now = datetime.now(timezone.utc)
-    row = (digest, origin, path, columns[0]["rows"], table.schema.json(), columns, kept_rows(table), now, seq + 1)
-    folder = f"{ws.table('versions')}/{_part(ws, source)}/version_id={version_id}"
-    append_rows(ws.spark, [row], VERSION_FACTS, folder)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        profiled, sample = pool.submit(profile_rows, table), pool.submit(kept_rows, table)
+        facts = (origin.rstrip("/").rsplit("/", 1)[-1], path, table.schema.json(), profiled.result(), sample.result())
+    return add_version(ws, source, digest, seq, *facts, column_sketches(table))
+
+
+def add_version(
+    ws: Workspace, source: str, digest: str, seq: int, origin: str, path: str, schema_json: str, columns: list[dict], sample: list[str], sketches: DataFrame
+) -> Row:
+    """Record what has been written at ``path`` as a version after number ``seq``; its sketches come first."""
+    version_id = f"{digest[:16]}-{uuid.uuid4().hex[:12]}"
+    part = f"{_part(ws, source)}/version_id={version_id}"
+    append_rows(ws.spark, sketches, SKETCH_FIELDS, f"{ws.table('sketches')}/{part}")
+    row = (digest, origin, path, columns[0]["rows"], schema_json, columns, sample, datetime.now(timezone.utc), seq + 1)
+    append_rows(ws.spark, [row], VERSION_FACTS, f"{ws.table('versions')}/{part}")
     # Another writer may have been first with the same content: the earliest row counts.
-    return _history(ws, source, digest)[0]
+    return known_version(ws, source, digest)[0]
+
+
+def version_sketches(ws: Workspace, source: str | None = None) -> DataFrame:
+    """The stored sketches of all versions, or of those of one source: one row a version and column."""
+    schema = f"{SKETCH_FIELDS}, workspace_id string, source string, version_id string"
+    return read_rows(ws.spark, schema, ws.table("sketches"), _part(ws, source))
 
 
 def profile_rows(df: DataFrame) -> list[dict]:
@@ -207,5 +222,5 @@ def resolve_inputs(ws: Workspace, declared: list[str], mapping: dict[str, str])
     bound = bind_versions(names, given, versions(ws)).collect()
     bad = [f"{r['input']}: {r['problem']}" for r in bound if r["problem"]]
     if bad:
-        raise ValueError(f"Map every declared input to one version of this workspace: {bad}")
+        raise ValueError(f"Inputs without a version here, or that no step reads: {bad}")
     return {r["input"]: r for r in bound}
