@@ -88,34 +88,48 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         edges = merged
 
 
-#: Bits of the map that keeps unneeded texts out of a shuffle: 131,072 words at any input size.
-MAP_BITS = 1 << 23
+#: Bits of the map that keeps unneeded texts out of a shuffle: 16 for each key, between these.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 26
 
 
 class KeyMap:
-    """A bitmap of hashed long keys, of fixed size, for tasks that read texts by key.
+    """A bitmap of hashed long keys, of bounded size, for tasks that read texts by key.
 
     ``kept`` drops rows whose key is surely not among the keys; some others stay, so a join must
-    follow. It only saves shuffling texts that the join would drop.
+    follow. It only saves shuffling texts that the join would drop. ``keys`` should be a written table.
     """
 
     def __init__(self, keys: DataFrame, column: str):
-        bits = keys.select(F.pmod(F.xxhash64(column), F.lit(MAP_BITS)).cast("int").alias("bit"))
-        words = np.zeros(MAP_BITS // 64, np.int64)
-        for row in bits.selectExpr("shiftright(bit, 6) w", "shiftleft(1L, bit & 63) m").groupBy("w").agg(F.bit_or("m").alias("m")).collect():
-            words[row["w"]] = row["m"]
+        count = keys.count()
+        self.bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * count).bit_length()))
+        bits = keys.select(self._place(column).alias("bit"))
+        parts = bits.selectExpr("shiftright(bit, 6) w", "shiftleft(1L, bit & 63) m").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+        words = np.zeros(self.bits // 64, np.int64)
+        words[parts.column("w").to_numpy()] = parts.column("m").to_numpy()
         self.column, self.sent = column, keys.sparkSession.sparkContext.broadcast(words)
 
+    def _place(self, column: str):
+        return F.pmod(F.xxhash64(column), F.lit(self.bits)).cast("int")
+
     def coded(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the place of each key in the bitmap, which ``kept`` takes away."""
-        return rows.withColumn("__bit", F.pmod(F.xxhash64(self.column), F.lit(MAP_BITS)))
+        return rows.withColumn("__bit", self._place(self.column))
 
     @staticmethod
-    def kept(sent, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(sent, batches: Iterable[pa.RecordBatch], inside: bool = True) -> Iterator[pa.RecordBatch]:
+        """The rows that may be among the keys, or those that surely are not."""
         for batch in batches:
             bit = batch.column("__bit").to_numpy()
             hit = (sent.value[bit >> 6] >> (bit & 63)) & 1 == 1
-            yield batch.drop_columns(["__bit"]).filter(pa.array(hit))
+            yield batch.drop_columns(["__bit"]).filter(pa.array(hit == inside))
+
+    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``rows`` that may be among the keys, and the others."""
+        sent = self.sent
+        some, rest = (
+            self.coded(rows).mapInArrow(lambda batches, inside=inside: KeyMap.kept(sent, batches, inside), rows.schema) for inside in (True, False)
+        )
+        return some, rest
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -136,9 +136,7 @@ def _anchor_rows(texts: DataFrame, length: int) -> DataFrame:
 def _hit_texts(rows: DataFrame, places: DataFrame) -> DataFrame:
     """``(number, text, places)`` of the texts with shared anchors, from one row of each."""
     wanted = places.select("number", "rep", "places")
-    map_of = KeyMap(places, "number")
-    sent = map_of.sent
-    likely = map_of.coded(rows).mapInArrow(lambda batches: KeyMap.kept(sent, batches), rows.schema)
+    likely, _ = KeyMap(places, "number").split(rows)
     return likely.join(wanted, ["number"]).where("id <=> rep").select("number", "text", "places")
 
 
@@ -353,11 +351,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_bytes, n_removed, n_spans, kept_sha256, spans)`` for each row of ``docs``.
+    """``(id, n_bytes, n_removed, n_spans, kept_sha256, spans, text)`` for each row of ``docs``.
 
     Removes each byte covered by a string of ``length`` bytes that starts anywhere else too. Null
     texts count as empty. Rows that repeat an id are rows of their own. ``spans`` are the removed
-    byte ranges. Texts shorter than ``length`` lose nothing. Other columns are ignored; an empty
+    byte ranges, ``text`` is what is left; a character that was cut in two shows as U+FFFD there, while
+    ``kept_sha256`` is of the bytes. Texts shorter than ``length`` lose nothing. Other columns are ignored; an empty
     table gives an empty result.
     """
     if length < 2 * ANCHOR:
@@ -375,10 +374,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     )
     long = rows.where(F.octet_length("text") >= length).withColumn("digest", digest).select("id", number.alias("number"), "text")
     found = scratch.keep(_anchor_rows(long.select("number", "text"), length), "anchors")
-    # By anchor alone, so that rows of copies can be merged and anchors counted in one shuffle.
-    one = found.where("not again").select("anchor", "number", "place").repartition("anchor").distinct()
-    shared = one.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    places = one.join(shared.select("anchor"), "anchor", "left_semi").groupBy("number").agg(F.collect_list("place").alias("places"))
+    # An anchor is shared if it has two places; rows of copies have one. Combined before the shuffle.
+    one = found.where("not again").select("anchor", "number", "place")
+    ends = [f(c).alias(f"{c}_{k}") for c in ("number", "place") for k, f in enumerate((F.min, F.max))]
+    shared = one.groupBy("anchor").agg(*ends).where("number_0 <> number_1 OR place_0 <> place_1").select("anchor")
+    shared = scratch.keep(shared, "shared")
+    likely, _ = KeyMap(shared, "anchor").split(one)
+    places = likely.join(shared, "anchor", "left_semi").groupBy("number").agg(F.collect_set("place").alias("places"))
     places = scratch.keep(places.join(kinds.select("number", "rep"), "number"), "places")
     hits = scratch.keep(_hit_texts(long, places), "hits")
     again = found.where("again").select(
@@ -397,28 +399,44 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                 keep = np.ones(len(own), bool)
                 for a, b in runs:
                     keep[a:b] = False
-                out.append((int((~keep).sum()), len(runs), hashlib.sha256(own[keep].tobytes()).hexdigest(), [{"begin": a, "end": b} for a, b in runs]))
-            columns = list(zip(*out, strict=True)) if out else [()] * 4
+                rest = own[keep].tobytes()
+                out.append((int((~keep).sum()), len(runs), hashlib.sha256(rest).hexdigest(), [{"begin": a, "end": b} for a, b in runs], rest.decode(errors="replace")))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
             kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("number"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], kind)],
-                ["number", "n_removed", "n_spans", "kept_sha256", "spans"],
+                [batch.column("number"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], kind), pa.array(columns[4], pa.string())],
+                ["number", "n_removed", "n_spans", "kept_sha256", "spans", "kept"],
             )
 
     stripped = scratch.keep(
         hits.join(spans, "number").select("number", "text", "spans")
-        .mapInArrow(strip, "number long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>"),
+        .mapInArrow(strip, "number long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin: long, end: long>>, kept string"),
         "stripped",
     )
     whole = (F.col("copies") > 1) & (F.col("bytes") >= length)
     all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.col("bytes").alias("end")))
     verdict = kinds.join(stripped.dropDuplicates(["number"]), "number", "left").select(
         "digest",
+        "number",
         F.when(whole, F.col("bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
         F.when(whole, all_of_it).otherwise(F.col("spans")).alias("spans"),
+        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"),
     )
-    return brief.join(verdict, "digest").select(
-        F.col("id").alias(id_col), F.col("bytes").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "spans"
+    changed = scratch.keep(verdict.where("n_removed > 0"), "changed")
+    # Only texts that may lose bytes meet what is left of them; the others stay where they are.
+    every = rows.withColumn("digest", digest).select("id", number.alias("number"), "digest", "text")
+    some, rest = KeyMap(changed, "number").split(every)
+    joined = some.join(changed.drop("number"), "digest", "left")
+    nothing = [F.lit(None).cast(changed.schema[c].dataType).alias(c) for c in ("n_removed", "n_spans", "kept_sha256", "spans", "kept")]
+    either = joined.select("id", "digest", "text", "n_removed", "n_spans", "kept_sha256", "spans", "kept").unionAll(rest.select("id", "digest", "text", *nothing))
+    return either.select(
+        F.col("id").alias(id_col),
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("kept_sha256", "digest").alias("kept_sha256"),
+        "spans",
+        F.coalesce("kept", "text").alias(text_col),
     )
