@@ -189,6 +189,10 @@ def _words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[np.n
         place -= np.repeat(own.astype(np.int32), np.diff(np.append(own, len(part))))
         values = values_of[part]
         values *= _PLACE_VALUES[place & 0xFFFF]
+        far = np.flatnonzero(place >> 16)
+        if len(far):
+            # Further parts of a long word have factors of their own.
+            values[far] *= mix((place[far] >> 16).astype(np.uint64) * _STEP) | np.uint64(1)
         hashes[lo:hi] = mix(np.add.reduceat(values, own))
         lo = hi
     return hashes, np.searchsorted(starts, offsets)

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from .common import KeyMap, Scratch, batches_of, components, list_array, shingles, string_bytes, word_hashes
 
@@ -218,15 +217,13 @@ def jaccard_components(
     filled = sketches.where("n > 0 and id is not null")
     classes = scratch.keep(filled.groupBy("n", "one", "two").agg(F.min("id").alias("rep")), "classes")
     first = filled.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
-    order = Window.partitionBy("token").orderBy("pos", "n", "id")
-    postings = scratch.keep(
-        first.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-        .withColumn("center", F.first(F.struct("id", "n", "pos")).over(order))
-        .withColumn("after", F.lead("id").over(order))
-        .where("after is not null or center.id <> id or center.pos <> pos")
-        .select("token", F.struct("id", "n", "pos").alias("own"), "center"),
-        "postings",
-    )
+    every = first.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    # The first posting of each token that has two or more; counted before the shuffle.
+    centers = every.groupBy("token").agg(F.min(F.struct("pos", "n", "id")).alias("c"), F.count("*").alias("held")).where("held > 1")
+    centers = scratch.keep(centers.select("token", F.struct("c.id", "c.n", "c.pos").alias("center")), "centers")
+    shared, _ = KeyMap(centers, "token").split(every)
+    postings = shared.join(centers, "token").select("token", F.struct("id", "n", "pos").alias("own"), "center")
+    postings = scratch.keep(postings, "postings")
     links = None
     for turn in ("star", "cross"):
         if turn == "star":

@@ -109,3 +109,11 @@ def test_vectors_repeated_rows_and_empty_table(spark):
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_dedup.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 0, None)], key=repr)
     assert vector_dedup.near_duplicates(df.where("vec_id > 9")).count() == 0
+
+
+def test_long_words_differ_wherever_they_differ(spark):
+    """Words that swap bytes 65,536 places apart are different words."""
+    words = ["a" + "x" * 65_535 + "b", "b" + "x" * 65_535 + "a", "a" + "x" * 65_535 + "b", "b" + "x" * 131_071 + "a", "a" + "x" * 131_071 + "b"]
+    docs = spark.createDataFrame(list(enumerate(words, 1)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in shingle_join.jaccard_components(docs, 4, (85, 100)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
