@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Decimal digits kept for metrics whose type names none: doubles and numeric texts.
-FREE_SCALE = 18
+# Digits of the decimals that a comparison works with, where all values fit.
+DIGITS = 37
+#: A numeric text: digits before the point, behind it, and an exponent.
+_NUMBER = r"^\s*[+-]?0*([0-9]*)[.]?([0-9]*?)0*(?:[eE]([+-]?[0-9]+))?[dDfF]?\s*$"
 
 
 class ComparisonError(ValueError):
@@ -62,15 +64,6 @@ def pipeline_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def _scale(*sides: tuple[DataFrame, str]) -> int:
-    """Decimal places that both sides are brought to."""
-    scales = []
-    for df, metric in sides:
-        kind = df.schema[metric].dataType
-        scales.append(0 if isinstance(kind, T.IntegralType) else kind.scale if isinstance(kind, T.DecimalType) else FREE_SCALE)
-    return max(scales)
-
-
 def _is_number(df: DataFrame, metric: str) -> Column:
     """Whether the metric is a number: present, finite, and if it is text, one that reads as such."""
     value, kind = df[metric], df.schema[metric].dataType
@@ -80,17 +73,32 @@ def _is_number(df: DataFrame, metric: str) -> Column:
     return F.coalesce(~F.isnan(read) & (F.abs(read) < float("inf")), F.lit(False))
 
 
-def _number(df: DataFrame, metric: str, scale: int) -> Column:
-    """The metric as a decimal of this scale; null where it is no number or would lose a digit."""
+def _digits(df: DataFrame, metric: str) -> tuple[Column, Column]:
+    """Digits before and behind the point that a number needs to be kept as it is; null for none."""
     value, kind = df[metric], df.schema[metric].dataType
-    exact = value.try_cast(f"decimal(37,{scale})")
-    if isinstance(kind, (T.IntegralType, T.DecimalType)):
-        return exact
-    kept = exact.cast("double") == value.try_cast("double")
-    if isinstance(kind, T.StringType):
-        places = F.length(F.regexp_extract(value, r"[.]([0-9]*?)0*\s*$", 1))
-        kept = kept & (places <= scale)
-    return F.when(kept, exact)
+    if isinstance(kind, T.IntegralType):
+        return F.when(value.isNotNull(), F.length(F.abs(value.cast("decimal(38,0)")).cast("string"))), F.lit(0)
+    if isinstance(kind, T.DecimalType):
+        whole = F.length(F.abs(F.floor(F.abs(value))).cast("string"))
+        return F.when(value.isNotNull(), whole), F.lit(kind.scale)
+    text = value.cast("string")
+    part = [F.regexp_extract(text, _NUMBER, k) for k in (1, 2, 3)]
+    power = F.coalesce(part[2].try_cast("int"), F.lit(0))
+    # Without digits before the point an exponent only fills zeros behind it first.
+    before = F.greatest(F.length(part[0]) + power, F.lit(1))
+    behind = F.greatest(F.length(part[1]) - power, F.lit(0))
+    good = _is_number(df, metric)
+    return F.when(good, before), F.when(good, behind)
+
+
+def _number(df: DataFrame, metric: str, kind: str) -> Column:
+    """The metric in the type of the comparison."""
+    value = df[metric]
+    if isinstance(df.schema[metric].dataType, T.StringType):
+        value = F.regexp_replace(F.trim(value), "[dDfF]$", "")
+    if isinstance(df.schema[metric].dataType, (T.FloatType, T.DoubleType)) and kind != "double":
+        value = value.cast("string")
+    return value.try_cast(kind)
 
 
 def _require(before: DataFrame, after: DataFrame, key: str, metric: str) -> None:
@@ -111,20 +119,19 @@ def key_guard(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def _per_key(before: DataFrame, after: DataFrame, key: str, unit: str, metric: str | None = None) -> DataFrame:
-    """Copies and unit of every key and side, and metrics that are no numbers or do not fit, as one aggregate.
+    """Copies and unit of every key and side, metrics that are no numbers, and digits that the others need, as one aggregate.
 
     Aggregated per key, not joined, so that repeated keys cannot multiply.
     """
     sides = []
-    scale = _scale((before, metric), (after, metric)) if metric else 0
     for side, df in (("before", before), ("after", after)):
         value = F.col(unit).cast("string") if unit in df.columns else F.lit(None).cast("string")
         good = _is_number(df, metric) if metric else F.lit(True)
-        fits = _number(df, metric, scale).isNotNull() if metric else F.lit(True)
+        whole, places = _digits(df, metric) if metric else (F.lit(0), F.lit(0))
         sides.append(
             df.select(
                 F.lit(side).alias("side"), F.col(key).alias("key"), value.alias("unit"),
-                (~good).alias("bad"), (good & ~fits).alias("wide"),
+                (~good).alias("bad"), whole.alias("whole"), places.alias("places"),
             )
         )
     is_before, is_after = F.col("side") == "before", F.col("side") == "after"
@@ -134,7 +141,8 @@ def _per_key(before: DataFrame, after: DataFrame, key: str, unit: str, metric: s
         F.max(F.when(is_before, F.col("unit"))).alias("before_unit"),
         F.max(F.when(is_after, F.col("unit"))).alias("after_unit"),
         F.count_if("bad").alias("bad"),
-        F.count_if("wide").alias("wide"),
+        F.max("whole").alias("whole"),
+        F.max("places").alias("places"),
     )
 
 
@@ -160,10 +168,11 @@ def numeric_guard(before: DataFrame, after: DataFrame, key: str, metric: str) ->
     return parts[0].union(parts[1])
 
 
-def guard_outputs(before: DataFrame, after: DataFrame, key: str, metric: str, unit: str) -> None:
-    """Raise unless keys are unique, units agree and metrics are numbers.
+def guard_outputs(before: DataFrame, after: DataFrame, key: str, metric: str, unit: str) -> str:
+    """The type to compare in; an error unless keys are unique, units agree and metrics are numbers.
 
-    One pass over key, unit and metric, with one row as its answer.
+    One pass over key, unit and metric, with one row as its answer. The type is a decimal that holds
+    every value of both sides and their difference as they are, or double where none does.
     """
     _require(before, after, key, metric)
     found = (
@@ -172,7 +181,8 @@ def guard_outputs(before: DataFrame, after: DataFrame, key: str, metric: str, un
             F.count_if(F.expr("before_copies > 1 OR after_copies > 1")).alias("repeated"),
             F.count_if(F.expr(MIXED_UNITS)).alias("mixed"),
             F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"),
-            F.coalesce(F.sum("wide"), F.lit(0)).alias("wide"),
+            F.coalesce(F.max("whole"), F.lit(1)).alias("whole"),
+            F.coalesce(F.max("places"), F.lit(0)).alias("places"),
         )
         .first()
     )
@@ -182,8 +192,8 @@ def guard_outputs(before: DataFrame, after: DataFrame, key: str, metric: str, un
         raise ComparisonError(f"Outputs with different {unit} cannot be compared")
     if found["bad"]:
         raise ComparisonError("Some values of the metric are not numbers")
-    if found["wide"]:
-        raise ComparisonError("Overflow: some values of the metric have too many digits to be compared exactly")
+    fits = found["whole"] + found["places"] <= DIGITS
+    return f"decimal({DIGITS},{found['places']})" if fits else "double"
 
 
 def compare_outputs(
@@ -195,18 +205,18 @@ def compare_outputs(
 ) -> DataFrame:
     """Rows ``(key, before, after, delta, before_row, after_row)``, one per key of either side.
 
-    An absent side counts as 0; a null key is a key. Numbers are exact decimals: the outputs are
-    checked first, at the scale that is used here, so a present value is never rounded or lost.
+    An absent side counts as 0; a null key is a key. Numbers are exact decimals with as many places
+    as the values have, found when the outputs are checked. Where the values of both sides together
+    need more than 37 digits, all are doubles, each the nearest to its value or difference.
     """
-    guard_outputs(before, after, key, metric, unit)
-    scale = _scale((before, metric), (after, metric))
+    kind = guard_outputs(before, after, key, metric, unit)
     a = before.select(
-        F.col(key).alias("_ka"), _number(before, metric, scale).alias("_a"), F.struct("*").alias("before_row")
+        F.col(key).alias("_ka"), _number(before, metric, kind).alias("_a"), F.struct("*").alias("before_row")
     )
     b = after.select(
-        F.col(key).alias("_kb"), _number(after, metric, scale).alias("_b"), F.struct("*").alias("after_row")
+        F.col(key).alias("_kb"), _number(after, metric, kind).alias("_b"), F.struct("*").alias("after_row")
     )
-    zero = F.lit(0).cast(f"decimal(37,{scale})")
+    zero = F.lit(0).cast(kind)
     old = F.when(F.col("before_row").isNull(), zero).otherwise(F.col("_a"))
     new = F.when(F.col("after_row").isNull(), zero).otherwise(F.col("_b"))
     return a.join(b, F.col("_ka").eqNullSafe(F.col("_kb")), "full").select(

@@ -324,13 +324,19 @@ def test_last_event_wins(spark):
     assert (row["status"], row["error"]) == ("failed", "why")
 
 
-def test_comparison_is_exact_or_refused(spark):
+def test_comparison_takes_any_number(spark):
     big = frame(spark, [(1, Decimal(10**25))], "k bigint, m decimal(30,0)")
     small = frame(spark, [(1, 1.5)], "k bigint, m double")
-    with pytest.raises(ComparisonError, match="Overflow"):
-        compare_outputs(big, small, "k", "m")
-    with pytest.raises(ComparisonError, match="Overflow"):
-        compare_outputs(small, frame(spark, [(1, 1e-25)], "k bigint, m double"), "k", "m")
+    tiny = frame(spark, [(1, 1e-25)], "k bigint, m double")
+    assert compare_outputs(big, small, "k", "m").first()["delta"] == Decimal("1.5") - 10**25
+    assert compare_outputs(small, tiny, "k", "m").first()["delta"] == Decimal("1e-25") - Decimal("1.5")
+    # More digits than a decimal has: doubles.
+    huge = frame(spark, [(1, 1e300), (2, -3e19), (3, 5e-324)], "k bigint, m double")
+    got = {r["key"]: (r["before"], r["after"], r["delta"]) for r in compare_outputs(huge, tiny, "k", "m").collect()}
+    assert got == {1: (1e300, 1e-25, -1e300), 2: (-3e19, 0.0, 3e19), 3: (5e-324, 0.0, -5e-324)}
+    texts = frame(spark, [(1, " +007.250 "), (2, "-.5"), (3, "25e-3"), (4, "0"), (5, "1.5d")], "k bigint, m string")
+    got = {r["key"]: r["before"] for r in compare_outputs(texts, small, "k", "m").collect()}
+    assert got == {1: Decimal("7.25"), 2: Decimal("-0.5"), 3: Decimal("0.025"), 4: 0, 5: Decimal("1.5")}
     with pytest.raises(ComparisonError, match="not numbers"):
         compare_outputs(small, frame(spark, [(1, float("nan"))], "k bigint, m double"), "k", "m")
     row = compare_outputs(big, frame(spark, [(1, Decimal(1)), (2, Decimal(7))], "k bigint, m decimal(30,0)"), "k", "m")
