@@ -121,11 +121,11 @@ def test_language_model_is_the_counts(spark):
     assert np.allclose(np.exp(model.priors), [docs[k] / docs.total() for k in sorted(WORDS)])
     text = "water house mit der"
     own = language.bin_counts(text)
-    want = [math.log(docs[k] / docs.total()) + own @ model.weights[:, j] for j, k in enumerate(sorted(WORDS))]
-    assert np.allclose(language.scores([text], model)[0], want, atol=1e-3)
+    want = [math.log(docs[k] / docs.total()) + own @ model.block(0, language.BLOCK)[:, j] for j, k in enumerate(sorted(WORDS))]
+    assert np.allclose(language.scores([text], model.block(0, language.BLOCK), model.priors)[0], want, atol=1e-3)
     # Joined training texts share one space at each joint; bins that hold none of it agree exactly.
     share = (counts["en"] + 0.5) / (counts["en"].sum() + 0.5 * language.BINS)
-    assert abs(np.exp(model.weights[:, 1]) - share).max() < 0.02
+    assert abs(np.exp(model.block(0, language.BLOCK)[:, 1]) - share).max() < 0.02
 
 
 def test_bins_do_not_depend_on_parts(monkeypatch):
@@ -133,3 +133,23 @@ def test_bins_do_not_depend_on_parts(monkeypatch):
     whole = language.bin_counts(text)
     monkeypatch.setattr(language, "_PART", 17)
     assert (language.bin_counts(text) == whole).all()
+
+
+def test_many_languages_in_blocks(spark, monkeypatch):
+    """Blocks of a few languages give what one matrix gives; texts of a batch do not mix."""
+    import random
+
+    rng = random.Random(4)
+    alphabets = {f"l{k:02}": [chr(0x4E00 + 40 * k + i) if k % 2 else rng.choice("abcdefghijklmnop") * 2 for i in range(12)] for k in range(23)}
+    rows = [(k, "".join(rng.choices(alphabets[f"l{k % 23:02}"], k=rng.choice([1, 5, 40, 400]))), f"l{k % 23:02}") for k in range(400)]
+    rows += [(1000, None, "l01"), (1001, "123", "l01"), (1002, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(df).collect()}
+    monkeypatch.setattr(language, "BLOCK", 5)
+    parts = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(df).collect()}
+    assert {i: r[0] for i, r in whole.items()} == {i: r[0] for i, r in parts.items()}
+    assert all(abs(whole[i][1] - parts[i][1]) < 1e-9 for i in whole)
+    texts = [t for _, t, _ in rows[:50]]
+    weights, priors = np.random.default_rng(1).random((language.BINS, 7)).astype(np.float32), np.zeros(7)
+    alone = np.concatenate([language.scores([t], weights, priors) for t in texts])
+    assert np.allclose(language.scores(texts, weights, priors), alone) and np.allclose(alone[3], sum(language.bin_counts(texts[3])[b] * weights[b] for b in range(language.BINS)), rtol=1e-4)
