@@ -13,7 +13,8 @@ BLOCK = (
     "table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center hr dialog menu"
 ).split()
 # A head is not among the skipped: its end tag may be left out, and what it holds is skipped by itself.
-SKIPPED = "script style noscript template svg iframe object title textarea select button canvas audio video map".split()
+# Skipped is what a browser does not show as text, and the controls of forms.
+SKIPPED = "script style noscript template svg iframe title textarea select button canvas audio video".split()
 VOID = "hr br img input meta link area base col embed source track wbr".split()
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ()}
 #: Words in class, id and role values that tell what a node is for.
@@ -29,13 +30,86 @@ _BLOCK_AT = {t: k + 1 for k, t in enumerate(BLOCK)}
 _SKIPPED = frozenset(SKIPPED)
 _VOID = frozenset(VOID)
 _NOISE, _CONTENT = frozenset(NOISE_WORDS), frozenset(CONTENT_WORDS)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|!--|[!?/])")
+_GAP = re.compile(r"[\s/]*")
+_NAME = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 FEATURES = 30
 
 
+class _Tags:
+    """The tags of a page in order, read once from left to right, as a browser's tokenizer reads them.
+
+    A quoted value ends at its quote alone. A tag whose quote is never closed ends at the next ``>``;
+    a tag that nothing ends is text. What is known to be missing ahead is looked for once only, so
+    the time follows the length of the page.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self._missing: set[str] = set()
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self._missing:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self._missing.add(what)
+        return found
+
+    def __iter__(self):
+        """``(begin, end, slash, name, attributes)``; of comments and the like the name is None."""
+        at = 0
+        while match := _START.search(self.html, at):
+            begin, at = match.start(), match.end()
+            name = match.group(2)
+            if name is None:
+                if match.group() == "<!--":
+                    close = self._find("-->", at)
+                    at = len(self.html) if close < 0 else close + 3
+                elif begin < self.last:
+                    at = self.html.find(">", at) + 1
+                else:
+                    continue
+                yield begin, at, "", None, ()
+                continue
+            if begin > self.last:
+                return
+            end, attributes = self._attributes(at)
+            if end < 0:
+                end, attributes = self.html.find(">", at) + 1, []
+            yield begin, end, match.group(1), name.lower(), attributes
+            at = end
+
+    def _attributes(self, at: int) -> tuple[int, list[tuple[str, str]]]:
+        """Where the tag ends and its attributes; -1 if a quote in it is never closed."""
+        html, found = self.html, []
+        while True:
+            at = _GAP.match(html, at).end()
+            if at >= len(html):
+                return -1, []
+            if html[at] == ">":
+                return at + 1, found
+            name = _NAME.match(html, at)
+            at, value = name.end(), ""
+            equals = _EQUALS.match(html, at)
+            if equals:
+                at = equals.end()
+                quote = html[at : at + 1]
+                if quote in ("'", '"') and quote:
+                    close = self._find(quote, at + 1)
+                    if close < 0:
+                        return -1, []
+                    value, at = html[at + 1 : close], close + 1
+                else:
+                    bare = _BARE.match(html, at)
+                    value, at = bare.group(), bare.end()
+            found.append((name.group().lower(), value))
+
+
 class Node:
     __slots__ = ("tag", "parent", "depth", "noise", "content", "label", "own", "linked", "blocks", "children", "sibling", "begin")
 
@@ -57,9 +131,11 @@ class Page:
     def _read(self, html: str) -> None:
         stack, held, linked, links, at = [0], [], 0, 0, 0
         nodes = self.nodes
-        skipping = ""
-        depth_skipped = 0
+        # Where in the stack the open elements of each tag are.
+        where: dict[str, list[int]] = {}
+        skipping, depth_skipped = "", 0
         opened: list[str] = []
+        opened_count: dict[str, int] = {}
         last_end: dict[str, int] = {}
 
         def flush():
@@ -75,22 +151,24 @@ class Page:
                     self.blocks.append((stack[-1], text))
             linked = 0
 
-        for match in _TAG.finditer(html):
-            begin = match.start()
+        def close(k: int) -> None:
+            """Close the open elements from place ``k`` of the stack on."""
+            while len(stack) > k:
+                where[nodes[stack.pop()].tag].pop()
+
+        for begin, end_at, slash, name, attributes in _Tags(html):
             if begin < at:
                 continue
             if begin > at and not skipping:
                 held.append(html[at:begin])
                 if links:
                     linked += begin - at
-            at = match.end()
-            name = match.group(2)
+            at = end_at
             if name is None:
                 continue
-            name, end = name.lower(), match.group(1)
             if skipping:
                 if name == skipping:
-                    if end:
+                    if slash:
                         depth_skipped -= 1
                     elif name not in ("button", "select"):  # these hold none of their kind
                         depth_skipped += 1
@@ -99,24 +177,32 @@ class Page:
                     continue
                 if name not in _BLOCK_AT or name in _VOID:
                     continue
-                if not end:
+                if not slash:
                     opened.append(name)
+                    opened_count[name] = opened_count.get(name, 0) + 1
                     continue
-                if name in opened:
-                    while opened.pop() != name:
-                        pass
+                if opened_count.get(name):
+                    while True:
+                        last = opened.pop()
+                        opened_count[last] -= 1
+                        if last == name:
+                            break
                     continue
-                if name not in (nodes[k].tag for k in stack):
+                if not where.get(name):
                     continue
                 # The close of the block that holds a skipped element ends both.
                 skipping = ""
             if name in _SKIPPED:
-                if end or match.group(3).endswith("/"):
+                if slash or html[end_at - 2 : end_at] == "/>":
                     continue
                 if name in ("script", "style", "textarea", "title"):
                     # Raw text: tags inside are not tags.
-                    close = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                    at = close.end() if close else len(html)
+                    if last_end.get(name, at) >= at:
+                        found = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                        last_end[name] = found.start() if found else -1
+                        at = found.end() if found else len(html)
+                    else:
+                        at = len(html)
                 else:
                     if name not in last_end:
                         last_end[name] = max((m.start() for m in re.finditer(rf"</{name}(?![a-z0-9:-])", html, re.I)), default=-1)
@@ -124,39 +210,35 @@ class Page:
                     if last_end[name] >= at:
                         skipping, depth_skipped = name, 1
                         opened.clear()
+                        opened_count.clear()
                 continue
             if name == "br":
                 held.append(" ")
                 continue
             if name not in _BLOCK_AT:
                 if name == "a":
-                    links = 0 if end else 1
+                    links = 0 if slash else 1
                 elif name == "img":
                     held.append(" ")
                 continue
             flush()
-            if end:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == name:
-                        del stack[k:]
-                        links = 0
-                        break
+            if slash:
+                if where.get(name):
+                    close(where[name][-1])
+                    links = 0
                 continue
             # Any block ends an open paragraph; list and table parts end their like.
             if nodes[stack[-1]].tag == "p":
-                stack.pop()
+                close(len(stack) - 1)
                 links = 0
             bounds = CLOSED_BY_SAME.get(name)
             if bounds is not None:
-                for k in range(len(stack) - 1, 0, -1):
-                    tag = nodes[stack[k]].tag
-                    if tag in bounds:
-                        break
-                    if tag == name or {tag, name} in ({"dt", "dd"}, {"td", "th"}):
-                        del stack[k:]
-                        break
+                like = next((pair for pair in (("dt", "dd"), ("td", "th")) if name in pair), (name,))
+                nearest, bound = (max((where[t][-1] for t in tags if where.get(t)), default=0) for tags in (like, bounds))
+                if nearest > bound:
+                    close(nearest)
             if name in ("html", "body") and len(stack) == 1:
-                self._attributes(nodes[0], match.group(3))
+                self._attributes(nodes[0], attributes)
                 continue
             if name in _VOID:
                 continue
@@ -164,7 +246,8 @@ class Page:
             node = Node(name, stack[-1], parent.depth + 1, begin)
             node.sibling = parent.children
             parent.children += 1
-            self._attributes(node, match.group(3))
+            self._attributes(node, attributes)
+            where.setdefault(name, []).append(len(stack))
             stack.append(len(nodes))
             nodes.append(node)
         if not skipping and at < len(html):
@@ -172,14 +255,13 @@ class Page:
         flush()
 
     @staticmethod
-    def _attributes(node: Node, text: str) -> None:
-        if "=" not in text:
-            return
-        for name, *values in _ATTRIBUTE.findall(text):
-            value = "".join(values)
-            if name.lower() == "data-keep":
+    def _attributes(node: Node, attributes: list[tuple[str, str]]) -> None:
+        for name, value in attributes:
+            if name == "data-keep":
                 node.label = int(value == "1")
                 continue
+            if name not in ("class", "id", "role"):
+                continue
             for token in _TOKEN.findall(value):
                 token = token.lower()
                 node.noise += token in _NOISE

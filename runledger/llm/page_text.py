@@ -6,8 +6,8 @@ its class, id and role, and in its ancestors'. Boosted trees give the chance tha
 the article or holds it. Hierarchical decoding then takes the most likely choice of nodes in which
 no descendant of a dropped node is kept.
 
-No page is labelled. The trees learn from at most ``TRAIN_PAGES`` pages, taken by a hash of the id,
-in which markup tells the article apart (``article``, ``main``): nodes inside and around it are
+No page is labelled. The trees learn from about ``TRAIN_PAGES`` pages, twice as many at most, taken by a
+hash of id and page, in which markup tells the article apart (``article``, ``main``): nodes inside and around it are
 kept, all others not. Of each such page variants are made, in which the telling tags are replaced
 by plain ones, with and without class names, and menus, notices, adverts, forms, sidebars and
 reader comments with texts of other pages are put in, also inside the article. So the trees also
@@ -198,11 +198,15 @@ def _prior() -> Trees:
 
 
 def fit(pages: DataFrame) -> Trees:
-    """Learn from at most ``TRAIN_PAGES`` of ``pages`` (id, html), chosen by hash of id and page."""
+    """Learn from about ``TRAIN_PAGES`` of ``pages`` (id, html), chosen by hash of id and page."""
     told = pages.where(F.col("html").rlike("(?i)<(article|main)\\b"))
     count = told.count()
     every = max(1, -(-count // TRAIN_PAGES))
-    some = told.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(every)) == 0).select("html")
+    code = F.xxhash64("id", "html", F.lit("train"))
+    # Equal pages teach once, and the limit makes the expected number a bound.
+    some = told.where(F.pmod(code, F.lit(every)) == 0).select("html").distinct().limit(2 * TRAIN_PAGES)
+    if count and some.isEmpty():
+        some = told.orderBy(code, "html").select("html").limit(1)
 
     def rows(batches):
         for batch in batches:
