@@ -117,24 +117,24 @@ def _checks(orders: str, clean: str, refunds: str, attribution: str, attributed:
         "ON r.order_id = o.order_id WHERE r.received_at > o.d + INTERVAL 14 DAY"
     )
     return [
-        ("clean_orders", "Each order once", "blocking", _copies(clean, "order_id")),
-        ("clean_orders", "Orders in USD with a customer", "blocking", _bad(clean, "(currency = 'USD' AND order_id IS NOT NULL AND customer_id IS NOT NULL) IS NOT TRUE")),
-        ("clean_orders", "Repeated orders in the source", "warning", _copies(orders, "order_id", "> 1")),
-        ("costed_items", "Each product has one cost", "blocking", _copies("product_costs", "product_id")),
-        ("costed_items", "As many items as before costs", "blocking", _grain("costed", "order_items")),
-        ("costed_items", "Each item once", "blocking", _copies("costed", "item_id")),
-        ("costed_items", "Items priced and costed in USD", "blocking", _bad("costed", _PRICES)),
-        ("refund_totals", "Refunds of unknown orders", "warning", _bad(refunds, f"order_id NOT IN (SELECT order_id FROM {clean})")),
-        ("refund_totals", "Refunds after the due date", "warning", late),
-        ("refund_totals", "Each refund once", "blocking", _copies(refunds, "refund_id")),
-        ("refund_totals", "Refunds in USD, none negative", "blocking", _bad(refunds, "(amount_cents >= 0 AND currency = 'USD') IS NOT TRUE")),
-        ("attributed_orders", "As many orders as before lookups", "blocking", _grain(attributed, clean)),
-        ("attributed_orders", "Each customer once", "blocking", _copies("customers", "customer_id")),
-        ("attributed_orders", "Each customer has one channel", "blocking", _copies(attribution, "customer_id")),
-        ("attributed_orders", "Orders without items", "blocking", _bad(attributed, "revenue_cents IS NULL")),
-        ("attributed_orders", "Orders without a channel", "warning", _bad(attributed, "channel = 'Unattributed'")),
-        ("channel_profit", "Spend in USD, none negative", "blocking", _bad(spend, f"({amount} >= 0 AND currency = 'USD') IS NOT TRUE")),
-        ("channel_profit", "Each spend entry once", "blocking", _copies(spend, "spend_id")),
+        ("clean_orders", "clean_orders repeats no order_id", "blocking", _copies(clean, "order_id")),
+        ("clean_orders", "clean_orders has ids and USD", "blocking", _bad(clean, "(currency = 'USD' AND order_id IS NOT NULL AND customer_id IS NOT NULL) IS NOT TRUE")),
+        ("clean_orders", "orders repeats some order_id", "warning", _copies(orders, "order_id", "> 1")),
+        ("costed_items", "product_costs repeats no product_id", "blocking", _copies("product_costs", "product_id")),
+        ("costed_items", "costed_items has the rows of order_items", "blocking", _grain("costed", "order_items")),
+        ("costed_items", "costed_items repeats no item_id", "blocking", _copies("costed", "item_id")),
+        ("costed_items", "costed_items has amounts and USD costs", "blocking", _bad("costed", _PRICES)),
+        ("refund_totals", "refunds whose order_id is not in clean_orders", "warning", _bad(refunds, f"order_id NOT IN (SELECT order_id FROM {clean})")),
+        ("refund_totals", "refunds dated after the due date", "warning", late),
+        ("refund_totals", "refunds repeats no refund_id", "blocking", _copies(refunds, "refund_id")),
+        ("refund_totals", "refunds is in USD and not below zero", "blocking", _bad(refunds, "(amount_cents >= 0 AND currency = 'USD') IS NOT TRUE")),
+        ("attributed_orders", "attributed_orders has the rows of clean_orders", "blocking", _grain(attributed, clean)),
+        ("attributed_orders", "customers repeats no customer_id", "blocking", _copies("customers", "customer_id")),
+        ("attributed_orders", "attribution repeats no customer_id", "blocking", _copies(attribution, "customer_id")),
+        ("attributed_orders", "attributed_orders without revenue", "blocking", _bad(attributed, "revenue_cents IS NULL")),
+        ("attributed_orders", "attributed_orders without a channel", "warning", _bad(attributed, "channel = 'Unattributed'")),
+        ("channel_profit", "ad_spend is in USD and not below zero", "blocking", _bad(spend, f"({amount} >= 0 AND currency = 'USD') IS NOT TRUE")),
+        ("channel_profit", "ad_spend repeats no spend_id", "blocking", _copies(spend, "spend_id")),
     ]
 
 
@@ -145,7 +145,7 @@ _REPAIRED = _checks("orders2", "clean2", "refunds2", "attribution2", "attributed
 
 def _tolerant(checks):
     return [
-        (step, name, "warning" if name == "Orders without items" else severity, count)
+        (step, name, "warning" if name == "attributed_orders without revenue" else severity, count)
         for step, name, severity, count in checks
     ]
 

@@ -49,11 +49,11 @@ def lossless(value: Column, data_type: T.DataType) -> Column:
     return value
 
 
-def row_json(schema: T.StructType, preview: bool = False) -> Column:
-    """The whole row as one JSON object, optionally bounded like a preview."""
+def row_json(schema: T.StructType, preview: bool = False, within: str | None = None) -> Column:
+    """The whole row, or a struct of this schema, as one JSON object, optionally bounded like a preview."""
     values = []
     for field in schema:
-        value = F.col(f"`{field.name}`")
+        value = F.col(within)[field.name] if within else F.col(f"`{field.name}`")
         if preview:
             value = bounded(value, field.dataType)
         values.append(lossless(value, field.dataType).alias(field.name))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.hashing import hashable
+from ..functions.text import row_json
 
-def top_finding(df: DataFrame, label: str, metric: str, unit: str) -> DataFrame:
+
+def top_finding(df: DataFrame, label: str, metric: str, unit: str, evidence: bool = False) -> DataFrame:
     """One row ``(title, detail, label, metric, unit, rows)`` about a whole result, in one pass.
 
     If every row has a label, a number and the same unit, it names the row with the largest
-    metric (of equal ones the smallest label); otherwise it says nothing about the values.
+    metric (of equal ones the smallest label); otherwise it says nothing about the values. With
+    ``evidence`` that row follows as JSON; rows that tie in label and metric go by a hash of all columns.
     """
+    proof = [F.lit(None).cast("string").alias("evidence")] if evidence else []
     rows = F.count("*").alias("rows")
     neutral_title = F.when(F.col("rows") == 0, "The result has no rows").otherwise("The result is ready")
     neutral_detail = F.when(F.col("rows") == 0, "Check filters and source coverage.").otherwise(
@@ -25,18 +30,24 @@ def top_finding(df: DataFrame, label: str, metric: str, unit: str) -> DataFrame:
             F.lit(None).cast("string").alias("metric"),
             F.lit(None).cast("string").alias("unit"),
             "rows",
+            *proof,
         )
     value = F.col(metric)
     if isinstance(df.schema[metric].dataType, T.IntegralType):
         value = value.cast("decimal(38,0)")
     # The smallest (-metric, label) is the largest metric with the smallest label.
-    best = F.min(F.struct((-value).alias("negated"), F.col(label).alias("label"), F.col(metric).alias("value")))
+    order = [(-value).alias("negated"), F.col(label).alias("label"), F.col(metric).alias("value")]
+    held = []
+    if evidence:
+        code = F.xxhash64(*[hashable(f) for f in df.schema])
+        held = [F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order, code)).alias("row")]
     totals = df.agg(
         rows,
         F.count_if(F.col(label).isNotNull() & F.col(metric).isNotNull() & F.col(unit).isNotNull()).alias("whole"),
         F.min(unit).alias("unit"),
         F.max(unit).alias("last_unit"),
-        best.alias("best"),
+        F.min(F.struct(*order)).alias("best"),
+        *held,
     )
     telling = (F.col("rows") > 0) & (F.col("whole") == F.col("rows")) & (F.col("unit") == F.col("last_unit"))
     words = metric.replace("_", " ")
@@ -54,6 +65,7 @@ def top_finding(df: DataFrame, label: str, metric: str, unit: str) -> DataFrame:
         F.when(telling, F.col("best.value").cast("string")).alias("metric"),
         F.when(telling, F.col("unit").cast("string")).alias("unit"),
         "rows",
+        *([F.when(telling, row_json(df.schema, within="row")).alias("evidence")] if evidence else []),
     )
 
 

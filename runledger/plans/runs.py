@@ -20,7 +20,7 @@ from ..operators.status import CONTRACT_STEP, current_states
 from ..sources.tables import append_rows, materialize, read_rows
 from ..sources.versions import PROFILE_TYPE, Workspace, latest_versions, profile_rows, resolve_inputs
 from .definition import Pipeline, Step
-from .steps import add_frame, build_step, is_blocking, open_frames, run_checks, run_query, safe_error
+from .steps import add_frame, build_step, is_blocking, open_frames, reads_inputs_only, run_checks, run_query, safe_error
 
 # Columns of the result tables; each run owns one folder ``run_id=…`` in every table.
 FACTS = {
@@ -100,8 +100,9 @@ def run_pipeline(
     """Run a pipeline over one version per source and return the id of the run.
 
     A wrong mapping or an unknown parameter raises; what fails later is recorded with the run.
-    Contracts come first. Then each step is written, fingerprinted and profiled, and after
-    that its checks run; the first step with a blocking failure ends the run.
+    Contracts come first. A step's blocking checks of its inputs run before it is written; then it
+    is fingerprinted and profiled, and its other checks run. The first step with a blocking failure
+    ends the run.
     """
     unknown = set(parameters or {}) - set(pipeline.parameters)
     if unknown:
@@ -187,26 +188,39 @@ def _run_step(
 ) -> None:
     session, frames = open_frames(ws.spark, {n: tables[n] for n in step.depends_on})
     record.event(step.name, "running")
+    quarantine = ws.data(f"run={run_id}", f"violations={step.name}")
+    # What a step must not start with is checked before it writes anything: a repeated key could multiply its rows.
+    early = {i: c for i, c in enumerate(step.checks) if reads_inputs_only(c, step.name) and c.severity == "blocking"}
+    before = dict(zip(early, run_checks(session, tuple(early.values()), frames, counts, values, f"{quarantine}/inputs")))
+    if any(is_blocking(r) for r in before.values()):
+        record.checks(step.name, list(before.values()))
+        _fail(step, list(before.values()))
     path = ws.data(f"run={run_id}", f"step={step.name}")
     table = materialize(build_step(session, step, frames, values), path)
     content = fingerprint(table).first()
     tables[step.name] = (path, table.schema)
     counts[step.name] = content["rows"]
     add_frame(session, frames, step.name, tables[step.name])
-    quarantine = ws.data(f"run={run_id}", f"violations={step.name}")
     # The output is profiled while its checks run; it is on record before their results are.
     with ThreadPoolExecutor(max_workers=1) as pool:
         saved = pool.submit(_save_artifact, ws, run_id, step.name, path, table, content, profile_artifacts)
-        results = run_checks(session, step.checks, frames, counts, values, quarantine)
+        late = {i: c for i, c in enumerate(step.checks) if i not in early}
+        after = dict(zip(late, run_checks(session, tuple(late.values()), frames, counts, values, quarantine)))
         saved.result()
+    results = [(before | after)[i] for i in range(len(step.checks))]
     record.checks(step.name, results)
+    _fail(step, results)
+    record.note(step.name, "successful")
+
+
+def _fail(step: Step, results: list[dict]) -> None:
+    """End the step if a check could not run, or a blocking one found something."""
     errors = [r["name"] + ": " + r["error"] for r in results if r["status"] == "error"]
     if errors:
         raise StepFailed(f"Checks of {step.name} could not run: {'; '.join(errors)}")
     failed = [r["name"] for r in results if is_blocking(r)]
     if failed:
         raise StepFailed(f"Blocking checks of {step.name} failed: {', '.join(failed)}")
-    record.note(step.name, "successful")
 
 
 def _save_artifact(
@@ -221,14 +235,8 @@ def _store_finding(ws: Workspace, pipeline: Pipeline, run_id: str, output: tuple
     path, schema = output
     table = ws.spark.read.schema(schema).parquet(path)
     label, metric, unit = pipeline.finding or ("", "", "")
-    found = top_finding(table, label, metric, unit).first()
-    evidence = None
-    if found["label"] is not None:
-        proof = table.where(
-            (F.col(label).cast("string") == found["label"]) & (F.col(metric).cast("string") == found["metric"])
-        )
-        evidence = proof.select(row_json(schema).alias("row")).orderBy("row").limit(1).first()["row"]
-    row = (pipeline.output, uuid.uuid4().hex, found["title"], found["detail"], evidence)
+    found = top_finding(table, label, metric, unit, evidence=True).first()
+    row = (pipeline.output, uuid.uuid4().hex, found["title"], found["detail"], found["evidence"])
     _append(ws, run_id, "findings", [row])
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.window import Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from ..session import scratch_path, small_frame
+from ..functions.hashing import hashable
+from ..session import small_frame
 
 PAGE_LIMIT = 100
-ROWS_PER_RANGE = 1_000_000
+ROWS_PER_RANGE = 100_000
+#: Borders that cut a table at once, and rows of the sample that they come from.
+BORDERS, BORDER_SAMPLE = 32, 2_000
 
 
 def materialize(df: DataFrame, path: str, session: SparkSession | None = None) -> DataFrame:
@@ -53,41 +57,53 @@ def discard(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def _beyond(keys: list[str], bound: Row, df: DataFrame) -> Column:
+    """Whether a row comes after a key."""
+    value = F.struct(*[F.lit(bound[k]).cast(df.schema[k].dataType).alias(k) for k in keys])
+    return F.struct(*keys) > value
+
+
+def _borders(df: DataFrame, keys: list[str], rows: int) -> list[Row]:
+    """Some keys of a sample that cut the rows in about equal parts."""
+    sample = df.select(*keys).sample(min(1.0, BORDER_SAMPLE / rows), seed=5).orderBy(*keys).limit(2 * BORDER_SAMPLE).collect()
+    step = max(1, len(sample) // BORDERS)
+    return list(dict.fromkeys(sample[step::step]))
+
+
 def page(df: DataFrame, order_key: str | list[str], offset: int = 0, limit: int = 50) -> DataFrame:
-    """Rows ``offset`` .. ``offset + limit`` in the order of a unique key; a repeated key is an error.
+    """Rows ``offset`` .. ``offset + limit`` in the order of a key; rows with one key go by a hash of all columns.
 
-    Keys are range-partitioned and written, and the rows of each range counted. Only the ranges
-    that overlap the page are ranked and joined back, at any depth.
+    Nothing is written. While more than ``ROWS_PER_RANGE`` rows are in question, borders from a small
+    sample cut them in ranges, whose rows are counted in one pass, and only the ranges that overlap the
+    page stay; so only these are sorted, at any depth.
     """
     if offset < 0:
         raise ValueError("offset must be at least 0")
     if not 1 <= limit <= PAGE_LIMIT:
         raise ValueError(f"limit must be between 1 and {PAGE_LIMIT}")
     keys = [order_key] if isinstance(order_key, str) else list(order_key)
-    spark = df.sparkSession
-    narrow = df.select(*keys)
-    ranges = max(1, -(-narrow.count() // ROWS_PER_RANGE))
-    ranged = narrow.repartitionByRange(ranges, *keys).withColumn("_range", F.spark_partition_id())
-    ranged = materialize(ranged, scratch_path(spark, "page"))
-    per_key = ranged.groupBy("_range", *keys).agg(F.count("*").alias("copies"))
-    sizes = per_key.groupBy("_range").agg(F.count("*").alias("n"), F.max("copies").alias("copies")).orderBy("_range").collect()
-    if any(s["copies"] > 1 for s in sizes):
-        raise ValueError("Pages need a key that is unique in the table")
-    start, hit = 0, []
-    for size in sizes:  # one row a range
-        if start < offset + limit and start + size["n"] > offset:
-            hit.append((size["_range"], start))
-        start += size["n"]
-    starts = small_frame(spark, hit, "_range int, _start bigint")
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    wanted = (
-        ranged.join(starts, "_range")
-        .withColumn("_position", F.col("_start") + rank - 1)
-        .where(F.col("_position").between(offset, offset + limit - 1))
-        .select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
-    )
-    same = [df[k].eqNullSafe(wanted[f"_{i}"]) for i, k in enumerate(keys)]
-    return df.join(wanted, same, "left_semi").orderBy(*keys)
+    code = "_code"
+    within = df.withColumn(code, F.xxhash64(*[hashable(f) for f in df.schema]))
+    order, rows = [*keys, code], within.count()
+    while rows > ROWS_PER_RANGE:
+        borders = _borders(within, order, rows)
+        part = functools.reduce(Column.__add__, [_beyond(order, b, within).cast("int") for b in borders], F.lit(0))
+        sizes = dict(within.groupBy(part.alias("part")).count().collect())  # one row a range
+        start, hit = 0, []
+        for number in sorted(sizes):
+            if start < offset + limit and start + sizes[number] > offset:
+                hit.append((number, start))
+            start += sizes[number]
+        left = sum(sizes[n] for n, _ in hit)
+        if not hit or left == rows:
+            break  # beyond the end, or rows that are all the same
+        first, last = hit[0][0], hit[-1][0]
+        if first:
+            within = within.where(_beyond(order, borders[first - 1], within))
+        if last < len(borders):
+            within = within.where(~_beyond(order, borders[last], within))
+        offset, rows = offset - hit[0][1], left
+    return within.orderBy(*order).offset(offset).limit(limit).drop(code)
 
 
 def export(df: DataFrame, path: str, format: str = "parquet") -> None:

@@ -90,7 +90,7 @@ def test_a_repeated_order_blocks_but_its_step_is_kept(story):
     run = story.run(story.plain, 2, ad_spend=story.given[1]["ad_spend"])
     states = [s["status"] for s in story.report(run)["steps"]]
     assert states[0] == "failed" and set(states[1:]) == {"skipped"} and not story.report(run)["findings"]
-    found = story.check(run, "Each order once")
+    found = story.check(run, "clean_orders repeats no order_id")
     assert found["violations"] == 1 and json.loads(found["sample"][0])["copies"] == 2
     assert artifact(story.ws, run, "clean_orders").count() == len(tables(2)["orders"][1])
 
@@ -99,10 +99,10 @@ def test_the_repair_leaves_only_warnings(story):
     run = story.run(story.repaired, 2)
     failed = {c["name"]: c["violations"] for c in story.report(run)["checks"] if c["status"] == "failed"}
     assert failed == {
-        "Repeated orders in the source": 1,
-        "Orders without a channel": 2,
-        "Refunds of unknown orders": 1,
-        "Refunds after the due date": 3,
+        "orders repeats some order_id": 1,
+        "attributed_orders without a channel": 2,
+        "refunds whose order_id is not in clean_orders": 1,
+        "refunds dated after the due date": 3,
     }
 
 
@@ -136,8 +136,8 @@ def test_only_successful_runs_take_evidence(story):
 @pytest.mark.parametrize(
     ("source", "change", "check"),
     [
-        ("product_costs", lambda rows: rows + rows[:1], "As many items as before costs"),
-        ("orders", lambda rows: [(*rows[0][:3], "EUR"), *rows[1:]], "Orders in USD with a customer"),
+        ("product_costs", lambda rows: rows + rows[:1], "product_costs repeats no product_id"),
+        ("orders", lambda rows: [(*rows[0][:3], "EUR"), *rows[1:]], "clean_orders has ids and USD"),
     ],
 )
 def test_one_bad_row_blocks(story, source, change, check):

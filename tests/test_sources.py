@@ -104,8 +104,8 @@ def test_the_newest_version_is_one_that_is_listed(workspace, csv_file, monkeypat
     append_version(workspace, "orders", old)
     second = append_version(workspace, "orders", new)
     # A writer of old content that had looked before the first version was there.
-    real, seen = versions._history, []
-    monkeypatch.setattr(versions, "_history", lambda *a: (None, 2) if not seen and not seen.append(1) else real(*a))
+    real, seen = versions.known_version, []
+    monkeypatch.setattr(versions, "known_version", lambda *a: (None, 2) if not seen and not seen.append(1) else real(*a))
     append_version(workspace, "orders", old)
     listed = list_versions(workspace).first()
     assert latest_versions(workspace).first()["version_id"] == listed["version_id"] == second["version_id"]
@@ -126,9 +126,9 @@ def test_two_writers_of_one_content_list_one_version(workspace, csv_file, monkey
     path = csv_file("id\n1\n")
     first = append_version(workspace, "orders", path)
     # The second writer looked before the first had finished.
-    real, seen = versions._history, []
+    real, seen = versions.known_version, []
     monkeypatch.setattr(
-        versions, "_history", lambda *a: (None, 0) if not seen and not seen.append(1) else real(*a)
+        versions, "known_version", lambda *a: (None, 0) if not seen and not seen.append(1) else real(*a)
     )
     second = append_version(workspace, "orders", path)
     assert list_versions(workspace).count() == 1
@@ -189,6 +189,7 @@ def test_pages_shallow_and_deep_agree(spark, monkeypatch):
     expected = list(range(395, 445))
     assert [r["k"] for r in page(df, "k", 395, 50).collect()] == expected
     monkeypatch.setattr(tables, "ROWS_PER_RANGE", 60)
+    monkeypatch.setattr(tables, "BORDER_SAMPLE", 100)
     deep = page(df, "k", 395, 50)
     assert [r["k"] for r in deep.collect()] == expected and deep.columns == ["k", "one"]
     assert page(df, "k", 2000, 50).count() == 0
@@ -205,11 +206,15 @@ def test_deep_page_of_a_compound_key_with_a_hot_part(spark, monkeypatch):
     assert got == rows
 
 
-def test_pages_refuse_a_repeated_key_at_every_depth(spark):
-    df = spark.range(2000).select((F.col("id") % 80).alias("k"))
-    for offset in (0, 1500):
-        with pytest.raises(ValueError, match="unique"):
-            page(df, "k", offset, 100)
+def test_pages_of_repeated_keys_lose_no_row(spark, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_PER_RANGE", 50)
+    monkeypatch.setattr(tables, "BORDER_SAMPLE", 40)
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), "id", F.create_map(F.lit("a"), "id").alias("m"))
+    seen = [r["id"] for offset in range(600, 1400, 100) for r in page(df, "k", offset, 100).collect()]
+    assert len(seen) == len(set(seen)) == 800
+    assert [r["k"] for r in page(df, "k", 650, 30).collect()] == [0] * 17 + [1] * 13
+    same = spark.range(500).select(F.lit(1).alias("k"))
+    assert page(same, "k", 430, 100).count() == 70
 
 
 def test_latest_rows_carries_maps(spark):
