@@ -8,12 +8,17 @@ chunk's number in the text and the step, so a row's pieces depend on nothing els
 partitions, batches or retries.
 
 Texts are worked on chunk by chunk (see ``pieces``), equal chunks of a batch share one lattice, and
-chunks of equal length are filtered and sampled together in numpy.
+chunks of equal length are filtered and sampled together in numpy. A chunk of over ``LONG`` characters,
+such as a line without spaces, is walked alone in blocks of places: the forward pass keeps its sums at
+the borders of blocks only, and the backward pass works each block out again. So memory follows the
+text and its pieces, not the lattice, and time is the same for each character.
 """
 
 from __future__ import annotations
 
 import functools
+import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +35,8 @@ _TABLE = 1 << 20
 #: Lattice cells (chunks x places x piece lengths) that are filtered at once.
 _CELLS = 1 << 19
 UNCOVERED = -1
+#: Chunks of more characters are walked alone; places of such a chunk that are worked on at once.
+LONG, _BLOCK = 4096, 8192
 #: Stands for a literal U+2581, which else would read as a space: a code point no text can hold.
 _LITERAL = "\ud800"
 
@@ -128,7 +135,13 @@ class Lattices:
         counts = np.zeros(len(chunks), np.int64)
         steps: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         place = np.zeros(len(different), np.int64)
-        for n in np.unique(sizes):
+        alone: list[tuple[int, np.ndarray]] = []
+        for k in np.flatnonzero(sizes[which] > LONG).tolist():
+            at = which[k]
+            ids = self._walk(codes[begins[at] : begins[at + 1]], seeds[k], alpha)
+            counts[k] = len(ids)
+            alone.append((k, ids))
+        for n in np.unique(sizes[sizes <= LONG]):
             rows = by_size[np.searchsorted(sizes[by_size], n) : np.searchsorted(sizes[by_size], n, "right")]
             place[rows] = np.arange(len(rows))
             mine = order[np.searchsorted(order_sizes, n) : np.searchsorted(order_sizes, n, "right")]
@@ -143,6 +156,8 @@ class Lattices:
                 self._draw(mine[a:b], at_row[a:b] - low, chars, cumulative, ids, seeds, counts, steps)
         ends = np.concatenate(([0], np.cumsum(counts)))
         out = np.zeros(ends[-1], np.int32)
+        for k, ids in alone:
+            out[ends[k] : ends[k + 1]] = ids
         for which_chunks, behind, width, own in steps:
             # `behind`: pieces of the chunk from the first of this step to the chunk's end.
             at = ends[which_chunks + 1] - behind
@@ -151,6 +166,76 @@ class Lattices:
                 out[at[more] + k] = own[more, k]
         return out, ends
 
+    def _matches(self, chars: np.ndarray, low: int, high: int, alpha: float) -> tuple[list[int], list[int], list[float], list[int]]:
+        """Pieces that end at the places ``low + 1`` to ``high``: where those of each place begin in the
+        lists, and their lengths, weights and ids, by place and length."""
+        most = self.vocab.longest
+        begin = max(0, low - most + 1)
+        part = chars[begin:high]
+        keys = np.zeros(len(part), np.uint64)
+        found = []
+        for k in range(min(most, len(part))):
+            keys = self._next(keys[: len(part) - k], part[k:])
+            number = self.find(keys)
+            # A piece of k + 1 characters from `start` on ends at start + k + 1.
+            end = np.arange(begin, begin + len(keys)) + k + 1
+            inside = (end > low) & ((number >= 0) | (k == 0))
+            number, end = number[inside], end[inside]
+            weight = np.where(number >= 0, alpha * self.scores[number], alpha * self.vocab.uncovered)
+            found.append((end, np.full(len(end), k + 1), weight, np.where(number >= 0, self.ids[number], UNCOVERED)))
+        end, length, weight, ids = (np.concatenate([f[c] for f in found]) for c in range(4))
+        order = np.lexsort((length, end))
+        first = np.searchsorted(end[order], np.arange(low + 1, high + 2))
+        return first.tolist(), length[order].tolist(), weight[order].tolist(), ids[order].tolist()
+
+    def _totals(self, chars: np.ndarray, low: int, high: int, before: list[float], alpha: float):
+        """Log sums of all segmentations up to each place from ``low - len(before) + 1`` to ``high``, and the pieces."""
+        first, length, weight, ids = matches = self._matches(chars, low, high, alpha)
+        totals = list(before)
+        for place in range(high - low):
+            now = len(totals)
+            a, b = first[place], first[place + 1]
+            ways = [weight[j] + totals[now - length[j]] for j in range(a, b)]
+            top = max(ways)
+            totals.append(top if b - a == 1 else top + math.log(sum([math.exp(w - top) for w in ways])))
+        return totals, matches
+
+    def _walk(self, chars: np.ndarray, seed: np.uint64, alpha: float) -> np.ndarray:
+        """Piece ids of one long chunk."""
+        most = self.vocab.longest
+        borders, before = [], [0.0]
+        for low in range(0, len(chars), _BLOCK):
+            borders.append(before)
+            before = self._totals(chars, low, min(len(chars), low + _BLOCK), before, alpha)[0][-most:]
+        out, end, turn = array("i"), len(chars), 0
+        draws: list[float] = []
+        for block in range(len(borders) - 1, -1, -1):
+            low = block * _BLOCK
+            if end <= low:
+                continue
+            before = borders[block]
+            totals, (first, length, weight, ids) = self._totals(chars, low, end, before, alpha)
+            while end > low:
+                if turn % _BLOCK == 0:
+                    numbers = np.arange(turn + 1, turn + 1 + _BLOCK, dtype=np.uint64)
+                    draws = ((mix(seed + _STEP * numbers) >> np.uint64(11)).astype(np.float64) * 2.0**-53).tolist()
+                left = draws[turn % _BLOCK]
+                now = len(before) + end - low - 1
+                a, b = first[end - low - 1], first[end - low]
+                for j in range(a, b):
+                    left -= math.exp(weight[j] + totals[now - length[j]] - totals[now])
+                    if left < 0:
+                        break
+                turn += 1
+                if ids[j] == UNCOVERED:
+                    char = chr(chars[end - 1])
+                    coded = (MARK if char == _LITERAL else char).encode()
+                    out.extend(int(self.byte_ids[c]) for c in reversed(coded))
+                else:
+                    out.append(ids[j])
+                end -= length[j]
+        return np.array(out, np.int32)[::-1]
+
     def _draw(self, mine, row, chars, cumulative, ids, seeds, counts, steps) -> None:
         """Backward pass: one piece a step for every chunk that is not yet at its front."""
         end = np.full(len(mine), chars.shape[1])
@@ -228,7 +313,7 @@ def encode(
 
     ``lossless`` tells whether decoding the pieces gives the text back, byte for byte. Null texts
     have null pieces, empty texts none; both are lossless. A literal U+2581 is written in bytes.
-    Rows with equal keys and texts get equal pieces; a null key counts as 0 and any other key as
+    Texts may be of any length, with or without spaces. Rows with equal keys and texts get equal pieces; a null key counts as 0 and any other key as
     itself, so keys must be integers. Other columns are ignored.
     """
 

@@ -55,6 +55,28 @@ def test_segmentations_have_their_probabilities():
         assert abs(seen[way] / n - math.exp(score) / total) < 0.012
 
 
+@needs_model
+def test_long_words_are_walked_in_blocks(spark, monkeypatch):
+    """A word longer than any block comes back whole; blocks of another size give the same pieces."""
+    rng = np.random.default_rng(8)
+    words = ["x" * 200_000, "".join(rng.choice(list("abcdefgh日本語🎉"), 40_000)), "y " + "ab" * 3000]
+    coded = piece_sampling.encode(_frame(spark, [*words, *words]))
+    rows = {r["doc_id"]: r for r in coded.collect()}
+    assert all(r["lossless"] for r in rows.values())
+    own = piece_sampling.lattices(pieces.MODEL)
+    chars = np.frombuffer(words[1][:9000].encode("utf-32-le"), np.uint32)
+    whole = own._walk(chars, np.uint64(9), 0.0001)
+    monkeypatch.setattr(piece_sampling, "_BLOCK", 700)
+    assert own._walk(chars, np.uint64(9), 0.0001).tolist() == whole.tolist()
+    # One word drawn many times: as often each way as by the short path.
+    word, n = np.frombuffer("▁thatn".encode("utf-32-le"), np.uint32), 8000
+    ids, at = piece_sampling._encoded(own, ["thatn"] * n, np.arange(n), 0.0001)
+    short = collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True))
+    seeds = piece_sampling.mix(np.arange(n, dtype=np.uint64) + np.uint64(12345))
+    long = collections.Counter(tuple(own._walk(word, s, 0.0001).tolist()) for s in seeds)
+    assert set(long) == set(short) and max(abs(long[w] - short[w]) for w in short) < 0.03 * n
+
+
 @needs_model
 def test_counts_are_those_of_the_tokenizer(spark):
     import sentencepiece
