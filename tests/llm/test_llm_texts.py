@@ -74,7 +74,7 @@ def test_long_words_are_walked_in_blocks(spark, monkeypatch):
     short = collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True))
     seeds = piece_sampling.mix(np.arange(n, dtype=np.uint64) + np.uint64(12345))
     long = collections.Counter(tuple(own._walk(word, s, 0.0001).tolist()) for s in seeds)
-    assert set(long) == set(short) and max(abs(long[w] - short[w]) for w in short) < 0.03 * n
+    assert max(abs(long[w] - short[w]) for w in set(long) | set(short)) < 0.03 * n
 
 
 @needs_model
