@@ -71,13 +71,18 @@ def op5_language_id(spark, docs, folder):
 
 
 #: What the turns of a plain dialogue must look like as calls.
-ANSWER = {"answer": {"required": ["text"], "properties": {"text": "string", "after": "string"}}}
+TOOLS = {
+    "answer": {"required": ["text"], "properties": {"text": "string", "after": "string"}},
+    "note": {"required": ["of", "size"], "properties": {"of": "string", "size": "integer"}},
+}
 
 
 @_over("conversations")
 def op6_tool_calls(spark, turns, folder):
-    calls, results = tool_calls.replies_as_calls(turns)
-    return tool_calls.link_calls(calls, results, ANSWER)
+    calls, results = tool_calls.dialogue_as_calls(turns)
+    linked = tool_calls.link_calls(calls, results, TOOLS)
+    # Calls in a circle have no order.
+    return linked.withColumns({c: F.when(~F.col("cyclic"), F.col(c)) for c in ("order_turn", "order_place", "order_step")})
 
 
 @_over("documents")
@@ -197,25 +202,41 @@ SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(roo
   e.vec_id = least(e.vec_id, coalesce(root, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN links ON links.a = e.vec_id LEFT JOIN root ON root.id = e.vec_id
 """,
-    "op6_tool_calls": """
-WITH asked AS (
-  SELECT conv_id, turn::VARCHAR AS call_id, min(turn) AS turn, min(text) AS text, count(text) AS given, count(*) AS n_calls
-  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+    "op6_tool_calls": f"""
+WITH RECURSIVE ends AS (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id
+), asked AS (
+  SELECT conv_id, turn, text, conv_id % 10 = 3 AND turn < 2 AND last_turn < {tool_calls.SHORT} AS sees
+  FROM conversations JOIN ends USING (conv_id) WHERE role = 'user' AND turn IS NOT NULL
+), follow AS (
+  SELECT a.*, b.turn IS NOT NULL AS more FROM asked a LEFT JOIN asked b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2
+), circle AS (
+  SELECT conv_id, turn FROM follow WHERE sees AND more
+  UNION SELECT a.conv_id, a.turn FROM asked a JOIN circle c ON a.conv_id = c.conv_id AND a.turn = c.turn + 2
+), calls AS (
+  SELECT f.conv_id, f.turn::VARCHAR AS call_id, f.turn, 'answer' AS name, c.turn IS NOT NULL AS cyclic, f.turn AS order_turn,
+    CASE WHEN sees THEN 1 ELSE 0 END AS order_place, CASE WHEN sees THEN 1 ELSE 0 END AS order_step,
+    concat_ws('; ', CASE WHEN text IS NULL THEN 'missing text' END, CASE WHEN sees THEN 'unknown see' END) AS errors,
+    '{{' || concat_ws(',', CASE WHEN f.turn >= 2 THEN '"after":"${{' || (f.turn - 2) || '}}"' END, CASE WHEN sees THEN '"see":"${{' || f.turn || 'n}}"' END,
+      '"text":' || to_json(text)) || '}}' AS arguments
+  FROM follow f LEFT JOIN circle c ON f.conv_id = c.conv_id AND f.turn = c.turn
+  UNION ALL
+  SELECT f.conv_id, f.turn || 'n', f.turn, CASE WHEN f.conv_id % 7 = 1 THEN 'memo' ELSE 'note' END, c.turn IS NOT NULL,
+    CASE WHEN more THEN f.turn + 2 ELSE f.turn END, CASE WHEN more THEN 0 ELSE 1 END, CASE WHEN more THEN 1 ELSE 0 END,
+    CASE WHEN f.conv_id % 7 = 1 THEN 'unknown tool' WHEN text IS NULL THEN 'missing size' WHEN length(text) % 2 = 1 THEN 'size is not integer but string' ELSE '' END,
+    '{{' || concat_ws(',', '"of":"${{' || (f.turn + 2) || '}}"', '"size":' || CASE WHEN length(text) % 2 = 1 THEN '"' || length(text) || '"' ELSE length(text)::VARCHAR END) || '}}'
+  FROM follow f LEFT JOIN circle c ON f.conv_id = c.conv_id AND f.turn + 2 = c.turn
 ), told AS (
-  SELECT conv_id, (turn - 1)::VARCHAR AS call_id, min(turn) AS result_turn, min(text) AS content, count(*) AS n_results
-  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+  SELECT conv_id, (turn - 1) || CASE WHEN role = 'system' THEN 'n' ELSE '' END AS call_id, min(turn) AS result_turn, min(text) AS content, count(*) AS n_results
+  FROM conversations WHERE role IN ('assistant', 'system') AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
 )
 SELECT coalesce(a.conv_id, t.conv_id) AS conv_id, coalesce(a.call_id, t.call_id) AS call_id, a.turn, t.result_turn,
-  CASE WHEN a.conv_id IS NULL THEN 'orphan' WHEN t.conv_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-  a.turn AS order_turn, CASE WHEN a.turn IS NOT NULL THEN 0 END::INTEGER AS order_place, CASE WHEN a.turn IS NOT NULL THEN 0 END::INTEGER AS order_step,
-  false AS cyclic, CASE WHEN a.conv_id IS NOT NULL AND given = 0 THEN 'missing text' ELSE '' END AS errors,
-  '{"arguments":' || CASE WHEN a.conv_id IS NULL THEN 'null' ELSE '{'
-    || array_to_string(list_filter([CASE WHEN a.turn >= 2 THEN '"after":"${' || (a.turn - 2) || '}"' END,
-                                    CASE WHEN a.text IS NOT NULL THEN '"text":' || to_json(a.text) END], lambda x: x IS NOT NULL), ',') || '}' END
-    || ',"id":' || to_json(coalesce(a.call_id, t.call_id)) || ',"name":' || CASE WHEN a.conv_id IS NULL THEN 'null' ELSE '"answer"' END
-    || ',"result":' || coalesce(to_json(t.content)::VARCHAR, 'null') || '}' AS json
-FROM asked a FULL JOIN told t ON a.conv_id = t.conv_id AND a.call_id = t.call_id
+  CASE WHEN a.conv_id IS NULL THEN 'orphan' WHEN t.conv_id IS NULL THEN 'unanswered' WHEN t.result_turn <= a.turn THEN 'early' ELSE 'linked' END AS status,
+  CASE WHEN a.conv_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_calls, coalesce(n_results, 0) AS n_results,
+  CASE WHEN NOT cyclic THEN order_turn END AS order_turn, CASE WHEN NOT cyclic THEN order_place END::INTEGER AS order_place,
+  CASE WHEN NOT cyclic THEN order_step END::INTEGER AS order_step, coalesce(cyclic, false) AS cyclic, coalesce(errors, '') AS errors,
+  '{{"arguments":' || coalesce(arguments, 'null') || ',"id":' || to_json(coalesce(a.call_id, t.call_id)) || ',"name":' || coalesce(to_json(name)::VARCHAR, 'null')
+    || ',"result":' || coalesce(to_json(t.content)::VARCHAR, 'null') || '}}' AS json
+FROM calls a FULL JOIN told t ON a.conv_id = t.conv_id AND a.call_id = t.call_id
 """,
     "op2_shingle_join": rf"""
 WITH RECURSIVE words AS (

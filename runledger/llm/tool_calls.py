@@ -19,6 +19,8 @@ _CALLS = "struct<tool_calls: array<struct<id: string, name: string, arguments: s
 _RESULT = "struct<tool_call_id: string, content: string>"
 _CONV = ["conv_id", "call_id"]
 _ACCEPTED = {"number": ["number", "integer"]}
+#: Turns of a conversation in which ``dialogue_as_calls`` may draw a circle.
+SHORT = 16
 
 
 def calls_of(messages: DataFrame) -> DataFrame:
@@ -40,23 +42,37 @@ def results_of(messages: DataFrame) -> DataFrame:
     )
 
 
-def replies_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain dialogue as calls and results: a user turn calls ``answer``, the next turn returns it.
+def dialogue_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Plain dialogue as calls and results, by fixed rules, for tables that hold no calls.
 
-    The call's identifier is its turn; it refers to the call two turns before. Rows without a
-    conversation or turn are left out.
+    A user turn makes two calls. ``answer``, named like its turn, refers back to the answer two turns
+    before; the assistant's next turn is its result. ``note``, with an n behind, refers forward to the
+    answer two turns later and holds the length of the text, as a text where it is odd. In each
+    seventh conversation it has a tool's name that no schema knows. In each tenth conversation of at
+    most ``SHORT`` turns an early answer also refers to its note, by an argument that no schema knows: a
+    circle, if the user speaks again. A system turn is a result for a note before it, which there is
+    not. Rows without a conversation or turn are left out.
     """
     rows = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null and turn is not null")
-    asked = F.struct(
-        F.when(F.col("turn") >= 2, F.concat(F.lit("${"), (F.col("turn") - 2).cast("string"), F.lit("}"))).alias("after"), F.col("text")
-    )
-    calls = rows.where("role = 'user'").select(
-        "conv_id", "turn", F.lit(0).alias("place"), F.col("turn").cast("string").alias("call_id"), F.lit("answer").alias("name"),
-        F.to_json(asked).alias("arguments"),
-    )
-    results = rows.where("role = 'assistant'").select(
-        "conv_id", "turn", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content")
+    ends = rows.groupBy("conv_id").agg(F.max("turn").alias("end"))
+    asked = rows.where("role = 'user'").join(ends, "conv_id")
+    refer = lambda turn, more="": F.concat(F.lit("${"), turn.cast("string"), F.lit(more + "}"))
+    turn, size = F.col("turn"), F.length("text")
+    circle = (F.pmod("conv_id", F.lit(10)) == 3) & (turn < 2) & (F.col("end") < SHORT)
+    answer = F.to_json(F.struct(F.when(turn >= 2, refer(turn - 2)).alias("after"), F.when(circle, refer(turn, "n")).alias("see"), F.col("text")))
+    of = refer(turn + 2).alias("of")
+    note = F.when(size % 2 == 1, F.to_json(F.struct(of, size.cast("string").alias("size")))).otherwise(F.to_json(F.struct(of, size.alias("size"))))
+    noted = F.when(F.pmod("conv_id", F.lit(7)) == 1, "memo").otherwise("note")
+    each = F.inline(
+        F.array(
+            F.struct(F.lit(0).alias("place"), turn.cast("string").alias("call_id"), F.lit("answer").alias("name"), answer.alias("arguments")),
+            F.struct(F.lit(1).alias("place"), F.concat(turn.cast("string"), F.lit("n")).alias("call_id"), noted.alias("name"), note.alias("arguments")),
+        )
     )
+    calls = asked.select("conv_id", "turn", each)
+    before = (turn - 1).cast("string")
+    answered = F.when(F.col("role") == "assistant", before).otherwise(F.concat(before, F.lit("n")))
+    results = rows.where("role in ('assistant', 'system')").select("conv_id", "turn", answered.alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
