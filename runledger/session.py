@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -11,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables, reachable by every executor.
+    """Folder for intermediate tables of this application, reachable by every executor.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master, where driver
-    and executors share one machine, may fall back to a folder of its own.
+    The cluster names the folder above it in ``spark.checkpoint.dir``. Only a local master, where driver
+    and executors share one machine, may do without; its folder goes when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
+        return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     return _local_root(spark.sparkContext.applicationId)
@@ -26,7 +28,9 @@ def scratch_root(spark: SparkSession) -> str:
 
 @functools.cache
 def _local_root(application_id: str) -> str:
-    return tempfile.mkdtemp(prefix=f"run-{application_id}-", dir="/tmp")
+    root = tempfile.mkdtemp(prefix=f"run-{application_id}-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -34,6 +38,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once nothing that is still to be computed reads them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def isolated_session(spark: SparkSession) -> SparkSession:
     """A session with the same runtime settings but none of the temporary views."""
     session = spark.newSession()
