@@ -54,6 +54,7 @@ from runledger.plans.runs import (  # noqa: E402
 )
 from runledger.plans.steps import check_summary, sql_step  # noqa: E402
 from runledger.session import isolated_session, scratch_path, small_frame  # noqa: E402
+from runledger.sources.ledger_format import FORMAT, register_format  # noqa: E402
 from runledger.sources.readers import read_source  # noqa: E402
 from runledger.sources.tables import export, materialize, page  # noqa: E402
 from runledger.sources.versions import (  # noqa: E402
@@ -778,6 +779,21 @@ def nested_versions(spark: SparkSession, folder: str) -> DataFrame:
     return value_counts(nested(F.col("ts"))).select("position", "rows", "distinct", F.lit(len(stored)).alias("versions"))
 
 
+def ledger_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Two versions of orders, the first read by name through the data source: some columns, some rows."""
+    ws = _workspace(spark)
+    register_format(spark)
+    orders = _table(spark, folder, "orders")
+    first = append_frame(ws, "orders", orders)
+    append_frame(ws, "orders", orders.where("o_orderkey % 2 = 0"))
+    named = {"root": ws.root, "workspace": ws.workspace_id, "source": "orders"}
+    reader = spark.read.format(FORMAT).options(**named)
+    some = reader.schema("o_orderkey bigint, o_custkey bigint, o_orderstatus string").option("version", first["version_id"]).load()
+    newest = spark.read.format(FORMAT).options(**named).load().where("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit(1).alias("newest"))
+    held = some.where("o_orderstatus = 'O' AND o_custkey > 100")
+    return held.join(newest, "o_orderkey", "left").withColumn("newest", F.coalesce("newest", F.lit(0)))
+
+
 # --- joins and aggregates along an order ------------------------------------------------
 
 
@@ -928,6 +944,7 @@ _REGISTERED: dict[str, Query] = {
     "stream_registration": stream_registration,
     "sketch_union": sketch_union,
     "nested_versions": nested_versions,
+    "ledger_format": ledger_format,
     "as_of_price": as_of_price,
     "range_join_orders": range_join_orders,
     "running_revenue": running_revenue,

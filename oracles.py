@@ -503,6 +503,9 @@ _ORDERED = {
         )
     ),
     "nested_versions": """SELECT unnest([0, 1, 2]) AS position, count(*) AS "rows", count(DISTINCT ts) AS "distinct", 2 AS versions FROM events""",
+    "ledger_format": """SELECT o_orderkey, o_custkey, o_orderstatus,
+        CASE WHEN o_orderkey % 2 = 0 AND o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS newest
+        FROM orders WHERE o_orderstatus = 'O' AND o_custkey > 100""",
     "as_of_price": f"""WITH known AS (
             SELECT {_CROWDED.format('l_partkey')} AS part, l_shipdate::DATE AS shipped, max({_cents('l_extendedprice')}) AS cents FROM lineitem GROUP BY ALL),
         asked AS (SELECT l_orderkey, l_linenumber, {_CROWDED.format('l_partkey')} AS part, o_orderdate::DATE AS ordered
