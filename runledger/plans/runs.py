@@ -197,14 +197,18 @@ def _run_step(
         _fail(step, list(before.values()))
     path = ws.data(f"run={run_id}", f"step={step.name}")
     table = materialize(build_step(session, step, frames, values), path)
-    content = fingerprint(table).first()
     tables[step.name] = (path, table.schema)
-    counts[step.name] = content["rows"]
     add_frame(session, frames, step.name, tables[step.name])
-    # The output is profiled while its checks run; it is on record before their results are.
-    with ThreadPoolExecutor(max_workers=1) as pool:
-        saved = pool.submit(_save_artifact, ws, run_id, step.name, path, table, content, profile_artifacts)
-        late = {i: c for i, c in enumerate(step.checks) if i not in early}
+    late = {i: c for i, c in enumerate(step.checks) if i not in early}
+    # The output is hashed, sampled and profiled side by side, and put on record while its checks run.
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        content = pool.submit(lambda: fingerprint(table).first())
+        sample = pool.submit(kept_rows, table)
+        columns = pool.submit(profile_rows, table) if profile_artifacts else None
+        counts[step.name] = content.result()["rows"]
+        saved = pool.submit(
+            lambda: _save_artifact(ws, run_id, step.name, path, table, content.result(), columns and columns.result(), sample.result())
+        )
         after = dict(zip(late, run_checks(session, tuple(late.values()), frames, counts, values, quarantine)))
         saved.result()
     results = [(before | after)[i] for i in range(len(step.checks))]
@@ -224,10 +228,9 @@ def _fail(step: Step, results: list[dict]) -> None:
 
 
 def _save_artifact(
-    ws: Workspace, run_id: str, step: str, path: str, table: DataFrame, content: Row, with_profile: bool
+    ws: Workspace, run_id: str, step: str, path: str, table: DataFrame, content: Row, columns: list[dict] | None, sample: list[str]
 ) -> None:
-    columns = profile_rows(table) if with_profile else None
-    facts = (content["rows"], content["fingerprint"], table.schema.json(), columns, kept_rows(table))
+    facts = (content["rows"], content["fingerprint"], table.schema.json(), columns, sample)
     _append(ws, run_id, "artifacts", [(step, uuid.uuid4().hex, path, *facts)])
 
 

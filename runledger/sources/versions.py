@@ -103,10 +103,12 @@ def _register(ws: Workspace, source: str, df: DataFrame, origin: str) -> Row:
     if known:
         discard(ws.spark, path)
         return known
-    with ThreadPoolExecutor(max_workers=2) as pool:
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        sketched = pool.submit(lambda: column_sketches(table).collect())  # one row a column
         profiled, sample = pool.submit(profile_rows, table), pool.submit(kept_rows, table)
         facts = (origin.rstrip("/").rsplit("/", 1)[-1], path, table.schema.json(), profiled.result(), sample.result())
-    return add_version(ws, source, digest, seq, *facts, column_sketches(table))
+    sketches = small_frame(ws.spark, [tuple(r) for r in sketched.result()], SKETCH_FIELDS)
+    return add_version(ws, source, digest, seq, *facts, sketches)
 
 
 def add_version(
