@@ -332,3 +332,44 @@ def test_leaks_against_every_place(spark):
                     break
     assert len(want) > 30 and len(got & want) >= 0.99 * len(want)
     assert not got - want
+
+
+def test_every_document_shapes_the_latent_space(spark):
+    """Also with more documents than a sample of 6,000 would hold."""
+    import numpy as np
+
+    from runledger.llm.common import Scratch
+
+    docs = spark.createDataFrame([(k, f"word{k} of{k} text{k} twice twice") for k in range(7000)], "id long, text string")
+    items = spark.createDataFrame([(1, "an item of five words")], "item long, text string")
+    space = leakage.fit(docs, items, Scratch(spark, "space"))
+    held = np.flatnonzero(space.frequency)
+    assert len(held) > 10_000 and space.frequency.max() >= 7000
+    assert np.linalg.norm(space.basis[held], axis=1).min() > 0.5
+
+
+def test_products_with_the_matrix_of_passages(spark):
+    import random
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = ["", "  ", *(" ".join(rng.choice(["the", "a", f"w{rng.randrange(300)}"]) for _ in range(rng.choice([1, 15, 16, 17, 400]))) for _ in range(60))]
+    passages = leakage._passages(spark.createDataFrame([(t,) for t in texts], "text string"))
+    rows = []
+    for t in texts:
+        words = re.findall(r"\w+", t)
+        rows += [words[k : k + leakage.BLOCK] for k in range(0, len(words), leakage.BLOCK)]
+    matrix = np.zeros((len(rows), leakage.TERMS))
+    for k, words in enumerate(rows):
+        np.add.at(matrix[k], leakage._terms(leakage._words(pa.array([" ".join(words)]))[0]), 1)
+    frequency, number = leakage._frequencies(passages)
+    assert number == len(rows) and (frequency == (matrix > 0).sum(axis=0)).all()
+    idf = np.linspace(1, 2, leakage.TERMS)
+    right = np.random.default_rng(2).standard_normal((leakage.TERMS, 7))
+    part = (matrix * idf) @ right
+    want = (matrix * idf).T @ part
+    assert np.allclose(leakage._gram_times(passages, idf, right), want, atol=1e-4 * abs(want).max())
+    assert np.allclose(leakage._gram(passages, idf, right), part.T @ part, rtol=1e-4)
