@@ -373,3 +373,18 @@ def test_products_with_the_matrix_of_passages(spark):
     want = (matrix * idf).T @ part
     assert np.allclose(leakage._gram_times(passages, idf, right), want, atol=1e-4 * abs(want).max())
     assert np.allclose(leakage._gram(passages, idf, right), part.T @ part, rtol=1e-4)
+
+
+def test_pipeline_looks_for_leaks_with_all_its_documents(spark, folder, monkeypatch):
+    import corpus_pipeline
+    import numpy as np
+
+    item = "which of these nine words are held by one document"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.createDataFrame([(k, f"word{k} of{k} text{k} twice twice") for k in range(7000)] + [(7000, f"so {item} alone")], "doc_id long, text string")
+    spaces = []
+    monkeypatch.setattr(leakage, "fit", lambda *a, f=leakage.fit: spaces.append(f(*a)) or spaces[-1])
+    kept = corpus_pipeline.decontaminate(spark, docs, folder)
+    assert {r[0] for r in kept.select("doc_id").collect()} == set(range(7000))
+    held = np.flatnonzero(spaces[0].frequency)
+    assert len(held) > 10_000 and np.linalg.norm(spaces[0].basis[held], axis=1).min() > 0.5
