@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from runledger.llm import disclosure, language, leakage, piece_sampling, shingle_join
-from runledger.llm.common import Scratch, table
+from runledger.llm.common import Scratch, table, without
 from runledger.llm.queries import importable
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -38,15 +38,15 @@ def shingle_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     """
     importable(spark)
     groups = shingle_join.jaccard_components(docs, 5, (4, 5))
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    others = Scratch(spark, "copies").keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "others")
+    return without(docs, others, "doc_id")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents that hold an item of ``benchmark``."""
     importable(spark)
     leaks = leakage.find_leaks(docs, table(spark, folder, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, Scratch(spark, "leaked").keep(leaks.select("doc_id").distinct(), "leaked"), "doc_id")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Embedding near-dedup, n-gram join and components against brute force."""
 
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from helpers import jaccard, smallest
+from pyspark.sql import functions as F
 
 from runledger.llm import shingle_join, vector_dedup
-from runledger.llm.common import Scratch, components, shingles, string_bytes, word_hashes
+from runledger.llm.common import KeyMap, Scratch, components, shingles, string_bytes, without, word_hashes
 from runledger.llm import common
 
 
@@ -76,6 +79,40 @@ def test_jaccard_join_of_nothing_and_of_repeated_rows(spark):
     assert got == sorted([(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (None, 1, None)], key=repr)
 
 
+def test_rows_without_keys(spark):
+    keys = Scratch(spark, "t").keep(spark.createDataFrame([(7 * k,) for k in range(500)], "id long"), "keys")
+    rows = spark.createDataFrame([(None if k == 5 else k // 2, {"at": k}) for k in range(6000)], "id int, more map<string,int>")
+    some, rest = KeyMap(keys, "id").parted(rows)
+    assert some.count() + rest.count() == 6000 and 800 < some.count() < 1500
+    assert rest.where("id % 7 = 0 and id < 3500").count() == 0
+    # Rows that stay are not shuffled, however large the keys are said to be.
+    assert "Exchange hashpartitioning(id" not in rest._jdf.queryExecution().executedPlan().toString()
+    got = without(rows, keys, "id")
+    assert got.dtypes == rows.dtypes
+    assert sorted(r["more"]["at"] for r in got.collect()) == [k for k in range(6000) if k == 5 or k // 2 % 7 or k // 2 >= 3500]
+
+
+def test_stages_leave_no_intermediate_of_the_size_of_the_texts(spark, folder, monkeypatch):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "these are the words of the one item")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    texts = [f"{k} wrote to a{k}@b.org of {k * k} and of {k + 1} things" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *texts[:20], None])), "doc_id long, text string")
+    roots, init = [], Scratch.__init__
+    monkeypatch.setattr(Scratch, "__init__", lambda self, *a: init(self, *a) or roots.append(self.root))
+    docs = docs.withColumn("n_chars", F.length("text"))
+    for name in ("shingle_dedup", "decontaminate", "personal_data"):
+        stage = dict(corpus_pipeline.STAGES)[name]
+        stage(spark, docs, folder).write.parquet(f"{folder}/{name}")
+    left = {re.sub(r"^\d+-", "", p.name) for root in roots for p in Path(root.removeprefix("file:")).iterdir()}
+    assert left.isdisjoint({"sketches", "first", "tokens", "shared", "centers", "postings", "rooted", "mixed", "passages", "items", "hits", "copies", "terms"})
+    assert {"sizes", "others", "leaked", "spans"} <= left
+    kept = {name: {r[0] for r in spark.read.parquet(f"{folder}/{name}").select("doc_id").collect()} for name in ("shingle_dedup", "decontaminate", "personal_data")}
+    assert kept == {"shingle_dedup": {*range(60), 80}, "decontaminate": set(range(81)), "personal_data": set(range(81))}
+    clean = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/personal_data").collect()}
+    assert clean[80] is None and all("[EMAIL]" in t and "@" not in t for k, t in clean.items() if k < 80)
+
+
 def _vectors(seed):
     rng = np.random.default_rng(seed)
     centers = rng.standard_normal((8, 16))
