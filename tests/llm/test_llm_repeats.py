@@ -51,6 +51,24 @@ def test_empty_table_and_repeated_ids(spark):
         repeats.remove_repeats(df, 100)
 
 
+def test_halves_that_are_the_same_runs_of_one_text_do_not_repeat(spark, monkeypatch):
+    # Cut twice, an anchor's runs are in parts that an anchor 16 or 32 bytes on has too.
+    monkeypatch.setattr(repeats, "GROUP", 4)
+    rng = random.Random(5)
+
+    def some(n):
+        return "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    core = some(127)  # one byte short of a repeat
+    rows = [some(199) + chr(65 + k) + core + chr(65 + k) + some(199) for k in range(20)]
+    rows.append(some(70) + rows[0][190:340] + some(70))
+    hits = spark.createDataFrame([(k, t, [t.index(core) + p for p in (30, 46, 62)]) for k, t in enumerate(rows)], "number long, text string, places array<long>")
+    spans = repeats.repeated_spans(repeats._surroundings(hits, 128), repeats.Scratch(spark, "repeats"), 128).collect()
+    gone = {k: sum(b - a for a, b in repeats.merged([(s["begin"], s["end"]) for s in spans if s["number"] == k])) for k in range(21)}
+    assert gone == {k: row[1] for k, row in enumerate(without_repeats(rows, 128))}
+    assert {k for k, n in gone.items() if n} == {0, 20}
+
+
 def test_anchors_do_not_depend_on_parts(monkeypatch):
     import numpy as np
 
